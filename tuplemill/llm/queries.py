@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tuplemill.llm import bpe
+from tuplemill.llm import bpe, suffix_dedup, superkmer
 from tuplemill.llm.storage import table
 
 
@@ -14,8 +14,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"), window=200)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.dedup_words(table(spark, sf_dir, "documents"), window=20)
+
+
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
