@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tuplemill.llm import bpe, suffix_dedup, superkmer
+from tuplemill.llm import bpe, ngram_join, suffix_dedup, superkmer
 from tuplemill.llm.storage import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
@@ -23,6 +27,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op10_substring_dedup": op10_substring_dedup,
