@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tuplemill.llm import bpe, langid, ngram_join, quality_gam, suffix_dedup, superkmer, toxicity
+from tuplemill.llm import bpe, decontam, langid, merkle, ngram_join, quality_gam, suffix_dedup, superkmer, toxicity
 from tuplemill.llm.storage import table
 
 
@@ -30,6 +30,14 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"), window=200)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, percent=80)
+
+
+def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -44,8 +52,13 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_merkle_fingerprints": op7_merkle_fingerprints,
     "op9_quality_gam": op9_quality_gam,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_benchmark_decontamination": decontam.SQL,
+    "op7_merkle_fingerprints": merkle.SQL,
+}
