@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tuplemill.llm import bpe, decontam, langid, merkle, ngram_join, quality_gam, suffix_dedup, superkmer, toxicity
+from tuplemill.llm import bpe, decontam, langid, license_scan, merkle, ngram_join, quality_gam, suffix_dedup, superkmer, toxicity
 from tuplemill.llm.storage import table
 
 
@@ -38,6 +38,10 @@ def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).filter("confirmed")
+
+
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_gam": op9_quality_gam,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -293,12 +293,13 @@ def staying(docs: DataFrame, scheme: Scheme, table, resolver: Resolver) -> DataF
     return found.groupBy("doc_key").agg(F.collect_list(F.struct("start", "windows", "goes")).alias("stays"))
 
 
-def covered(docs: DataFrame, scheme: Scheme, resolver: Resolver, finish: Callable, schema: str, names: list[str]) -> DataFrame:
+def covered(docs: DataFrame, scheme: Scheme, resolver: Resolver, finish: Callable, schema: str, names: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Applies ``finish(units, gone, doc)`` to every document; ``gone`` says of each unit whether it goes.
 
-    Columns of ``docs`` other than ``doc_id`` and ``text`` are dropped. ``finish`` gives a tuple for ``names``.
+    ``finish`` gives a tuple for ``names``. Columns of ``docs`` other than ``doc_id``, ``text`` and those of
+    ``carry``, which come behind the others, are dropped.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     repeated = settle(anchor_counts(docs, scheme).filter("n > 1").select("h"), "anchors")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(repeated))
     stays = staying(docs, scheme, table, resolver)
@@ -321,7 +322,9 @@ def covered(docs: DataFrame, scheme: Scheme, resolver: Resolver, finish: Callabl
                 step[at + scheme.window] -= 1
                 gone = np.cumsum(step[: len(u.codes)]) > 0
                 rows = [finish(u, gone, d) for d in range(end - first)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array(c) for c in zip(*rows))], ["doc_id", *names])
+                carried = [batch.column(3 + k).slice(first, end - first) for k in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array(c) for c in zip(*rows)), *carried], ["doc_id", *names, *carry])
 
-    joined = docs.withColumn("doc_key", document_key()).join(stays, "doc_key", "left")
-    return joined.select("doc_id", "text", "stays").mapInArrow(run, f"doc_id bigint, {schema}")
+    joined = docs.withColumn("doc_key", document_key()).join(stays, "doc_key", "left").select("doc_id", "text", "stays", *carry)
+    kinds = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in carry)
+    return joined.mapInArrow(run, f"doc_id bigint, {schema}{kinds}")

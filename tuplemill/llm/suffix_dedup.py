@@ -188,15 +188,15 @@ def _utf8_whole(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return hit[char]
 
 
-def dedup_bytes(docs: DataFrame, window: int = 200, with_text: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = 200, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each byte covered by a ``window``-byte string that also starts anywhere else.
 
     Texts are taken as UTF-8 bytes; a null text is empty. Elsewhere: in another row or at another
     place of the same text; overlaps count; strings never cross rows and are judged on the input.
     Gives ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``
     (of the remaining bytes) and, if asked, ``kept``: the remaining text, without characters of which
-    a byte was removed. Rows that repeat remove one another; a null ``doc_id`` stays null; other
-    columns are dropped.
+    a byte was removed. Rows that repeat remove one another; a null ``doc_id`` stays null; columns
+    named in ``carry`` come along, others are dropped.
     """
     gram = min(32, max(1, window // 4))
     scheme = repeats.Scheme("byte", window, gram, max(2, (window - gram) // 5))
@@ -210,4 +210,4 @@ def dedup_bytes(docs: DataFrame, window: int = 200, with_text: bool = False) ->
 
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     schema = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * with_text
-    return repeats.covered(docs, scheme, unrepeated_windows, finish, schema, names)
+    return repeats.covered(docs, scheme, unrepeated_windows, finish, schema, names, carry)
