@@ -10,9 +10,11 @@ the band's sizes) bound the overlap from above: each bit in which two signatures
 for an element that the sets do not share. Pairs that the bound lets through are verified by
 exact intersection of the sorted arrays.
 
-First each node meets the hub (smallest node) of each of its tiles, which joins groups of near
-copies without drawing up their pairs; then only nodes that are still in different components
-meet one another. Every pair that could link two components is tested, so components are exact.
+First each node meets a hub of each of its tiles (one of ``HUBS`` for a group whose tiles have
+the same nodes), then, ``ROUNDS`` times, the nearest node by signature that is still in another
+component; this joins groups of near copies without drawing up their pairs. Last, all nodes that
+share a tile and are still in different components meet. Every pair that could link two components
+is tested, so components are exact.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ from tuplemill.llm.storage import settle
 BUCKETS, ROW = 1 << 18, 1 << 12
 #: Nodes of a block of a tile; larger tiles are compared block against block.
 BLOCK = 256
-LEAST_BITS = 6
+LEAST_BAND = 6
+#: A signature has that power of two more bits than its band's largest set has elements.
+SPARE = 2
+HUBS, ROUNDS = 3, 1
 
 
 def set_node(s: np.ndarray) -> int:
@@ -44,12 +49,12 @@ def set_node(s: np.ndarray) -> int:
 
 
 def band_of(n: int) -> int:
-    """Signatures of the band ``e`` have 2**e bits; sizes of a band are at most that."""
-    return max(LEAST_BITS, (n - 1).bit_length())
+    """The size band ``e`` has the sets of at most 2**e elements that the band below hasn't."""
+    return max(LEAST_BAND, (n - 1).bit_length())
 
 
 def signature(s: np.ndarray) -> bytes:
-    bits = 1 << band_of(len(s))
+    bits = 1 << (band_of(len(s)) + SPARE)
     return np.packbits(np.bincount((s >> U64(20)) & U64(bits - 1), minlength=bits) & 1 > 0, bitorder="little").tobytes()
 
 
@@ -150,39 +155,45 @@ def star_candidates(members: DataFrame, bits: DataFrame, percent: int) -> DataFr
     return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
 
 
-def tile_candidates(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of one tile, in different components, that the bound lets through.
+def tile_candidates(tiles: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of nodes of one tile, in different components, that the bound lets through; or each node's nearest such.
 
-    ``tiles``: key, band, i, j (blocks), node, comp, n, bits, block, home.
+    ``tiles``: key, band, i, j (blocks), node, comp, n, bits, block, home. A pair has a node that is at home in the band.
     """
 
-    def compare(t: dict[str, np.ndarray], rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sign = np.stack([np.frombuffer(t["bits"][r], np.uint64) for r in rows])
-        block, home, n, comp = (t[c][rows] for c in ("block", "home", "n", "comp"))
-        left = np.flatnonzero((block == t["i"][rows[0]]) & home)  # a pair has a node that is at home in the band
-        right = np.flatnonzero(block == t["j"][rows[0]])
-        other = np.flatnonzero((block == t["j"][rows[0]]) & home)
-        back = np.flatnonzero((block == t["i"][rows[0]]) & ~home)
-        for one, two in ((left, right), (other, back)) if t["i"][rows[0]] != t["j"][rows[0]] else ((left, right),):
-            for x in one:
-                y = two[comp[two] != comp[x]]
-                y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-                if len(y):
-                    y = y[bound_holds(percent, n[y], n[x], np.bitwise_count(sign[y] ^ sign[x]).sum(axis=1, dtype=np.int64))]
-                    yield np.full(len(y), x), y
+    def compare(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        sign = np.stack([np.frombuffer(r, np.uint64) for r in t["bits"]])
+        block, home, n, comp = t["block"], t["home"], t["n"], t["comp"]
+        rows = np.arange(len(n))
+        apart = t["i"][0] != t["j"][0]
+        for x in rows if nearest or not apart else rows[block == t["i"][0]]:
+            y = rows[(comp != comp[x]) & (home | home[x]) & ((block != block[x]) if apart else (rows > x) | nearest) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))]
+            if not len(y):
+                continue
+            differ = np.bitwise_count(sign[y] ^ sign[x]).sum(axis=1, dtype=np.int64)
+            pass_ = np.flatnonzero(bound_holds(percent, n[y], n[x], differ))
+            if nearest and len(pass_):
+                pass_ = pass_[[int(np.argmin(differ[pass_]))]]
+            yield np.full(len(pass_), x), y[pass_], differ[pass_]
+
+    names = ["a", "b", "differ"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(part: pa.Table) -> pa.RecordBatch:
             t = {c: part.column(c).to_numpy() for c in part.column_names}
             name = [t[c] for c in ("key", "band", "i", "j")]
             cut = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in name], axis=0), [True])))
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = [np.zeros((3, 0), np.int64)]
             for lo, hi in zip(cut[:-1], cut[1:]):
-                for x, y in compare(t, np.arange(lo, hi)):
-                    a.append(np.minimum(t["node"][lo + x], t["node"][lo + y]))
-                    b.append(np.maximum(t["node"][lo + x], t["node"][lo + y]))
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                node = t["node"][lo:hi]
+                for x, y, d in compare({c: v[lo:hi] for c, v in t.items()}):
+                    a, b = (node[x], node[y]) if nearest else (np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))
+                    found.append(np.stack([a, b, d]))
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            if nearest and pairs.shape[1]:  # of a node's pairs in these tiles, the nearest
+                pairs = pairs[:, np.lexsort((pairs[2], pairs[0]))]
+                pairs = pairs[:, np.concatenate(([True], pairs[0][1:] != pairs[0][:-1]))]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -199,7 +210,10 @@ def tile_candidates(tiles: DataFrame, percent: int) -> DataFrame:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    return tiles.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    found = tiles.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(run, "a bigint, b bigint, differ bigint")
+    if nearest:
+        found = found.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -236,24 +250,21 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     all_ = settle(sketches(docs, k, percent), "sketches")
     full = all_.filter("n > 0")
     keyed = full.select("node", F.explode("prefix").alias("key"))
-    hubs = settle(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub"), "hubs")
+    turn = F.xxhash64("node", F.pmod("key", F.lit(HUBS)))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("hub"), F.min("node").alias("x"), F.max("node").alias("y"))
+    hubs = settle(hubs.filter("x <> y").select("key", F.col("hub.node").alias("hub")), "hubs")
     members = settle(keyed.join(hubs, "key").select("key", "node", "hub").distinct(), "members")
     bits = settle(full.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bits")
     near = settle(star_candidates(members, bits, percent), "stars")
     links = settle(verified(near, docs, k, percent), "links")
     labels = components(links)
 
-    labelled = members.join(labels, "node", "left").select("key", "node", "hub", F.coalesce("comp", "node").alias("comp"))
-    labelled = settle(labelled, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x <> y and m > 2").select("key", "m")
-    tiles = labelled.filter("node <> hub").join(open_, "key").join(bits, "node")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    tiles = tiles.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
-    tiles = tiles.select("key", "node", "comp", "n", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = settle(tile_candidates(banded(tiles, percent), percent), "rest")
-    if not rest.isEmpty():
-        labels = components(links.union(verified(rest, docs, k, percent)))
+    for turn in range(ROUNDS + 1):
+        rest = settle(tile_candidates(open_tiles(members, labels, bits, percent), percent, nearest=turn < ROUNDS), "rest")
+        if rest.isEmpty():
+            break
+        links = settle(links.union(verified(rest, docs, k, percent)), "links")
+        labels = components(links)
 
     least = full.groupBy("node").agg(F.min("doc_id").alias("doc"))
     least = least.join(labels, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"))
@@ -264,6 +275,20 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(bare.select("doc_id", "n", "component_id"))
 
 
+def open_tiles(members: DataFrame, labels: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The rows of tiles that hold more than one component, in their bands and blocks.
+
+    A tile of two nodes is done: one of them was the other's hub.
+    """
+    labelled = settle(members.join(labels, "node", "left").select("key", "node", "hub", F.coalesce("comp", "node").alias("comp")), "labelled")
+    open_ = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x <> y and m > 2").select("key", "m")
+    tiles = labelled.filter("node <> hub").join(open_, "key").join(bits, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
+    tiles = tiles.withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
+    tiles = tiles.select("key", "node", "comp", "n", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return banded(tiles, percent)
+
+
 def banded(tiles: DataFrame, percent: int) -> DataFrame:
     """Each row in its own size band, and in the next lower one, folded, if it can link to a smaller set there."""
 
@@ -271,7 +296,7 @@ def banded(tiles: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             n = batch.column(3).to_pylist()
             own = [band_of(x) for x in n]
-            low = [i for i, (x, e) in enumerate(zip(n, own)) if e > LEAST_BITS and -(-percent * x // 100) <= 1 << (e - 1)]
+            low = [i for i, (x, e) in enumerate(zip(n, own)) if e > LEAST_BAND and -(-percent * x // 100) <= 1 << (e - 1)]
             guests = batch.take(pa.array(low, pa.int64()))
             for part, band, home in ((batch, own, True), (guests, [own[i] - 1 for i in low], False)):
                 bits = part.column(4) if home else pa.array([fold(x) for x in part.column(4).to_pylist()], pa.binary())
