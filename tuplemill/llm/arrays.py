@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 BYTE_CODES = _rng.integers(1, 2**64, 256, dtype=U64)

@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from tuplemill.llm.arrays import BYTE_CODES, ranges, slices, spans_hash
 
 #: Pieces in each of the two generations of a worker's memo; the older one goes when the younger is full.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 150_000
+#: Pairs of tokens of which a worker keeps whether they fit.
+MEMO_PAIRS = 300_000
 #: Longer pieces aren't kept.
 MEMO_BYTES = 64
 
@@ -51,7 +53,7 @@ class Vocabulary:
                 a, b = self._last_merge(token, rank)
                 self.halves[rank] = (a, b)
                 self.pairs[a << self.shift | b] = rank
-        self._fits: dict[int, bool] = {}
+        self.fitting: dict[int, bool] = {}
         self.longest = max(map(len, ranks))
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -78,9 +80,11 @@ class Vocabulary:
         boundary that comes before the merge which closes either side would win against it.
         """
         key = left << self.shift | right
-        known = self._fits.get(key)
+        known = self.fitting.get(key)
         if known is None:
-            known = self._fits[key] = self._fits_slow(left, right)
+            if len(self.fitting) >= MEMO_PAIRS:
+                self.fitting.clear()
+            known = self.fitting[key] = self._fits_slow(left, right)
         return known
 
     def _fits_slow(self, a: int, b: int) -> bool:
@@ -108,7 +112,7 @@ class Vocabulary:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """``last`` holds the last token of each prefix of ``piece`` that is known, in order; the rest is added."""
-        known, slow, shift, have = self._fits, self.fits, self.shift, len(last)
+        known, slow, shift, have = self.fitting, self.fits, self.shift, len(last)
         back = max(0, have - self.longest)  # a token that ends after ``have`` starts here at the earliest
         done = have - 1
         for end, (n, token) in self.automaton.iter(piece[back:].decode("latin-1")):  # longest first at each end
@@ -241,6 +245,10 @@ class Encoder:
             cls._shared[path, pattern] = cls(load_ranks(path), pattern)
         return cls._shared[path, pattern]
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+        self.vocabulary.fitting.clear()
+
     def piece(self, raw: bytes) -> tuple[bytes, int, bytes]:
         """The ids as decimals that each have a blank behind, their number, and the bytes that the ids decode to."""
         known = self.young.get(raw)
@@ -298,12 +306,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     empty text has no tokens and the digests of an empty string; a null ``doc_id`` stays
     null; a row that repeats gives a result each time. Other columns are dropped, whatever
     their names. ``ranks_path`` is opened on the executors: a file at the same place on
-    every machine. Memory: a slice of about two megabytes of text, or one text if that is longer.
+    every machine. Memory: a slice of about a megabyte of text, or one text if that is longer.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(ranks_path, pattern)
+        yield from encoded(encoder, batches)
+        encoder.forget()  # a worker that goes on to other work keeps the vocabulary only
+
+    def encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offs in slices(batch.column(1)):
                 rows = list(encoder.encode_batch(data, offs))

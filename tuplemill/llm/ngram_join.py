@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tuplemill.llm.arrays import U64, binaries, long_lists, mix, shingle_sets
 from tuplemill.llm.components import components
 from tuplemill.llm.repeats import BitTable, bit_table
-from tuplemill.llm.storage import settle
+from tuplemill.llm.storage import settle, small_batches
 
 #: Buckets of the corpus-wide count that orders elements, and counters in one of its rows.
 BUCKETS, ROW = 1 << 18, 1 << 12
@@ -246,6 +246,7 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     its own if it has none). Rows that repeat give equal rows; a null ``doc_id`` counts for no minimum, and a
     group of nulls has a null ``component_id``. Other columns are dropped.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_ = settle(sketches(docs, k, percent), "sketches")
     full = all_.filter("n > 0")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuplemill.llm.arrays import BYTE_CODES, U64, grams_hash, ranges, slices, sliding, word_codes, words
-from tuplemill.llm.storage import settle
+from tuplemill.llm.storage import settle, small_batches
 
 #: The bit table's size is 16 bits for each repeated anchor, within these bounds.
 MIN_BITS, MAX_BITS = 20, 29
@@ -299,6 +299,7 @@ def covered(docs: DataFrame, scheme: Scheme, resolver: Resolver, finish: Callabl
     ``finish`` gives a tuple for ``names``. Columns of ``docs`` other than ``doc_id``, ``text`` and those of
     ``carry``, which come behind the others, are dropped.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     repeated = settle(anchor_counts(docs, scheme).filter("n > 1").select("h"), "anchors")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(repeated))
