@@ -82,3 +82,19 @@ def test_empty_tables_and_repeated_rows(spark, empty):
     twice = spark.createDataFrame([(1, text), (1, text), (None, "a b")], "doc_id bigint, text string")
     assert sorted(r["n_removed"] for r in dedup_words(twice).collect()) == [0, 0, 0]
     assert sorted(r["n_removed"] for r in dedup_bytes(twice).collect()) == [0, len(text), len(text)]
+
+
+def test_many_passages_at_random_places(spark):
+    """Passages of all lengths around a window's, in unlike surroundings: the filter must lose none of their windows."""
+    rng = random.Random(12)
+    word = lambda: f"{rng.choice('abcdefg')}{rng.randint(0, 9999)}"
+    passages = [[word() for _ in range(rng.randint(18, 70))] for _ in range(40)]
+    rows = []
+    for i in range(250):
+        words = [word() for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 2)):
+            words += rng.choice(passages) + [word() for _ in range(rng.randint(0, 60))]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, dedup_bytes(df).collect())) == brute_bytes(rows_of(df), 200)
+    assert sorted(map(tuple, dedup_words(df).collect())) == brute_words(rows_of(df), 20)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tuplemill.llm import bpe, decontam, langid, license_scan, merkle, ngram_join, quality_gam, suffix_dedup, superkmer, toxicity
+from tuplemill.llm import bpe, decontam, langid, license_scan, merkle, ngram_join, quality_gam, sql, suffix_dedup, superkmer, toxicity
 from tuplemill.llm.storage import table
 
 
@@ -64,6 +64,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": sql.OP1,
+    "op5_suffix_array_dedup": sql.OP5,
     "op6_benchmark_decontamination": decontam.SQL,
     "op7_merkle_fingerprints": merkle.SQL,
+    "op10_substring_dedup": sql.OP10,
 }

@@ -1,9 +1,8 @@
 """Finding every window of W units (bytes or words) that occurs more than once, without shuffling the texts' windows.
 
-1. Anchors. A gram of m units whose hash falls below a threshold is an anchor; in a window
-   that has none, its smallest gram is one. Whether a gram is an anchor of a window depends
-   on the window's own content only, so equal windows have equal anchors. Anchors are
-   counted over the whole corpus.
+1. Anchors. A window's anchors are its grams of m units whose hash falls below a threshold;
+   in a bare window, which has none, it is the smallest gram. They depend on the window's own
+   content only, so equal windows have equal anchors. Anchors are counted over the whole corpus.
 2. A window can repeat only if each of its anchors does. The repeated anchors go into a bit
    table of at most ``MAX_BITS`` bits, the one thing that is broadcast. Its false positives
    cost work, never results.
@@ -64,12 +63,19 @@ def units(scheme: Scheme, data: np.ndarray, offs: np.ndarray) -> Units:
     return Units(word_codes(data, starts, ends, lower=False), woff, out, place)
 
 
-def anchors(scheme: Scheme, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each gram, which grams are anchors, which windows lie in one text)."""
+class Anchors(NamedTuple):
+    h: np.ndarray  # hash of each gram
+    low: np.ndarray  # which grams lie below the threshold, in a text that has windows
+    valid: np.ndarray  # which windows lie in one text
+    least: np.ndarray  # smallest gram of each window
+    bare: np.ndarray  # which of the valid windows have no low gram
+
+
+def anchors(scheme: Scheme, u: Units) -> Anchors | None:
     n, w, m = len(u.codes), scheme.window, scheme.gram
-    if n < w:
-        return np.zeros(0, U64), np.zeros(0, bool), np.zeros(0, bool)
     long = np.diff(u.offs) >= w
+    if not long.any():
+        return None
 
     def inside(width: int) -> np.ndarray:
         step = np.zeros(n + 2, np.int32)
@@ -79,23 +85,26 @@ def anchors(scheme: Scheme, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
     h, valid = grams_hash(u.codes, m), inside(w)
     limit = U64(2**64 // scheme.rate)
-    picked = h < limit
     least = sliding(h, w - m + 1)
-    bare = valid & (least >= limit)
-    if bare.any():
-        pad = np.zeros(w - m, U64)
-        most = sliding(np.concatenate((pad, np.where(bare, least, U64(0)), pad)), w - m + 1, np.maximum)
-        picked |= most == h
-    picked &= inside(m)
-    return h, picked, valid
+    return Anchors(h, (h < limit) & inside(m), valid, least, valid & (least >= limit))
+
+
+def counted(scheme: Scheme, a: Anchors) -> np.ndarray:
+    """The grams that are an anchor of some window: low ones, and the smallest of bare windows."""
+    if not a.bare.any():
+        return a.low
+    width = scheme.window - scheme.gram + 1
+    pad = np.zeros(width - 1, U64)
+    most = sliding(np.concatenate((pad, np.where(a.bare, a.least, U64(0)), pad)), width, np.maximum)  # over the windows around each gram
+    return a.low | (most == a.h)
 
 
 def anchor_counts(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offs in slices(batch.column(0)):
-                h, picked, _ = anchors(scheme, units(scheme, data, offs))
-                values, n = np.unique(h[picked], return_counts=True)
+                a = anchors(scheme, units(scheme, data, offs))
+                values, n = np.unique(a.h[counted(scheme, a)] if a else np.zeros(0, U64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     return docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
@@ -133,21 +142,19 @@ def bit_table(repeated: DataFrame) -> BitTable:
 
 def passing(scheme: Scheme, u: Units, table: BitTable) -> tuple[np.ndarray, np.ndarray]:
     """The windows whose anchors all repeat, and each one's smallest anchor."""
-    h, picked, valid = anchors(scheme, u)
-    if not valid.any():
+    a = anchors(scheme, u)
+    if a is None:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    at = np.flatnonzero(picked)
-    known = table.has(h[at])
-    dead = np.zeros(len(h) + 1, np.int32)
-    dead[at[~known] + 1] = 1
+    at = np.flatnonzero(a.low)
+    dead = np.zeros(len(a.h) + 1, np.int32)
+    dead[at[~table.has(a.h[at])] + 1] = 1
     np.cumsum(dead, out=dead)
     width = scheme.window - scheme.gram + 1
-    keep = np.flatnonzero(valid & (dead[width:] == dead[:-width]))
-    if not len(keep):
-        return keep, np.zeros(0, U64)
-    value = np.full(len(h), U64(2**64 - 1))
-    value[at[known]] = h[at[known]]
-    return keep, sliding(value, width)[keep]
+    good = a.valid & ~a.bare & (dead[width:] == dead[:-width])
+    bare = np.flatnonzero(a.bare)
+    good[bare[table.has(a.least[bare])]] = True
+    keep = np.flatnonzero(good)
+    return keep, a.least[keep]
 
 
 def super_kmers(scheme: Scheme, keep: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
