@@ -236,19 +236,6 @@ class Encoder:
         self.young: dict[bytes, tuple[bytes, int, bytes]] = {}
         self.old: dict[bytes, tuple[bytes, int, bytes]] = {}
 
-    _shared: dict[tuple[str, str], Encoder] = {}
-
-    @classmethod
-    def of(cls, path: str, pattern: str) -> Encoder:
-        """One encoder for all tasks that a Python worker runs."""
-        if (path, pattern) not in cls._shared:
-            cls._shared[path, pattern] = cls(load_ranks(path), pattern)
-        return cls._shared[path, pattern]
-
-    def forget(self) -> None:
-        self.young, self.old = {}, {}
-        self.vocabulary.fitting.clear()
-
     def piece(self, raw: bytes) -> tuple[bytes, int, bytes]:
         """The ids as decimals that each have a blank behind, their number, and the bytes that the ids decode to."""
         known = self.young.get(raw)
@@ -311,11 +298,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(ranks_path, pattern)
-        yield from encoded(encoder, batches)
-        encoder.forget()  # a worker that goes on to other work keeps the vocabulary only
-
-    def encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(load_ranks(ranks_path), pattern)  # for one task: a worker that goes on to other work keeps nothing
         for batch in batches:
             for first, end, data, offs in slices(batch.column(1)):
                 rows = list(encoder.encode_batch(data, offs))
