@@ -156,6 +156,20 @@ def test_mentions_widen_equality(spark, records):
     assert P.merge_mentions(records, mentions).filter("has_mentions").select("docid").distinct().count() == 1
 
 
+def test_merge_keeps_all_records(spark, records):
+    """The size bound takes mentions from large mention documents; it drops no record."""
+    mentions = spark.createDataFrame([("d1", 0, "Ann", 0), ("x", 0, "Cy", 22)], "docid string, cluster_id int, text string, offset int")
+    for most, found in ((2, True), (1, False)):
+        got = P.merge_mentions(records, mentions, most).collect()
+        assert sorted((r["docid"], r["has_mentions"]) for r in got) == [("d1", found)] * 2 + [("d2", False)] * 2 + [("d3", False)] * 2
+        one = next(r for r in got if r["docid"] == "d1")
+        assert ([m["text"] for m in one["mentions"]], one["offsets"]) == ((["Ann"], [0]) if found else ([], []))
+    kind = "docid string, size bigint, offsets array<bigint>, mentions array<struct<cluster_id int, text string, offset int>>"
+    twice = spark.createDataFrame([("d2", 1, [0], [(0, "Bob", 8)]), ("d2", 2, [0], [(0, "Cy", 22)]), ("d3", 101, [0], [(0, "Ann", 0)])], kind)
+    got = P.merge_mentions(records, twice).collect()
+    assert len(got) == 6 and {(r["docid"], *(m["text"] for m in r["mentions"])) for r in got} == {("d1",), ("d2", "Bob"), ("d3",)}
+
+
 def test_formats_round_trip(spark, reduced, tmp_path):
     def of(c):
         return spark.range(1).select(c.alias("x")).first()["x"]

@@ -172,11 +172,23 @@ def parse_success_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.parse_success(lines.select(text.parse_record(F.col("value")).alias("r")), "r")
 
 
+def _mentions(records: DataFrame) -> DataFrame:
+    """A mention for each record of the documents whose name ends in an even digit."""
+    return records.filter(F.substring("docid", -1, 1).isin("0", "2", "4", "6", "8")).select("docid", F.lit(0).alias("cluster_id"), F.col("arg1.text").alias("text"), F.lit(0).alias("offset"))
+
+
 def merge_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of few records; those whose name ends in an even digit have mentions."""
+    """The merge over documents of at most 60 records, as the query's SQL selects them; ``merge_mentions_all`` has all."""
+    records = P.of_small_documents(_records(spark, d), 60)
+    return P.merge_mentions(records, _mentions(records)).groupBy("docid", "has_mentions").agg(F.count("*").alias("n"))
+
+
+def merge_mentions_all(spark: SparkSession, d: str) -> DataFrame:
+    """The merge over all documents, with what each carries."""
     records = _records(spark, d)
-    mentions = records.filter(F.substring("docid", -1, 1).isin("0", "2", "4", "6", "8")).select("docid", F.lit(0).alias("cluster_id"), F.col("arg1.text").alias("text"), F.lit(0).alias("offset"))
-    return P.merge_mentions(records, mentions, 60).groupBy("docid", "has_mentions").agg(F.count("*").alias("n"))
+    rows = P.merge_mentions(records, _mentions(records))
+    carried = (F.size("mentions").cast("bigint").alias("mentions"), F.size("offsets").cast("bigint").alias("sentences"), F.coalesce(F.get("offsets", F.size("offsets") - 1), F.lit(0)).alias("last_offset"))
+    return rows.select("docid", "has_mentions", *carried).groupBy("docid", "has_mentions", "mentions", "sentences", "last_offset").agg(F.count("*").alias("n"))
 
 
 def format_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -308,7 +320,7 @@ QUERIES = {
     "search_noequality": _search(S.Query(arg1="type:short", equality="noequality")),
     "search_equality": _search(S.Query(arg2="xvar", sort_by="fs+sf", equality="equality")),
     "search_typed": _search(S.Query(arg1="type:long", sort_by="f")),
-    "doc_size_histogram": doc_size_histogram, "parse_success_counts": parse_success_counts, "merge_mentions": merge_mentions, "format_roundtrip": format_roundtrip,
+    "doc_size_histogram": doc_size_histogram, "parse_success_counts": parse_success_counts, "merge_mentions": merge_mentions, "merge_mentions_all": merge_mentions_all, "format_roundtrip": format_roundtrip,
 }
 
 ORACLE_SQL = {
@@ -347,5 +359,8 @@ UNION ALL SELECT {KEY}, "window", n FROM red WHERE "window" >= {WIDTH} AND {" AN
     "doc_size_histogram": _last(_BASE, "SELECT least(100, greatest(10, ceil(n / 10.0) * 10))::INT AS bin, count(*) AS documents FROM (SELECT docid, count(*) AS n FROM z GROUP BY docid) GROUP BY bin"),
     "parse_success_counts": _last(_BASE, "SELECT count(*) FILTER (extrid % 3 <> 0) AS parsed, count(*) FILTER (extrid % 3 = 0) AS failed FROM z"),
     "merge_mentions": _last(_BASE, "SELECT docid, right(docid, 1) IN ('0', '2', '4', '6', '8') AS has_mentions, count(*) AS n FROM z GROUP BY docid HAVING count(*) <= 60"),
+    "merge_mentions_all": _last(_BASE + """d AS (SELECT docid, count(*) AS n, right(docid, 1) IN ('0', '2', '4', '6', '8') AND count(*) <= 100 AS has_mentions FROM z GROUP BY docid),
+s AS (SELECT docid, sentid, arg_max(sentence, extrid) AS sentence FROM z GROUP BY docid, sentid),
+o AS (SELECT docid, count(*) AS sentences, (sum(length(sentence) + 1) - arg_max(length(sentence) + 1, sentid))::BIGINT AS last_offset FROM s GROUP BY docid),""", """SELECT docid, has_mentions, CASE WHEN has_mentions THEN n ELSE 0 END AS mentions, CASE WHEN has_mentions THEN sentences ELSE 0 END AS sentences, CASE WHEN has_mentions THEN last_offset ELSE 0 END AS last_offset, n FROM d JOIN o USING (docid)"""),
     "format_roundtrip": _last(_RED, "SELECT * FROM red"),
 }

@@ -77,11 +77,32 @@ def sentence_lists(records: DataFrame) -> DataFrame:
     return rows.groupBy("docid").agg(listed.alias("s")).select("docid", F.transform("s", lambda s: s["sentence"]).alias("sentences"), F.transform("s", lambda s: s["offset"]).alias("offsets"))
 
 
+def mention_documents(records: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(docid, size, offsets, mentions): one mention document for each document that rows of mentions name.
+
+    ``records`` are those that were resolved; ``mentions`` has docid, cluster_id, text, offset.
+    """
+    listed = mentions.groupBy("docid").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "text", "offset"))).alias("mentions"))
+    sizes = records.groupBy("docid").agg(F.count("*").alias("size"))
+    offsets = sentence_lists(records).select("docid", "offsets")
+    return listed.join(sizes.join(offsets, "docid"), "docid").select("docid", "size", "offsets", "mentions")
+
+
 def merge_mentions(records: DataFrame, mentions: DataFrame, most: int = MAX_DOCUMENT_RECORDS) -> DataFrame:
-    """Records of documents within the size bound with a flag whether the document has mentions; mention rows
-    of unknown documents are dropped by whoever joins on ``docid`` later."""
-    known = mentions.select("docid").distinct().withColumn("has_mentions", F.lit(True))
-    return of_small_documents(records, most).join(known, "docid", "left").withColumn("has_mentions", F.coalesce("has_mentions", F.lit(False)))
+    """All records, with the ``mentions`` and sentence ``offsets`` of their document and the flag ``has_mentions``.
+
+    ``mentions`` are mention documents (docid, size, offsets, mentions), or rows that ``mention_documents`` takes. The size
+    bound holds for mention documents only: records of a document without one within the bound get empty lists. Of
+    several for one docid the least by its fields counts; those of unknown documents are dropped.
+    """
+    if "size" not in mentions.columns:
+        mentions = mention_documents(records, mentions)
+    fields = F.struct("size", "offsets", "mentions")
+    small = mentions.filter(F.col("size") <= most).groupBy("docid").agg(F.min(fields).alias("m"))
+    merged = records.join(small, "docid", "left")
+    kinds = {f.name: f.dataType for f in mentions.schema}
+    carried = {c: F.coalesce(F.col(f"m.{c}"), F.array().cast(kinds[c])) for c in ("offsets", "mentions")}
+    return merged.withColumns(carried | {"has_mentions": F.coalesce(F.size("m.mentions") > 0, F.lit(False))}).drop("m")
 
 
 def documents(records: DataFrame) -> DataFrame:
