@@ -73,3 +73,29 @@ def test_licences(tables, spark):
     got = license_scan.scan(docs.select("doc_id", "text", "lang").union(more)).filter("confirmed").collect()
     assert {(r["doc_id"], r["line"], r["family"]) for r in got} == {(2000, 1, "mit"), (2001, 0, "gpl")}
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_licences_inside_text(tables, spark):
+    """Statements behind other words, in one line with others, wrapped, or as a title; one that only looks like another family's."""
+    docs, _ = tables
+    other = "ba du ki lo " * 5
+    header = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at the address below. ' + other
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
+    notice = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation."
+    planted = [
+        (f"{other}Released under the MIT License.", 0, "mit"),
+        (f"{other * 100}This work is licensed under the GNU General Public License, version 3. {other * 100}", 0, "gpl"),
+        (f"ba\n{header}", 1, "apache-2.0"),
+        (f"ba\n\n{grant}", 2, "mit"),
+        (notice, 0, "gpl"),
+        (notice.replace("GNU General", "GNU Lesser General"), 0, "lgpl"),
+        ("MIT License\n\nba du", 0, "mit"),
+        ("Licensed under the GPL, version 3", 0, "gpl"),
+        (f"{other}This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", 0, "cc-by-nc"),
+    ]
+    more = spark.createDataFrame([(3000 + i, x[0], None) for i, x in enumerate(planted)], "doc_id bigint, text string, lang string")
+    got = license_scan.scan(docs.select("doc_id", "text", "lang").union(more)).filter("confirmed").collect()
+    assert sorted((r["doc_id"], r["line"], r["family"]) for r in got) == [(3000 + i, line, family) for i, (_, line, family) in enumerate(planted)]
+    both = "The code is released under the MIT License and the text is licensed under CC BY-SA 4.0, as is said here."
+    got = license_scan.scan(docs.select("doc_id", "text").union(spark.createDataFrame([(4000, both)], "doc_id bigint, text string"))).filter("confirmed").collect()
+    assert {r["family"] for r in got} == {"mit", "cc-by-sa"} and len(got) == 2

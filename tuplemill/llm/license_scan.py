@@ -1,16 +1,19 @@
 """Licence scan: a trained paragraph classifier, with an unknown class and confirmation by templates.
 
-Paragraphs (lines) are scored by sparse multinomial regression on hashed one- and two-word grams.
-It is trained on perturbed forms of the template sentences below, one class for each family, against
-an unknown class of paragraphs drawn from the corpus and of sentences that only sound alike. A
-temperature is fitted on held-back rows; a paragraph is a hit if its likeliest class is a family and
-the calibrated probability of the unknown class is small. A hit is confirmed if its words are close
-to one of the family's templates.
+Lines, and overlapping windows of the words of each text, are scored by sparse multinomial regression on
+hashed one- and two-word grams. It is trained on perturbed forms of the template sentences below, one
+class for each family, against an unknown class of passages drawn from the corpus and of sentences that
+only sound alike. A temperature is fitted on held-back rows; a passage is a hit if its likeliest class is a
+family and the calibrated probability of the unknown class is small. Beside these, every run of words is
+found that holds most of a template's grams, wherever it stands in a line or is wrapped over lines.
+A passage is confirmed if it is such a run and names the family, if it is a line that is a licence's title,
+or if it is a hit and close to a template as a whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,7 +29,11 @@ from tuplemill.llm.arrays import BYTE_CODES, LOWER, U64, grams_hash, slices, spa
 SAMPLE, PARAGRAPHS = 400, 3_000
 SPACE, FORMS, EPOCHS = 1 << 16, 40, 4
 UNKNOWN_AT_MOST, CONFIRMED_AT_LEAST = 0.5, 0.6
+#: Words of a scored window, from one to the next, and of a passage that is given with the whole of its lines.
+WINDOW, STEP, WHOLE = 32, 16, 64
 UNKNOWN = "unknown"
+#: Passages for the unknown class: lines, cut between words into about a window's length.
+PIECE = r"[^\n]{1,200}(?=\s|$)|[^\n]{1,200}"
 
 #: Public licence statements, by family.
 TEMPLATES = {
@@ -57,6 +64,7 @@ TEMPLATES = {
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "Licensed under the LGPL, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
     "mpl-2.0": [
@@ -69,6 +77,32 @@ TEMPLATES = {
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc0": ["Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
 }
+#: Lines that are a statement if nothing else stands on them.
+TITLES = {
+    "apache-2.0": ["Apache License", "Apache License 2.0", "Apache License, Version 2.0", "Apache-2.0"],
+    "mit": ["MIT License", "The MIT License", "The MIT License (MIT)", "License: MIT"],
+    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "The BSD 3-Clause License"],
+    "gpl": ["GNU General Public License", "GNU General Public License, version 2", "GNU General Public License, version 3"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3"],
+    "mpl-2.0": ["Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"],
+    "cc-by-sa": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 International"],
+    "cc0": ["CC0 1.0", "CC0 1.0 Universal"],
+}
+#: Families share most grams of some templates; a passage must have one of these to be the family's.
+NAMES = {
+    "apache-2.0": ["apache"],
+    "mit": ["mit", "permission is hereby granted", "copy of this software"],
+    "bsd": ["bsd", "redistribution and use", "source and binary forms"],
+    "gpl": ["gpl", "gnu general public"],
+    "lgpl": ["lgpl", "lesser general public"],
+    "mpl-2.0": ["mpl", "mozilla"],
+    "cc-by-nc": ["by nc", "noncommercial"],
+    "cc-by-sa": ["by sa", "sharealike"],
+    "cc-by": ["by 4", "attribution 4"],
+    "cc0": ["cc0", "public domain", "waived all copyright"],
+}
 #: Sentences that sound alike and are no licence.
 LOOKALIKES = [
     "The driver's license was issued in the state last year.",
@@ -103,32 +137,125 @@ def similarity(a: list[str], b: list[str]) -> float:
 _TEMPLATE_TOKENS = {k: [tokens(t) for t in v] for k, v in TEMPLATES.items()}
 
 
-class Paragraphs(NamedTuple):
-    first: np.ndarray  # first byte of each paragraph
-    end: np.ndarray
-    text: np.ndarray  # the text that it belongs to
-    owner: np.ndarray  # of each gram, its paragraph
-    bucket: np.ndarray  # of each gram
+class Words(NamedTuple):
+    starts: np.ndarray  # first byte of each word
+    ends: np.ndarray
+    codes: np.ndarray  # hash of each word
+    two: np.ndarray  # hash of each word and the next
+    same: np.ndarray  # whether the next word is in the same text
+    text: np.ndarray  # the text of each word
+    line: np.ndarray  # the line of each word, counted over all texts
+    edges: np.ndarray  # the first byte of each of those lines, and the end
 
 
-def paragraphs(data: np.ndarray, offs: np.ndarray) -> Paragraphs:
-    """The lines of all texts that have a word, and the hashed grams of their words."""
+def words_of(data: np.ndarray, offs: np.ndarray) -> Words:
+    """The words of all texts and their grams."""
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     edge[1:] |= np.append(data == 0x0A, False)[:-1]
-    at = np.flatnonzero(edge)
-    line_of = np.cumsum(edge) - 1
     solid = np.zeros(len(data) + 2, bool)
     solid[1:-1] = _WORD[data]
     starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
     ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
     codes = spans_hash(BYTE_CODES[LOWER][data], starts, ends)
-    line = line_of[starts]
-    two = grams_hash(codes, 2)
-    same = line[1:] == line[:-1]
-    used, owner = np.unique(np.concatenate((line, line[1:][same])), return_inverse=True)
-    bucket = np.concatenate((codes, two[same])) & U64(SPACE - 1)
-    return Paragraphs(at[used], np.append(at[1:], len(data))[used], np.searchsorted(offs, at[used], "right") - 1, owner, bucket.astype(np.int64))
+    text = np.searchsorted(offs, starts, "right") - 1
+    edges = np.append(np.flatnonzero(edge[:-1]), len(data))
+    return Words(starts, ends, codes, grams_hash(codes, 2), text[1:] == text[:-1], text, (np.cumsum(edge) - 1)[starts], edges)
+
+
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of each run of equal values."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return first, np.append(first[1:], len(key))
+
+
+def units(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of every line, and of windows over the texts of several lines or more words than a window has."""
+    first, end = runs(w.line)
+    at, to = runs(w.text)
+    more = (w.line[to - 1] > w.line[at]) | (to - at > WINDOW) if len(at) else np.zeros(0, bool)
+    at, to = at[more], to[more]
+    n = np.maximum(1, -(-(to - at - WINDOW) // STEP) + 1)
+    start = np.repeat(at, n) + STEP * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return np.concatenate((first, start)), np.concatenate((end, np.minimum(start + WINDOW, np.repeat(to, n))))
+
+
+def _template_grams() -> tuple[np.ndarray, list[tuple[str, np.ndarray, int]]]:
+    """All grams of templates in order, and for each template its family, which of them it has, and its words."""
+    names = [(k, t) for k, v in TEMPLATES.items() for t in v]
+    grams = []
+    for _, t in names:
+        w = words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        grams.append(w.two)
+    every = np.unique(np.concatenate(grams))
+    return every, [(k, np.isin(every, g), len(g) + 1) for (k, _), g in zip(names, grams)]
+
+
+def _title_hashes() -> dict[int, str]:
+    found = {}
+    for k, v in TITLES.items():
+        for t in v:
+            w = words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+            found[int(spans_hash(w.codes, np.array([0]), np.array([len(w.codes)]))[0])] = k
+    return found
+
+
+_GRAMS, _MEMBERS = _template_grams()
+_TITLES = _title_hashes()
+_TITLE_HASHES = np.array(sorted(_TITLES), U64)
+
+
+def names_family(text: str, family: str) -> bool:
+    said = f" {' '.join(tokens(text))} "
+    return any(f" {name} " in said for name in NAMES[family])
+
+
+class Passage(NamedTuple):
+    first: int  # first word
+    end: int
+    family: str
+    close: float
+
+
+def statements(data: np.ndarray, w: Words) -> list[Passage]:
+    """Titles, and the runs of words that hold ``CONFIRMED_AT_LEAST`` of a template's grams; they may overlap.
+
+    A run may be longer than the template by a quarter and two words.
+    """
+    first, end = runs(w.line)
+    hashes = spans_hash(w.codes, first, end)
+    found = [Passage(int(first[i]), int(end[i]), _TITLES[int(hashes[i])], 1.0) for i in np.flatnonzero(np.isin(hashes, _TITLE_HASHES))]
+    slot = np.searchsorted(_GRAMS, w.two)
+    pos = np.flatnonzero((_GRAMS[np.minimum(slot, len(_GRAMS) - 1)] == w.two) & w.same)
+    gram = slot[pos]
+    for family, member, size in _MEMBERS:
+        total, span = int(member.sum()), size + size // 4 + 2
+        need = int(np.ceil(CONFIRMED_AT_LEAST * total - 1e-9))
+        mine = member[gram]
+        p, g = pos[mine], gram[mine].tolist()
+        apart = p + w.text[p] * (2 * span)  # runs don't cross texts
+        to = np.searchsorted(apart, apart + span - 2, "right")
+        for a in np.flatnonzero(to - np.arange(len(p)) >= need).tolist():
+            seen, last = set(), a
+            for b in range(a, int(to[a])):
+                if g[b] not in seen:
+                    seen.add(g[b])
+                    last = b
+            if len(seen) >= need and names_family(data[w.starts[p[a]] : w.ends[p[last] + 1]].tobytes().decode(), family):
+                found.append(Passage(int(p[a]), int(p[last]) + 2, family, len(seen) / total))
+    return found
+
+
+def apart(rows: list[tuple]) -> list[tuple]:
+    """The best of rows (rank, first, end, ...) that don't overlap, in the order of the text."""
+    kept: list[tuple] = []
+    firsts: list[int] = []
+    for row in sorted(rows, key=lambda r: (r[0], r[1], r[2]), reverse=True):
+        at = bisect(firsts, row[1])
+        if (at == 0 or kept[at - 1][2] <= row[1]) and (at == len(kept) or kept[at][1] >= row[2]):
+            firsts.insert(at, row[1])
+            kept.insert(at, row)
+    return kept
 
 
 class Model(NamedTuple):
@@ -138,19 +265,29 @@ class Model(NamedTuple):
     bias: np.ndarray
     temperature: float
 
-    def probabilities(self, p: Paragraphs) -> np.ndarray:
-        row = self.row_of[p.bucket]
-        hit = np.flatnonzero(row)
-        z = np.zeros((len(p.first), len(self.names)))
-        np.add.at(z, p.owner[hit], self.weights[row[hit]])
-        n = np.sqrt(np.maximum(np.bincount(p.owner, minlength=len(p.first)), 1))[:, None]
+    def probabilities(self, w: Words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of each run of words."""
+        z = np.zeros((len(first), len(self.names)))
+        for values, last, allowed in ((w.codes, end, True), (w.two, end - 1, w.same)):
+            row = self.row_of[(values & U64(SPACE - 1)).astype(np.int64)]
+            at = np.flatnonzero((row != 0) & allowed)
+            weights = np.concatenate((self.weights[row[at]], np.zeros((1, z.shape[1]))))
+            lo, hi = np.searchsorted(at, first), np.searchsorted(at, last)
+            some = np.flatnonzero(hi > lo)
+            if len(some):
+                z[some] += np.add.reduceat(weights, np.column_stack((lo[some], hi[some])).ravel(), axis=0)[::2]
+        n = np.sqrt(np.maximum(2 * (end - first) - 1, 1))[:, None]
         return fitting.softmax((z / n + self.bias) / self.temperature)
 
 
 def training_rows(corpus: list[str], seed: int = 8) -> tuple[list[str], list[int]]:
     """Texts and class numbers: forms of the templates with words dropped, doubled or set in other text; and unknowns."""
     rng = np.random.default_rng(seed)
-    lines = [x for x in corpus if x.strip() and not any(similarity(tokens(x), t) >= CONFIRMED_AT_LEAST for v in _TEMPLATE_TOKENS.values() for t in v)]
+    stated = set()
+    for first, _, data, offs in slices(pa.array(corpus, pa.string())):
+        w = words_of(data, offs)
+        stated.update(first + int(w.text[x.first]) for x in statements(data, w))
+    lines = [x for i, x in enumerate(corpus) if x.strip() and i not in stated and not any(similarity(tokens(x), t) >= CONFIRMED_AT_LEAST for v in _TEMPLATE_TOKENS.values() for t in v)]
     filler = [w for x in (lines or LOOKALIKES) for w in x.split()][:5000]
     texts, labels = [], []
     for k, family in enumerate(TEMPLATES):
@@ -172,16 +309,17 @@ def training_rows(corpus: list[str], seed: int = 8) -> tuple[list[str], list[int
 
 
 def fit_licences(docs: DataFrame, bound: int = SAMPLE) -> Model:
-    ids = fitting.sample_ids(docs.select("doc_id", F.length("text").alias("n")).filter("n between 1 and 20000"), bound, seed=8).select("doc_id").distinct()
-    lines = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.explode(F.split("text", "\n")).alias("line"))  # ``bound`` ids
+    ids = fitting.sample_ids(docs.select("doc_id", F.length("text").alias("n")).filter("n > 0"), bound, seed=8).select("doc_id").distinct()
+    lines = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.explode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("line"))  # ``bound`` ids
     corpus = sorted(r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(PARAGRAPHS).collect())
     texts, labels = training_rows(corpus)
     column = pa.array([t.replace("\n", " ") for t in texts])
     rows: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
     for first, _, data, offs in slices(column):
-        p = paragraphs(data, offs)
-        for i, t in enumerate(p.text.tolist()):
-            bucket = p.bucket[p.owner == i]
+        w = words_of(data, offs)
+        for a, b in zip(*(x.tolist() for x in runs(w.text))):
+            t = int(w.text[a])
+            bucket = (np.concatenate((w.codes[a:b], w.two[a : b - 1])) & U64(SPACE - 1)).astype(np.int64)
             index, n = np.unique(bucket, return_counts=True)
             rows[first + t] = index, n / np.sqrt(len(bucket))
     learner = fitting.Ftrl(SPACE, len(TEMPLATES) + 1, l1=0.02, l2=0.01)
@@ -200,34 +338,57 @@ def fit_licences(docs: DataFrame, bound: int = SAMPLE) -> Model:
 
 
 def scan(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """The licence paragraphs of every whole text.
+    """The licence passages of every whole text.
 
-    One row for each paragraph that is a hit: ``doc_id``, ``line`` (its number in the text, from 0), ``family``,
-    ``score`` (probability of the family), ``unknown`` (probability of no licence), ``template`` (likeness to the
-    family's nearest template), ``confirmed``, ``paragraph``. Texts that are null, empty or without a hit give no
+    One row for each passage that is a hit or confirmed; where such overlap, the closest to a template counts. ``doc_id``,
+    ``line`` (that of its first word, from 0), ``family``, ``score`` (probability of the family), ``unknown``
+    (probability of no licence), ``template`` (likeness to the family's nearest template), ``confirmed``, ``paragraph`` (the
+    passage's lines if they are short, else its words). Texts that are null, empty or without a hit give no
     row; repeated rows give theirs again; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = docs.sparkSession.sparkContext.broadcast(fit_licences(docs, bound))
     schema = "doc_id bigint, line bigint, family string, score double, unknown double, template double, confirmed boolean, paragraph string"
 
+    def passages(m: Model, data: np.ndarray, w: Words) -> list[tuple]:
+        """Rows (rank, first word, end word, family, score, unknown, likeness, confirmed)."""
+        rows = []
+        first, end = units(w)
+        prob = m.probabilities(w, first, end)
+        best = prob.argmax(axis=1)
+        for i in np.flatnonzero((best < len(m.names) - 1) & (prob[:, -1] <= UNKNOWN_AT_MOST)).tolist():
+            a, b = int(first[i]), int(end[i])
+            text = data[w.starts[a] : w.ends[b - 1]].tobytes().decode()
+            words, likely = tokens(text), m.names[best[i]]
+            close = {k: max(similarity(words, t) for t in v) for k, v in _TEMPLATE_TOKENS.items() if k == likely or names_family(text, k)}
+            named = [k for k in close if close[k] >= CONFIRMED_AT_LEAST and names_family(text, k)]
+            family = max(named, key=lambda k: (close[k], k == likely), default=likely)
+            score = float(prob[i, m.names.index(family)])
+            sure = close[family] >= CONFIRMED_AT_LEAST
+            rows.append(((sure, close[family], b - a, score), a, b, family, score, float(prob[i, -1]), close[family], sure))
+        found = statements(data, w)
+        if found:
+            prob = m.probabilities(w, np.array([x.first for x in found]), np.array([x.end for x in found]))
+            for x, of in zip(found, prob):
+                score = float(of[m.names.index(x.family)])
+                rows.append(((True, x.close, x.end - x.first, score), x.first, x.end, x.family, score, float(of[-1]), x.close, True))
+        return apart(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             for first, _, data, offs in slices(batch.column(1)):
-                p = paragraphs(data, offs)
-                if not len(p.first):
+                w = words_of(data, offs)
+                if not len(w.starts):
                     continue
-                prob = m.probabilities(p)
-                best = prob.argmax(axis=1)
-                hits = np.flatnonzero((best < len(m.names) - 1) & (prob[:, -1] <= UNKNOWN_AT_MOST))
                 rows = []
-                for i in hits:
-                    text = data[p.first[i] : p.end[i]].tobytes().decode().rstrip("\n")
-                    family = m.names[best[i]]
-                    close = max(similarity(tokens(text), t) for t in _TEMPLATE_TOKENS[family])
-                    line = int((data[offs[p.text[i]] : p.first[i]] == 0x0A).sum())
-                    rows.append((batch.column(0)[first + int(p.text[i])].as_py(), line, family, float(prob[i, best[i]]), float(prob[i, -1]), close, close >= CONFIRMED_AT_LEAST, text))
+                for _, a, b, family, score, unknown, close, sure in passages(m, data, w):
+                    t, lines = int(w.text[a]), (w.line[a], w.line[b - 1])
+                    lo, hi = w.starts[a], w.ends[b - 1]
+                    if np.searchsorted(w.line, lines[1], "right") - np.searchsorted(w.line, lines[0]) <= WHOLE:
+                        lo, hi = w.edges[lines[0]], w.edges[lines[1] + 1]
+                    line = int((data[offs[t] : w.starts[a]] == 0x0A).sum())
+                    rows.append((batch.column(0)[first + t].as_py(), line, family, score, unknown, close, sure, data[lo:hi].tobytes().decode().rstrip("\n")))
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "line", "family", "score", "unknown", "template", "confirmed", "paragraph"])
