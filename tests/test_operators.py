@@ -133,6 +133,17 @@ def test_pruning_rules(spark):
         assert_unique(df.union(df))
 
 
+def test_default_limits(spark, tmp_path):
+    """The queries with the reference's limits keep 100 records of a document and 75 words of a sentence, no more."""
+    from tuplemill import catalog
+
+    short, long = " ".join(["w"] * 75), " ".join(["w"] * 76)
+    texts = [(1, 0, ".".join(["a b c"] * 100)), (2, 0, ".".join(["a b c"] * 101)), (3, 0, short), (4, 0, long)]
+    spark.createDataFrame(texts, "conv_id bigint, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    kept = lambda name: {r["docid"] for r in catalog.QUERIES[name](spark, str(tmp_path)).select("docid").distinct().collect()}
+    assert kept("doc_size_guard_default") == {"c1", "c3", "c4"} and kept("long_sentence_filter_default") == {"c1", "c2", "c3"}
+
+
 def test_word_functions(spark):
     def of(c):
         return spark.range(1).select(c.alias("x")).first()["x"]

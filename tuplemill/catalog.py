@@ -58,6 +58,16 @@ def doc_size_guard(spark: SparkSession, d: str) -> DataFrame:
     return _flat(P.of_small_documents(_records(spark, d), 40))
 
 
+def long_sentence_filter_default(spark: SparkSession, d: str) -> DataFrame:
+    """With the reference's limit."""
+    return _flat(P.with_short_sentences(_records(spark, d), P.MAX_SENTENCE_WORDS))
+
+
+def doc_size_guard_default(spark: SparkSession, d: str) -> DataFrame:
+    """With the reference's limit."""
+    return _flat(P.of_small_documents(_records(spark, d), P.MAX_DOCUMENT_RECORDS))
+
+
 def inferred_prep_filter(spark: SparkSession, d: str) -> DataFrame:
     return _flat(P.without_inferred_prepositions(_records(spark, d)))
 
@@ -320,7 +330,8 @@ QUERIES = {
     "search_noequality": _search(S.Query(arg1="type:short", equality="noequality")),
     "search_equality": _search(S.Query(arg2="xvar", sort_by="fs+sf", equality="equality")),
     "search_typed": _search(S.Query(arg1="type:long", sort_by="f")),
-    "doc_size_histogram": doc_size_histogram, "parse_success_counts": parse_success_counts, "merge_mentions": merge_mentions, "merge_mentions_all": merge_mentions_all, "format_roundtrip": format_roundtrip,
+    "doc_size_histogram": doc_size_histogram, "parse_success_counts": parse_success_counts, "merge_mentions": merge_mentions, "merge_mentions_all": merge_mentions_all,
+    "long_sentence_filter_default": long_sentence_filter_default, "doc_size_guard_default": doc_size_guard_default, "format_roundtrip": format_roundtrip,
 }
 
 ORACLE_SQL = {
@@ -332,6 +343,8 @@ SELECT docid, sentid, extrid, sentence, hash, arg1, rel, arg2, a1s, (a2s + 1)::I
     "pruned_positions": _last(_BASE + _ANTI + f"v AS (SELECT docid, sentid, extrid, arg1, {_VERB} AS rel, arg2 FROM red0),", f"SELECT *, row_number() OVER (PARTITION BY docid ORDER BY sentid * 1000 + extrid, sentid) - 1 AS position FROM v WHERE {_LIGHT}"),
     "long_sentence_filter": _last(_BASE, _FLAT + "z WHERE len(string_split(rtrim(sentence), ' ')) <= 20"),
     "doc_size_guard": _last(_BASE, _FLAT + "(SELECT *, count(*) OVER (PARTITION BY docid) AS c FROM z) WHERE c <= 40"),
+    "long_sentence_filter_default": _last(_BASE, _FLAT + f"z WHERE len(string_split(rtrim(sentence), ' ')) <= {P.MAX_SENTENCE_WORDS}"),
+    "doc_size_guard_default": _last(_BASE, _FLAT + f"(SELECT *, count(*) OVER (PARTITION BY docid) AS c FROM z) WHERE c <= {P.MAX_DOCUMENT_RECORDS}"),
     "inferred_prep_filter": _last(_BASE, _FLAT + "ix"),
     "extraction_index": _last(_BASE, "SELECT docid, sentid, extrid, arg1, rel, arg2, ix FROM ix"),
     "arg_representations": _last(_BASE, "SELECT docid, sentid, extrid, array_to_string(list_sort([lower(arg1), lower(kind)]), '|') AS forms1, lower(arg2) AS forms2 FROM z"),
