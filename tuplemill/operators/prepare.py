@@ -77,15 +77,17 @@ def sentence_lists(records: DataFrame) -> DataFrame:
     return rows.groupBy("docid").agg(listed.alias("s")).select("docid", F.transform("s", lambda s: s["sentence"]).alias("sentences"), F.transform("s", lambda s: s["offset"]).alias("offsets"))
 
 
-def mention_documents(records: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(docid, size, offsets, mentions): one mention document for each document that rows of mentions name.
+def mention_documents(records: DataFrame, mentions: DataFrame, most: int) -> DataFrame:
+    """(docid, size, offsets, mentions): a mention document of at most ``most`` records for each document that rows of mentions name.
 
-    ``records`` are those that were resolved; ``mentions`` has docid, cluster_id, text, offset.
+    ``records`` are those that were resolved; ``mentions`` has docid, cluster_id, text, offset. Rows of larger documents are
+    dropped before any list is made.
     """
+    small = records.groupBy("docid").agg(F.count("*").alias("size")).filter(F.col("size") <= most)
+    records, mentions = (rows.join(small, "docid", "left_semi") for rows in (records, mentions))
     listed = mentions.groupBy("docid").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "text", "offset"))).alias("mentions"))
-    sizes = records.groupBy("docid").agg(F.count("*").alias("size"))
     offsets = sentence_lists(records).select("docid", "offsets")
-    return listed.join(sizes.join(offsets, "docid"), "docid").select("docid", "size", "offsets", "mentions")
+    return listed.join(small.join(offsets, "docid"), "docid").select("docid", "size", "offsets", "mentions")
 
 
 def merge_mentions(records: DataFrame, mentions: DataFrame, most: int = MAX_DOCUMENT_RECORDS) -> DataFrame:
@@ -96,7 +98,7 @@ def merge_mentions(records: DataFrame, mentions: DataFrame, most: int = MAX_DOCU
     several for one docid the least by its fields counts; those of unknown documents are dropped.
     """
     if "size" not in mentions.columns:
-        mentions = mention_documents(records, mentions)
+        mentions = mention_documents(records, mentions, most)
     fields = F.struct("size", "offsets", "mentions")
     small = mentions.filter(F.col("size") <= most).groupBy("docid").agg(F.min(fields).alias("m"))
     merged = records.join(small, "docid", "left")
