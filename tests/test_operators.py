@@ -37,8 +37,8 @@ def records(spark):
 @pytest.fixture(scope="module")
 def reduced(records):
     plain, equal = nearest_rows(records, None, BOTH)
-    rows = E.document_relgrams(union(plain, equal)).cache()
-    return rows, R.reduced_relgrams(rows).cache(), R.reduced_tuples(E.document_tuples(all_tuples(records, equal))).cache()
+    rows = E.document_pairs(union(plain, equal)).cache()
+    return rows, R.reduced_pairs(rows).cache(), R.reduced_tuples(E.document_tuples(all_tuples(records, equal))).cache()
 
 
 def test_tuples_per_document(records):
@@ -47,8 +47,8 @@ def test_tuples_per_document(records):
 
 
 def test_reduced_counts(reduced):
-    _, relgrams, tuples = reduced
-    got = {tuple(r[c] for c in E.PAIR): (r["window"], r["n"]) for r in relgrams.collect()}
+    _, pairs, tuples = reduced
+    got = {tuple(r[c] for c in E.PAIR): (r["window"], r["n"]) for r in pairs.collect()}
     plain = {(a, "met", "bob", b, "hired", "cy") for a in ("ann", "type:person") for b in ("bob", "type:person")}
     equal = {(a, "met", "XVAR", b, "hired", "cy") for a in ("ann", "type:person") for b in ("XVAR", "XVAR:type:person")}
     assert got == dict.fromkeys(plain | equal, (1, 2))
@@ -64,8 +64,8 @@ def test_heads(reduced):
 
 
 def test_measures_and_search(reduced):
-    _, relgrams, tuples = reduced
-    m = M.measures(relgrams, tuples, width=3, directed=1, least=2)
+    _, pairs, tuples = reduced
+    m = M.measures(pairs, tuples, width=3, directed=1, least=2)
     assert m.count() == 16
     index = M.index(m, alpha=0.5, delta=1.0, more_than=None).cache()
     row = index.filter("farg1 = 'ann' and farg2 = 'bob' and sarg1 = 'bob'").first()
@@ -110,7 +110,7 @@ def test_gate_against_a_loop(spark):
                 f, s, total = f | a, s | b, total + n
         expected[f"k{key}"] = total
     df = spark.createDataFrame(rows, "docid string, " + ", ".join(f"{c} string" for c in E.PAIR) + ", fhashes array<int>, shashes array<int>, counts map<int,bigint>")
-    assert {r["farg1"]: r["n"] for r in R.reduced_relgrams(df).collect()} == expected
+    assert {r["farg1"]: r["n"] for r in R.reduced_pairs(df).collect()} == expected
 
 
 def test_pruning_rules(spark):
@@ -196,7 +196,7 @@ def test_formats_round_trip(spark, reduced, tmp_path):
     assert of(text.parse_document_mentions(F.lit(document)))["mentions"] == []
     assert of(text.parse_string_counts(F.lit("a_CSEP_1_ESEP_b_ESEP_c_CSEP_3"))) == {"a": 1, "c": 3} and of(text.parse_window_counts(F.lit("x"))) == {}
     tuple_line = "ann\tmet\tbob\t1,2\ts1_SENT_SEP_s2\td-0-1\tAnn_CSEP_2\tBob_CSEP_2"
-    counts = f"{tuple_line}{text.RELGRAM_SEP}{tuple_line}{text.RELGRAM_COUNTS_SEP}1:2,3:4{text.RELGRAM_COUNTS_SEP}a_CSEP_1\tb_CSEP_1\tc_CSEP_1\td_CSEP_1"
+    counts = f"{tuple_line}{text.PAIR_SEP}{tuple_line}{text.PAIR_COUNTS_SEP}1:2,3:4{text.PAIR_COUNTS_SEP}a_CSEP_1\tb_CSEP_1\tc_CSEP_1\td_CSEP_1"
     measures = f"{counts}{text.UNDIRECTED_SEP}1:2{text.MEASURES_SEP}5"
     back = of(text.format_measures(text.parse_measures(F.lit(measures))))
     assert back == f"{measures}{text.MEASURES_SEP}0"
@@ -204,7 +204,7 @@ def test_formats_round_trip(spark, reduced, tmp_path):
     affinity = text.AFFINITY_SEP.join(["0.5,0.25_WSEP_0.37500000"] * 4)
     assert of(text.format_affinities(text.parse_affinities(F.lit(affinity)))) == affinity
     spark.createDataFrame([(counts,), ("bad",)], "value string").write.text(str(tmp_path / "r"))
-    assert text.read_relgrams(spark, str(tmp_path / "r")).count() == 1
+    assert text.read_pairs(spark, str(tmp_path / "r")).count() == 1
     assert of(text.blocks(F.lit("abcde"), 2)) == ["ab", "cd", "e"]
 
 
@@ -216,8 +216,8 @@ def test_jobs_end_to_end(spark, records, tmp_path):
     jobs.prepare(spark, str(tmp_path / "lines"), str(tmp_path / "records"))
     d = Defaults(equality=True, min_directed=1, min_undirected=2, measure_window=3)
     jobs.extract(spark, str(tmp_path / "records"), str(tmp_path / "out"), d=d)
-    jobs.frequency_filter(spark, str(tmp_path / "out/relgrams"), str(tmp_path / "filtered"), least=1)
-    jobs.measure(spark, str(tmp_path / "out/relgrams"), str(tmp_path / "out/tuples"), str(tmp_path / "measures"), d)
+    jobs.frequency_filter(spark, str(tmp_path / "out/pairs"), str(tmp_path / "filtered"), least=1)
+    jobs.measure(spark, str(tmp_path / "out/pairs"), str(tmp_path / "out/tuples"), str(tmp_path / "measures"), d)
     jobs.build_index(spark, str(tmp_path / "measures"), str(tmp_path / "index"), Defaults(index_min=1))
     assert spark.read.parquet(str(tmp_path / "index")).count() == 16
     with pytest.raises(ValueError):

@@ -90,9 +90,9 @@ def window_pairs(spark: SparkSession, d: str) -> DataFrame:
     return E.pairs(E.indexed(_records(spark, d))).select("docid", "sentid", F.col("o_extrid").alias("outer_id"), F.col("i_extrid").alias("inner_id"), F.col("window").cast("bigint").alias("window"))
 
 
-def relgram_counts(spark: SparkSession, d: str) -> DataFrame:
+def pair_counts(spark: SparkSession, d: str) -> DataFrame:
     plain, _ = nearest_rows(_records(spark, d), None, Defaults())
-    return E.relgram_counts(plain).withColumn("window", F.col("window").cast("bigint"))
+    return E.pair_counts(plain).withColumn("window", F.col("window").cast("bigint"))
 
 
 def tuple_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -105,21 +105,21 @@ def equality_args(spark: SparkSession, d: str) -> DataFrame:
     return E.shared_arguments(E.pairs(E.indexed(records)), E.mention_keys(records, None)).select("docid", "sentid", F.col("o_extrid").alias("outer_id"), F.col("i_extrid").alias("inner_id"), "shared")
 
 
-def equality_relgrams(spark: SparkSession, d: str) -> DataFrame:
-    return E.relgram_counts(nearest_rows(_records(spark, d), None, BOTH)[1]).withColumn("window", F.col("window").cast("bigint"))
+def equality_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return E.pair_counts(nearest_rows(_records(spark, d), None, BOTH)[1]).withColumn("window", F.col("window").cast("bigint"))
 
 
 def _reduced(spark: SparkSession, d: str) -> DataFrame:
-    return R.reduced_relgrams(E.document_counts(union(*nearest_rows(_records(spark, d), None, BOTH))))
+    return R.reduced_pairs(E.document_counts(union(*nearest_rows(_records(spark, d), None, BOTH))))
 
 
-def relgrams_reduced(spark: SparkSession, d: str) -> DataFrame:
+def pairs_reduced(spark: SparkSession, d: str) -> DataFrame:
     return _reduced(spark, d).withColumn("window", F.col("window").cast("bigint"))
 
 
 def reduced_heads(spark: SparkSession, d: str) -> DataFrame:
-    """Top heads of reduced plain relgrams, as lines."""
-    heads = R.reduced_heads(E.document_relgrams(nearest_rows(_records(spark, d), None, Defaults())[0]))
+    """Top heads of reduced plain tuple pairs, as lines."""
+    heads = R.reduced_heads(E.document_pairs(nearest_rows(_records(spark, d), None, Defaults())[0]))
     return heads.select(*E.PAIR, *(text.format_string_counts(F.col(c)).alias(c) for c in R.HEAD_MAPS))
 
 
@@ -135,8 +135,8 @@ def frequency_filter(spark: SparkSession, d: str) -> DataFrame:
 def _measures(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d)
     plain, equal = nearest_rows(records, None, BOTH)
-    relgrams = R.reduced_relgrams(E.document_counts(union(plain, equal)))
-    return M.measures(relgrams, R.reduced_tuples(E.document_tuples(all_tuples(records, equal))), WIDTH, DIRECTED, LEAST)
+    pairs = R.reduced_pairs(E.document_counts(union(plain, equal)))
+    return M.measures(pairs, R.reduced_tuples(E.document_tuples(all_tuples(records, equal))), WIDTH, DIRECTED, LEAST)
 
 
 def undirected_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +156,7 @@ def affinity(spark: SparkSession, d: str) -> DataFrame:
 
 def successors(spark: SparkSession, d: str) -> DataFrame:
     """Which tuples most often follow each tuple within the window."""
-    rows = M.successors(R.reduced_relgrams(E.document_counts(nearest_rows(_records(spark, d), None, Defaults())[0])), 3)
+    rows = M.successors(R.reduced_pairs(E.document_counts(nearest_rows(_records(spark, d), None, Defaults())[0])), 3)
     return rows.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -202,14 +202,14 @@ def merge_mentions_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def format_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Reduced relgrams written as lines and parsed again."""
+    """Reduced tuple pairs written as lines and parsed again."""
     rows = M.as_maps(_reduced(spark, d))
     none, empty = F.array().cast("array<string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     side = lambda p: F.struct(F.col(f"{p}arg1").alias("arg1"), F.col(f"{p}rel").alias("rel"), F.col(f"{p}arg2").alias("arg2"), F.array().cast("array<int>").alias("hashes"), none.alias("sentences"), none.alias("ids"), empty.alias("arg1_heads"), empty.alias("arg2_heads"))
     heads = F.struct(*(empty.alias(h) for h in text.HEADS))
-    lines = rows.select(text.format_relgram_counts(F.struct(F.struct(side("f").alias("first"), side("s").alias("second")).alias("relgram"), "counts", heads.alias("heads"))).alias("value"))
-    back = lines.select(text.parse_relgram_counts(F.col("value")).alias("r")).select("r.relgram", F.explode("r.counts").alias("window", "n"))
-    names = [F.col(f"relgram.{side}.{c}").alias(f"{side[0]}{c}") for side in ("first", "second") for c in E.TUPLE]
+    lines = rows.select(text.format_pair_counts(F.struct(F.struct(side("f").alias("first"), side("s").alias("second")).alias("pair"), "counts", heads.alias("heads"))).alias("value"))
+    back = lines.select(text.parse_pair_counts(F.col("value")).alias("r")).select("r.pair", F.explode("r.counts").alias("window", "n"))
+    names = [F.col(f"pair.{side}.{c}").alias(f"{side[0]}{c}") for side in ("first", "second") for c in E.TUPLE]
     return back.select(*names, F.col("window").cast("bigint").alias("window"), F.col("n").cast("bigint").alias("n"))
 
 
@@ -324,8 +324,8 @@ QUERIES = {
     "records_from_text": records_from_text, "prune_redundant": prune_redundant, "prune_verbs": prune_verbs, "pruned_positions": pruned_positions,
     "long_sentence_filter": long_sentence_filter, "doc_size_guard": doc_size_guard, "inferred_prep_filter": inferred_prep_filter,
     "extraction_index": extraction_index, "arg_representations": arg_representations, "relation_tuples": relation_tuples, "window_pairs": window_pairs,
-    "relgram_counts": relgram_counts, "tuple_counts": tuple_counts, "equality_args": equality_args, "equality_relgrams": equality_relgrams,
-    "relgrams_reduced": relgrams_reduced, "reduced_heads": reduced_heads, "cumulative_counts": cumulative_counts, "frequency_filter": frequency_filter,
+    "pair_counts": pair_counts, "tuple_counts": tuple_counts, "equality_args": equality_args, "equality_pairs": equality_pairs,
+    "pairs_reduced": pairs_reduced, "reduced_heads": reduced_heads, "cumulative_counts": cumulative_counts, "frequency_filter": frequency_filter,
     "undirected_counts": undirected_counts, "measures": measures, "affinity": affinity, "successors": successors,
     "search_noequality": _search(S.Query(arg1="type:short", equality="noequality")),
     "search_equality": _search(S.Query(arg2="xvar", sort_by="fs+sf", equality="equality")),
@@ -353,11 +353,11 @@ fs AS (SELECT docid, arg1, rel, arg2, sentence, min(r) AS r FROM n GROUP BY ALL)
 fs5 AS (SELECT docid, arg1, rel, arg2, string_agg(sentence, '|' ORDER BY r) AS sentences FROM (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY docid, arg1, rel, arg2 ORDER BY r) <= 5) GROUP BY ALL)
 SELECT docid, arg1, rel, arg2, count(*) AS n, arg_min(hash, r) AS hash, any_value(sentences) AS sentences, string_agg(docid || '-' || sentid || '-' || extrid, ',' ORDER BY r) FILTER (r <= 5) AS ids FROM n JOIN fs5 USING (docid, arg1, rel, arg2) GROUP BY docid, arg1, rel, arg2"""),
     "window_pairs": _last(_BASE + _PAIRS, 'SELECT docid, sentid, outer_id, inner_id, win AS "window" FROM pairs'),
-    "relgram_counts": _last(_BASE + _PAIRS, f'SELECT docid, {KEY}, win AS "window", count(*) AS n FROM plain GROUP BY docid, {KEY}, win'),
+    "pair_counts": _last(_BASE + _PAIRS, f'SELECT docid, {KEY}, win AS "window", count(*) AS n FROM plain GROUP BY docid, {KEY}, win'),
     "tuple_counts": _last(_BASE + _PAIRS + _EQUAL + _TUPLES, "SELECT * FROM tup"),
     "equality_args": _last(_BASE + _PAIRS, "SELECT docid, sentid, outer_id, inner_id, shared FROM pairs WHERE shared IS NOT NULL"),
-    "equality_relgrams": _last(_BASE + _PAIRS + _EQUAL, f'SELECT docid, {KEY}, win AS "window", count(*) AS n FROM equal GROUP BY docid, {KEY}, win'),
-    "relgrams_reduced": _last(_RED, "SELECT * FROM red"),
+    "equality_pairs": _last(_BASE + _PAIRS + _EQUAL, f'SELECT docid, {KEY}, win AS "window", count(*) AS n FROM equal GROUP BY docid, {KEY}, win'),
+    "pairs_reduced": _last(_RED, "SELECT * FROM red"),
     "cumulative_counts": _last(_RED + _CUM, "SELECT * FROM cum"),
     "frequency_filter": _last(_RED, f"""SELECT * FROM (SELECT {KEY}, w AS "window", sum(CASE WHEN "window" <= w THEN n ELSE 0 END)::BIGINT AS n FROM red, range(0, {WIDTH}) t(w)
 WHERE {" AND ".join(f"regexp_matches({c}, '^[a-zA-Z0-9]')" for c in E.PAIR)} GROUP BY {KEY}, w

@@ -92,11 +92,11 @@ def shared_arguments(pairs_: DataFrame, keys: DataFrame) -> DataFrame:
     return pairs_.withColumn("shared", shared).filter("shared is not null").drop("ok1", "ok2", "ik1", "ik2")
 
 
-def plain_relgrams(pairs_: DataFrame) -> DataFrame:
+def plain_pairs(pairs_: DataFrame) -> DataFrame:
     return _exploded(pairs_, [])
 
 
-def equality_relgrams(shared_pairs: DataFrame) -> DataFrame:
+def equality_pairs(shared_pairs: DataFrame) -> DataFrame:
     """Pairs with the shared argument replaced by the variable, where the variables' types agree."""
     rows = _exploded(shared_pairs, ["shared"])
     f, s = F.substring("shared", 1, 1), F.substring("shared", 2, 1)
@@ -104,10 +104,10 @@ def equality_relgrams(shared_pairs: DataFrame) -> DataFrame:
     return rows.withColumns(forms).drop("shared").filter(T.types_compatible(*(F.col(n) for n in ("farg1", "farg2", "sarg1", "sarg2"))))
 
 
-def nearest(relgram_rows: DataFrame) -> DataFrame:
+def nearest(pair_rows: DataFrame) -> DataFrame:
     """A key counts once for each outer record, at its nearest inner record."""
     first = F.min(F.struct("window", "inner_extrid", "fhashes", "shashes", "heads")).alias("n")
-    return relgram_rows.groupBy("docid", "sentid", "extrid", *PAIR).agg(first).select("docid", "sentid", "extrid", *PAIR, "n.*")
+    return pair_rows.groupBy("docid", "sentid", "extrid", *PAIR).agg(first).select("docid", "sentid", "extrid", *PAIR, "n.*")
 
 
 def document_counts(nearest_rows: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def document_counts(nearest_rows: DataFrame) -> DataFrame:
     return counts.select(*key, "counts", F.col("first.fhashes").alias("fhashes"), F.col("first.shashes").alias("shashes"))
 
 
-def document_relgrams(nearest_rows: DataFrame) -> DataFrame:
+def document_pairs(nearest_rows: DataFrame) -> DataFrame:
     """``document_counts`` with the counts of the four heads."""
     key = ["docid", *PAIR]
     heads = nearest_rows.select(*key, F.posexplode(F.array("heads.f1", "heads.f2", "heads.s1", "heads.s2")).alias("side", "head")).groupBy(*key, "side", "head").agg(F.count("*").alias("n"))
@@ -127,13 +127,13 @@ def document_relgrams(nearest_rows: DataFrame) -> DataFrame:
     return document_counts(nearest_rows).join(heads.groupBy(*key).agg(*maps), key)
 
 
-def relgram_counts(nearest_rows: DataFrame) -> DataFrame:
+def pair_counts(nearest_rows: DataFrame) -> DataFrame:
     """Long form per document: key, window, n."""
     return nearest_rows.groupBy("docid", *PAIR, "window").agg(F.count("*").alias("n"))
 
 
 def equality_tuples(equality_rows: DataFrame) -> DataFrame:
-    """Each accepted equality relgram counts a tuple for both its sides."""
+    """Each accepted equality pair counts a tuple for both its sides."""
     one = equality_rows.select("docid", F.col("farg1").alias("arg1"), F.col("frel").alias("rel"), F.col("farg2").alias("arg2"), "sentid", "extrid", F.col("heads.f1").alias("arg1_head"), F.col("heads.f2").alias("arg2_head"))
     two = equality_rows.select("docid", F.col("sarg1").alias("arg1"), F.col("srel").alias("rel"), F.col("sarg2").alias("arg2"), "sentid", F.col("inner_extrid").alias("extrid"), F.col("heads.s1").alias("arg1_head"), F.col("heads.s2").alias("arg2_head"))
     return one.union(two)

@@ -1,6 +1,6 @@
 """From reduced counts to cumulative, undirected and conditional measures.
 
-``relgrams``: key, window, n (long form). ``tuples``: arg1, rel, arg2, n.
+``pairs``: key, window, n (long form). ``tuples``: arg1, rel, arg2, n.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ ALPHA, DELTA, INDEX_MIN = 0.9, 1000.0, 5
 FLIPPED = ["sarg1", "srel", "sarg2", "farg1", "frel", "farg2"]
 
 
-def as_maps(relgrams: DataFrame) -> DataFrame:
+def as_maps(pairs: DataFrame) -> DataFrame:
     """One row for each key with ``counts`` map<window, n>; a key's windows are bounded by the window size."""
-    return relgrams.groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct(F.col("window").cast("int"), F.col("n").cast("bigint")))).alias("counts"))
+    return pairs.groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct(F.col("window").cast("int"), F.col("n").cast("bigint")))).alias("counts"))
 
 
 def as_rows(mapped: DataFrame) -> DataFrame:
@@ -77,8 +77,8 @@ def with_marginals(undirected_: DataFrame, tuples: DataFrame) -> DataFrame:
     return out.select(*PAIR, "counts", "biterm", "f", "s")
 
 
-def measures(relgrams: DataFrame, tuples: DataFrame, width: int = MEASURE_WINDOW, directed: int = MIN_DIRECTED, least: int = MIN_UNDIRECTED) -> DataFrame:
-    return with_marginals(undirected(cumulated(above_directed(as_maps(relgrams), directed), width), least), tuples)
+def measures(pairs: DataFrame, tuples: DataFrame, width: int = MEASURE_WINDOW, directed: int = MIN_DIRECTED, least: int = MIN_UNDIRECTED) -> DataFrame:
+    return with_marginals(undirected(cumulated(above_directed(as_maps(pairs), directed), width), least), tuples)
 
 
 def with_affinities(measures_: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -93,8 +93,8 @@ def index(measures_: DataFrame, alpha: float = ALPHA, delta: float = DELTA, more
     return with_affinities(kept, alpha, delta).withColumn("id", F.sha2(F.concat_ws("\t", *PAIR), 256))
 
 
-def successors(relgrams: DataFrame, top: int = 1) -> DataFrame:
+def successors(pairs: DataFrame, top: int = 1) -> DataFrame:
     """For each first tuple the ``top`` tuples that follow it most often, over all windows."""
-    total = relgrams.groupBy(*PAIR).agg(F.sum("n").alias("n"))
+    total = pairs.groupBy(*PAIR).agg(F.sum("n").alias("n"))
     order = Window.partitionBy(*PAIR[:3]).orderBy(F.desc("n"), *PAIR[3:])
     return total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

@@ -1,4 +1,4 @@
-"""Merging documents' counts. Relgram counts are gated by sentence hashes, tuple counts are summed.
+"""Merging documents' counts. Pair counts are gated by sentence hashes, tuple counts are summed.
 
 A document counts for a key only if neither side's hashes meet those of the documents accepted before it,
 in order of ``docid``. The fold is order-dependent, but little of the data needs it:
@@ -52,7 +52,7 @@ def _gate(entries: Column) -> Column:
     return F.aggregate(entries, zero, step, lambda acc: acc["docs"])
 
 
-def reduced_relgrams(document_rows: DataFrame) -> DataFrame:
+def reduced_pairs(document_rows: DataFrame) -> DataFrame:
     """(key, window, n) over all documents; ``document_rows`` has key, docid, hashes and ``counts``."""
     passed = accepted_documents(document_rows, ["counts"])
     return passed.select(*PAIR, F.explode("counts").alias("window", "n")).groupBy(*PAIR, "window").agg(F.sum("n").alias("n"))
