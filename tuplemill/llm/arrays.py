@@ -23,6 +23,7 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -36,6 +37,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _salts(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=U64) * _BASE)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
     if len(_powers[0]) < n:
@@ -47,8 +52,55 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``values[start:end]``, independent of its place."""
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each ``data[start:end]``.
+
+    Eight bytes at a time are scrambled with a salt of their place and summed. The scrambler isn't linear, so that
+    texts of a regular build (as Thue-Morse words, which no polynomial modulo 2**64 tells apart) don't collide.
+    """
+    size = ends - starts
+    n_blocks = (size + 7) >> 3
+    eight = unaligned(data)
+    out = np.zeros(len(starts), U64)
+    if n_blocks.sum():
+        some = np.flatnonzero(n_blocks)
+        one = n_blocks[some] == 1
+        if one.all():
+            at, left, block, first = starts[some], size[some], np.zeros(len(some), np.int64), None
+        else:
+            first = np.cumsum(n_blocks[some]) - n_blocks[some]
+            block = ranges(np.zeros(len(some), np.int64), n_blocks[some])
+            at = np.repeat(starts[some], n_blocks[some]) + 8 * block
+            left = np.repeat(ends[some], n_blocks[some]) - at
+        v = eight[at] & _MASKS[np.minimum(left, 8)]
+        v ^= _salts(int(block.max()) + 1)[block]
+        v = mix(v)
+        out[some] = v if first is None else np.add.reduceat(v, first)
+    out += size.astype(U64) * U64(0xD6E8FEB86659FD93)
+    return mix(out)
+
+
+def unaligned(data: np.ndarray) -> np.ndarray:
+    """For each byte the eight bytes from it on as an integer; zeros follow the last byte."""
+    raw = np.frombuffer(data.tobytes() + b"\0" * (16 - len(data) % 8), U64)
+    return np.lib.stride_tricks.as_strided(raw, (len(data),), (1,))
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``data[a:a + size]`` equals ``data[b:b + size]``, byte by byte."""
+    out = np.ones(len(a), bool)
+    eight = unaligned(data)
+    rows, k = np.flatnonzero(size > 0), 0
+    while len(rows):
+        differ = (eight[a[rows] + k] ^ eight[b[rows] + k]) & _MASKS[np.minimum(size[rows] - k, 8)]
+        out[rows[differ != 0]] = False
+        k += 8
+        rows = rows[(differ == 0) & (size[rows] > k)]
+    return out
+
+
+def runs_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ``values[start:end]``, independent of its place; for runs of a few hundred values at most."""
     up, down = powers(len(values) + 1)
     total = np.zeros(len(values) + 1, U64)
     np.cumsum(values * up[: len(values)], out=total[1:])
@@ -58,7 +110,7 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def grams_hash(values: np.ndarray, m: int) -> np.ndarray:
-    """The hash of every run of ``m`` values; ``len(values) - m + 1`` of them."""
+    """The hash of every run of ``m`` values, a few hundred at most; ``len(values) - m + 1`` of them."""
     n = len(values) - m + 1
     if n <= 0:
         return np.zeros(0, U64)
@@ -123,8 +175,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     """A 64-bit code of each word."""
-    codes = BYTE_CODES[LOWER] if lower else BYTE_CODES
-    return spans_hash(codes[data], starts, ends)
+    return spans_hash(LOWER[data] if lower else data, starts, ends)
 
 
 def shingle_sets(column: pa.Array, k: int, lower: bool = True) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -142,7 +193,7 @@ def shingle_sets(column: pa.Array, k: int, lower: bool = True) -> Iterator[tuple
             if b - a >= k:
                 out.append(np.unique(grams[a : b - k + 1]))
             elif b > a:
-                out.append(spans_hash(codes[a:b].copy(), np.array([0]), np.array([b - a])))
+                out.append(runs_hash(codes[a:b].copy(), np.array([0]), np.array([b - a])))
             else:
                 out.append(np.zeros(0, U64))
         yield first, out

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuplemill.llm.arrays import BYTE_CODES, ranges, slices, spans_hash
+from tuplemill.llm.arrays import equal_spans, ranges, slices, spans_hash
 
 #: Pieces in each of the two generations of a worker's memo; the older one goes when the younger is full.
 MEMO_PIECES = 150_000
@@ -39,20 +39,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
+def merge_table(ranks: dict[bytes, int]) -> np.ndarray:
+    """For each merged token its rank and the ranks of the two tokens that it is merged from; the second is -1 if no merge makes it."""
+    rows = [(rank, *_last_merge(ranks, token, rank)) for token, rank in ranks.items() if len(token) > 1]
+    return np.array(rows, np.int32).reshape(-1, 3)
+
+
+def _last_merge(ranks: dict[bytes, int], token: bytes, rank: int) -> tuple[int, int]:
+    """The two tokens left when only merges below ``rank`` are done on ``token``."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        options = [(ranks[t], i) for i in range(len(parts) - 1) if (t := parts[i] + parts[i + 1]) in ranks and ranks[t] < rank]
+        if not options:
+            break
+        i = min(options)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    if len(parts) != 2:
+        return ranks[token[:1]], -1  # can't be reached by merges; never fits after another half
+    return ranks[parts[0]], ranks[parts[1]]
+
+
 class Vocabulary:
     """Ranks, the two tokens that each merged token comes from, and an automaton that finds the tokens ending at each byte."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], merges: np.ndarray | None = None):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
-        self.halves: dict[int, tuple[int, int]] = {}
         self.shift = max(ranks.values()).bit_length() + 1
-        self.pairs: dict[int, int] = {}
-        for token, rank in ranks.items():
-            if len(token) > 1:
-                a, b = self._last_merge(token, rank)
-                self.halves[rank] = (a, b)
-                self.pairs[a << self.shift | b] = rank
+        merges = merge_table(ranks) if merges is None else merges
+        self.halves = {r: (a, b) for r, a, b in merges.tolist()}
+        self.pairs = {a << self.shift | b: r for r, a, b in merges.tolist()}
         self.fitting: dict[int, bool] = {}
         self.longest = max(map(len, ranks))
         self.automaton = ahocorasick.Automaton()
@@ -60,19 +76,6 @@ class Vocabulary:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
 
-    def _last_merge(self, token: bytes, rank: int) -> tuple[int, int]:
-        """The two tokens left when only merges below ``rank`` are done on ``token``."""
-        parts = [token[i : i + 1] for i in range(len(token))]
-        while len(parts) > 2:
-            options = [(self.ranks[t], i) for i in range(len(parts) - 1) if (t := parts[i] + parts[i + 1]) in self.ranks and self.ranks[t] < rank]
-            if not options:
-                break
-            i = min(options)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        if len(parts) != 2:
-            return self.ranks[token[:1]], -1  # can't be reached by merges; never fits after another half
-        return self.ranks[parts[0]], self.ranks[parts[1]]
-
     def fits(self, left: int, right: int) -> bool:
         """True if the encoding of ``left``'s and ``right``'s bytes together is these two tokens.
 
@@ -227,11 +230,28 @@ class Splitter:
         return np.flatnonzero(start)
 
 
+def distinct_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, name: Callable = spans_hash) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct ``data[begin:end]``, and for each span which of those it equals. Names group, bytes decide."""
+    _, at, which = np.unique(name(data, begin, end), return_index=True, return_inverse=True)
+    size = end - begin
+    same = size == size[at][which]
+    same[same] = equal_spans(data, begin[same], begin[at][which[same]], size[same])
+    if not same.all():
+        odd = np.flatnonzero(~same)
+        spans = [data[begin[i] : end[i]].tobytes() for i in odd.tolist()]
+        first = {x: i for i, x in reversed(list(enumerate(spans)))}
+        slot = {x: len(at) + k for k, x in enumerate(first)}
+        at = np.concatenate((at, odd[list(first.values())]))
+        which = which.copy()
+        which[odd] = [slot[x] for x in spans]
+    return at, which
+
+
 class Encoder:
     """Texts to ids and back, with a bounded memo of short pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.vocabulary = Vocabulary(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, merges: np.ndarray | None = None):
+        self.vocabulary = Vocabulary(ranks, merges)
         self.splitter = Splitter(pattern)
         self.young: dict[bytes, tuple[bytes, int, bytes]] = {}
         self.old: dict[bytes, tuple[bytes, int, bytes]] = {}
@@ -258,8 +278,7 @@ class Encoder:
         starts = self.splitter.starts(points, where)
         begin = lead[starts] if len(starts) else np.zeros(0, np.int64)
         end = np.append(begin[1:], len(data))
-        keys = spans_hash(BYTE_CODES[data], begin, end)
-        _, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        at, which = distinct_spans(data, begin, end)
         raw = data.tobytes()
         got = [self.piece(raw[a:b]) for a, b in zip(begin[at].tolist(), end[at].tolist())]
         counts = np.array([x[1] for x in got], np.int64)
@@ -292,13 +311,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     ``decoded_sha256`` (of the decoded bytes) and, if asked, ``ids`` (array<int>). A null or
     empty text has no tokens and the digests of an empty string; a null ``doc_id`` stays
     null; a row that repeats gives a result each time. Other columns are dropped, whatever
-    their names. ``ranks_path`` is opened on the executors: a file at the same place on
-    every machine. Memory: a slice of about a megabyte of text, or one text if that is longer.
+    their names. ``ranks_path`` is read on the driver; the vocabulary (some megabytes, whatever the
+    input) is broadcast. Memory: a slice of about a megabyte of text, or one text if that is longer.
     """
+    ranks = load_ranks(ranks_path)
+    vocabulary = docs.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks)))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(ranks_path), pattern)  # for one task: a worker that goes on to other work keeps nothing
+        ranks, merges = vocabulary.value
+        encoder = Encoder(ranks, pattern, merges)  # for one task: a worker that goes on to other work keeps nothing of it
         for batch in batches:
             for first, end, data, offs in slices(batch.column(1)):
                 rows = list(encoder.encode_batch(data, offs))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplemill.llm import fitting
-from tuplemill.llm.arrays import BYTE_CODES, LOWER, U64, grams_hash, slices, spans_hash
+from tuplemill.llm.arrays import LOWER, U64, grams_hash, runs_hash, slices, spans_hash
 
 #: Corpus documents of which paragraphs teach the unknown class, at most; and paragraphs.
 SAMPLE, PARAGRAPHS = 400, 3_000
@@ -157,7 +157,7 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> Words:
     solid[1:-1] = _WORD[data]
     starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
     ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
-    codes = spans_hash(BYTE_CODES[LOWER][data], starts, ends)
+    codes = spans_hash(LOWER[data], starts, ends)
     text = np.searchsorted(offs, starts, "right") - 1
     edges = np.append(np.flatnonzero(edge[:-1]), len(data))
     return Words(starts, ends, codes, grams_hash(codes, 2), text[1:] == text[:-1], text, (np.cumsum(edge) - 1)[starts], edges)
@@ -196,7 +196,7 @@ def _title_hashes() -> dict[int, str]:
     for k, v in TITLES.items():
         for t in v:
             w = words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
-            found[int(spans_hash(w.codes, np.array([0]), np.array([len(w.codes)]))[0])] = k
+            found[int(runs_hash(w.codes, np.array([0]), np.array([len(w.codes)]))[0])] = k
     return found
 
 
@@ -223,7 +223,7 @@ def statements(data: np.ndarray, w: Words) -> list[Passage]:
     A run may be longer than the template by a quarter and two words.
     """
     first, end = runs(w.line)
-    hashes = spans_hash(w.codes, first, end)
+    hashes = runs_hash(w.codes, first, end)
     found = [Passage(int(first[i]), int(end[i]), _TITLES[int(hashes[i])], 1.0) for i in np.flatnonzero(np.isin(hashes, _TITLE_HASHES))]
     slot = np.searchsorted(_GRAMS, w.two)
     pos = np.flatnonzero((_GRAMS[np.minimum(slot, len(_GRAMS) - 1)] == w.two) & w.same)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplemill.llm import fitting
-from tuplemill.llm.arrays import BYTE_CODES, LOWER, U64, slices, spans_hash
+from tuplemill.llm.arrays import LOWER, U64, slices, spans_hash
 
 #: Positives, and unlabelled documents, that the classifiers are fitted on at most.
 POSITIVES, UNLABELLED = 4_000, 8_000
@@ -43,9 +43,9 @@ def word_buckets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
         edge[offs] = True
         starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
         ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
-        codes = BYTE_CODES[LOWER][data]
+        low = LOWER[data]
         long = starts[ends - starts > STEM]
-        h = np.concatenate((spans_hash(codes, starts, ends), ~spans_hash(codes, long, long + STEM))) & U64(SPACE - 1)
+        h = np.concatenate((spans_hash(low, starts, ends), ~spans_hash(low, long, long + STEM))) & U64(SPACE - 1)
         owner = np.searchsorted(offs, np.concatenate((starts, long)), "right") - 1
         pairs = np.unique(owner.astype(np.int64) * SPACE + h.astype(np.int64))
         yield len(offs) - 1, pairs // SPACE, pairs % SPACE
