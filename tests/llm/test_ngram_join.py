@@ -6,7 +6,9 @@ import pytest
 
 from tuplemill.llm import ngram_join
 from tuplemill.llm.components import components
-from tuplemill.llm.ngram_join import band_of, bound_holds, fold, jaccard_groups, signature
+from tuplemill.llm.arrays import Shingles, binary_column
+from tuplemill.llm.ngram_join import bands, bound_holds, folded, jaccard_groups, jaccard_links, signatures
+from tests.llm.test_repeats import thue_morse
 
 
 def brute(rows, k=4, percent=85):
@@ -58,6 +60,46 @@ def test_chains_and_crowded_tiles(spark, monkeypatch):
         check(df, percent=percent)
 
 
+def test_crowded_tiles_in_rounds(spark, monkeypatch):
+    """Copies with many edits each share tiles, but few link: each node's nearest comes first, the rest after it."""
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 2, 3, 4])):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for percent in (85, 75, 60):
+        check(df, percent=percent)
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    one, two = thue_morse(2048)
+    rest = "a b c d e f g h i j k l m n o p"
+    check(spark.createDataFrame([(1, one), (2, two), (3, f"{one} {rest}"), (4, f"{two} {rest}"), (5, one)], "doc_id bigint, text string"))
+
+
+def test_all_links(spark, corpus):
+    """Every link between unlike sets, with each document's number of links."""
+    links, documents = jaccard_links(corpus)
+    node = {r["doc_id"]: (r["node"], r["n_links"]) for r in documents.collect()}
+    sets = {}
+    for r in corpus.collect():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r["text"] or "").encode()))
+        sets[r["doc_id"]] = frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset({tuple(w)} if w else ())
+    assert set(node) == set(sets)
+    unlike = sorted(set(sets.values()), key=lambda x: sorted(x))
+    expected = {frozenset((a, b)) for i, a in enumerate(unlike) for b in unlike[:i] if a and b and 100 * len(a & b) >= 85 * len(a | b)}
+    of = {node[d][0]: s for d, s in sets.items() if s}
+    assert {frozenset((of[r["a"]], of[r["b"]])) for r in links.collect()} == expected
+    for d, s in sets.items():
+        assert (node[d][0] is None) == (not s) and node[d][1] == sum(s in e for e in expected)
+
+
 def test_edges_of_input(spark, empty):
     assert jaccard_groups(empty).count() == 0
     same = "a b c d e"
@@ -76,10 +118,13 @@ def test_bound_never_drops_a_link():
             continue
         shared = len(np.intersect1d(a, b))
         if 100 * shared >= 85 * (len(a) + len(b) - shared):
-            x, y = signature(a), signature(b)
-            assert abs(band_of(len(a)) - band_of(len(b))) <= 1
-            x, y = (fold(x) if len(x) > len(y) else x), (fold(y) if len(y) > len(x) else y)
-            differ = (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+            n = np.array([len(a), len(b)])
+            z = np.zeros(0, np.int64)
+            raw = binary_column(*signatures(Shingles(np.repeat([0, 1], n), np.concatenate((a, b)), z, z), n))
+            low, high = sorted(bands(n))
+            assert high - low <= 1
+            one, two = folded(raw, (1 << low) // 8)
+            differ = int(np.bitwise_count(one ^ two).sum())
             assert bound_holds(85, np.array([len(a)]), np.array([len(b)]), np.array([differ]))[0]
 
 

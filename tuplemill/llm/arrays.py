@@ -7,6 +7,7 @@ a Python worker's memory is bounded by one slice (or by one document, if that is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -178,25 +179,32 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return spans_hash(LOWER[data] if lower else data, starts, ends)
 
 
-def shingle_sets(column: pa.Array, k: int, lower: bool = True) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, sorted distinct hashed k-word shingles of each row) for slices of ``column``.
+class Shingles(NamedTuple):
+    """The distinct shingles of many texts, by text and hash."""
 
-    A text of fewer than k words gives its whole sequence as one shingle; a text without words gives none.
-    """
-    for first, end, data, offs in slices(column):
-        starts, ends, woff = words(data, offs)
-        codes = word_codes(data, starts, ends, lower)
-        grams = grams_hash(codes, k)
-        out = []
-        for d in range(end - first):
-            a, b = int(woff[d]), int(woff[d + 1])
-            if b - a >= k:
-                out.append(np.unique(grams[a : b - k + 1]))
-            elif b > a:
-                out.append(runs_hash(codes[a:b].copy(), np.array([0]), np.array([b - a])))
-            else:
-                out.append(np.zeros(0, U64))
-        yield first, out
+    owner: np.ndarray
+    h: np.ndarray
+    begin: np.ndarray  # first byte
+    end: np.ndarray
+
+
+def shingles(data: np.ndarray, offs: np.ndarray, k: int, lower: bool = True) -> Shingles:
+    """A text of fewer than ``k`` words has its whole sequence as one shingle; a text without words has none."""
+    starts, ends, woff = words(data, offs)
+    codes, n = word_codes(data, starts, ends, lower), np.diff(woff)
+    many = np.maximum(n - k + 1, 0)
+    at, owner = ranges(woff[:-1], many), np.repeat(np.arange(len(n)), many)
+    h, last = grams_hash(codes, k)[at], at + k - 1
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        owner, h = np.concatenate((owner, short)), np.concatenate((h, runs_hash(codes, woff[short], woff[short + 1])))
+        at, last = np.concatenate((at, woff[short])), np.concatenate((last, woff[short + 1] - 1))
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    order = order[new]
+    return Shingles(owner[new], h[new], starts[at[order]], ends[last[order]])
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -212,9 +220,15 @@ def binaries(rows: list[bytes] | list[np.ndarray]) -> pa.Array:
     return pa.array([r if isinstance(r, bytes) else r.tobytes() for r in rows], pa.binary())
 
 
-def long_lists(rows: list[np.ndarray]) -> pa.Array:
-    """A list<int64> column from integer arrays."""
-    offs = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offs[1:])
-    flat = np.concatenate(rows).view(np.int64) if rows and offs[-1] else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int64()))
+def binary_column(blob: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of consecutive parts of ``blob``."""
+    offs = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offs[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(blob, np.uint8))])
+
+
+def list_column(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A list<int64> column of consecutive parts of ``flat``."""
+    offs = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offs[1:])
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat.view(np.int64)))
