@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from tuplemill.llm import repeats, superkmer
 from tuplemill.llm.suffix_dedup import dedup_bytes, suffix_order
 from tuplemill.llm.superkmer import dedup_words
 
@@ -98,3 +99,40 @@ def test_many_passages_at_random_places(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(map(tuple, dedup_bytes(df).collect())) == brute_bytes(rows_of(df), 200)
     assert sorted(map(tuple, dedup_words(df).collect())) == brute_words(rows_of(df), 20)
+
+
+def thue_morse(n):
+    """A word over a and b, and its complement; polynomial hashes modulo 2**64 don't tell such words apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    one, two = thue_morse(2048)
+    same = " ".join(f"v{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {two}"), (3, f"{one} {two}"), (4, f"{same} {one}")], "doc_id bigint, text string")
+    assert sorted(map(tuple, dedup_words(df).collect())) == brute_words(rows_of(df), 20)
+    assert sorted(map(tuple, dedup_bytes(df).collect())) == brute_bytes(rows_of(df), 200)
+
+
+def test_unlike_windows_of_one_hash(spark, corpus, monkeypatch):
+    """If all hashes of windows were equal, bytes would still decide."""
+    monkeypatch.setattr(superkmer, "grams_hash", lambda codes, m: np.zeros(len(codes) - m + 1, np.uint64))
+    data = [b"a b c d", b"b c d e", b"a b c d", b"x y z w"]
+    s = repeats.Strings(np.zeros(4, np.int64), np.array([2, 2, 2, 2], np.int32), data, np.array([3, 1, 2, 4]), np.zeros(4, np.int64), np.ones(4, np.int64))
+    got = superkmer.later_windows(repeats.Scheme("word", 3, 1, 2), s)
+    assert [g.tolist() for g in got] == [[True, True], [False, False], [False, True], [False, False]]
+
+
+def test_large_buckets_are_dealt_anew(spark, corpus, monkeypatch):
+    """Every bucket of two strings is taken as too large, level by level; rows stay the same."""
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 300)
+    rng = random.Random(5)
+    passage = " ".join(f"{rng.choice('abcdefg')}{rng.randint(0, 9999)}" for _ in range(60))
+    rows = [(1000 + i, f"{rng.randint(0, 9**9)} {passage[rng.randint(0, 9) :]} {rng.randint(0, 99)} {rng.randint(0, 9**9)}") for i in range(60)]
+    df = corpus.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, dedup_bytes(df).collect())) == brute_bytes(rows_of(df), 200)
+    assert sorted(map(tuple, dedup_bytes(df, 40).collect())) == brute_bytes(rows_of(df), 40)
+    assert sorted(map(tuple, dedup_words(df).collect())) == brute_words(rows_of(df), 20)

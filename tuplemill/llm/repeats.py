@@ -9,7 +9,12 @@
 3. Consecutive windows that pass and share their smallest anchor travel as one packed string
    (a super-k-mer) to that anchor's bucket. Equal strings are combined before and after the
    shuffle, so a passage with thousands of copies is a few rows.
-4. A bucket that still holds more than ``MAX_STRINGS`` distinct strings is dealt anew by window.
+4. A bucket of more than ``BUCKET_BYTES`` is dealt anew by a longer anchor, and again while it is too large.
+   The windows of a bucket hold its gram at some place ``a`` from 0 to W - m. At level j those places
+   are parted into 2**j classes, and the longer anchor is what all windows of a class hold around the gram:
+   W less the class's width, plus 1. A level cuts a string in two at most, by its content, so rows at
+   most double for large buckets and stay as they are for others. At the last level the anchor is the
+   window itself, and a bucket is one string with its number of copies.
 5. A bucket resolver says which windows of a string stay. All other windows that passed go.
 
 ``Scheme`` has the units and sizes; the resolver belongs to the operator.
@@ -25,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuplemill.llm.arrays import BYTE_CODES, U64, grams_hash, ranges, slices, sliding, word_codes, words
+from tuplemill.llm.arrays import BYTE_CODES, U64, grams_hash, ranges, runs_hash, slices, sliding, word_codes, words
 from tuplemill.llm.storage import settle, small_batches
 
 #: The bit table's size is 16 bits for each repeated anchor, within these bounds.
 MIN_BITS, MAX_BITS = 20, 29
 SEGMENT = 19
-#: Distinct strings of one bucket that a task takes together at most.
-MAX_STRINGS = 64
+#: Bytes of packed strings of a bucket that isn't dealt anew.
+BUCKET_BYTES = 1 << 20
 #: Bytes of packed strings that a task resolves together.
 CHUNK = 1 << 20
 FIRST_ID = -(2**63)
@@ -175,9 +180,13 @@ def pack(u: Units, start: int, n_units: int) -> bytes:
     return u.data[u.place[start] : u.place[start + n_units] - 1].tobytes()
 
 
-def document_key() -> Column:
-    """Names a row by its id and text; rows equal in both are one document."""
-    return F.xxhash64("doc_id", "text")
+#: Name a row; rows equal in id and text are one document.
+DOCUMENT = ["doc_id", "text_key"]
+
+
+def named(docs: DataFrame, *carry: str) -> DataFrame:
+    """``given`` (the id), ``doc_id`` (``FIRST_ID`` for null), ``text_key``, ``text`` and what is carried along."""
+    return docs.select(F.col("doc_id").alias("given"), F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text", *carry)
 
 
 def travelling(docs: DataFrame, scheme: Scheme, table) -> DataFrame:
@@ -185,7 +194,7 @@ def travelling(docs: DataFrame, scheme: Scheme, table) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, _, data, offs in slices(batch.column(2)):
                 u = units(scheme, data, offs)
                 start, n, key = super_kmers(scheme, *passing(scheme, u, table.value))
@@ -195,12 +204,10 @@ def travelling(docs: DataFrame, scheme: Scheme, table) -> DataFrame:
                 packed = [pack(u, a, k + scheme.window - 1) for a, k in zip(start.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary()), pa.array(ids[first + d]), pa.array(start - u.offs[d]), pa.array(keys[first + d])],
-                    ["key", "windows", "packed", "doc_id", "start", "doc_key"],
+                    ["key", "windows", "packed", "doc_id", "start", "text_key"],
                 )
 
-    return docs.select(F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc_id"), document_key().alias("doc_key"), "text").mapInArrow(
-        run, "key bigint, windows int, packed binary, doc_id bigint, start bigint, doc_key bigint"
-    )
+    return named(docs).drop("given").mapInArrow(run, "key bigint, windows int, packed binary, doc_id bigint, start bigint, text_key bigint")
 
 
 class Strings(NamedTuple):
@@ -219,41 +226,51 @@ Resolver = Callable[[Scheme, Strings], list[np.ndarray | None]]
 
 
 def combined(strings: DataFrame, copies: Column) -> DataFrame:
-    place = F.min(F.struct("doc_id", "start", "doc_key")).alias("first")
+    place = F.min(F.struct("doc_id", "start", "text_key")).alias("first")
     return strings.groupBy("key", "windows", "packed").agg(place, F.sum(copies).alias("copies")).select("key", "windows", "packed", "first.*", "copies")
 
 
-def by_window(strings: DataFrame, scheme: Scheme) -> DataFrame:
-    """Each string cut into its windows; the key is the window's hash."""
+def dealt_anew(strings: DataFrame, scheme: Scheme, level: int) -> DataFrame:
+    """Strings cut and keyed by the longer anchors of ``level``."""
+    places = scheme.window - scheme.gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                n = part.column(1).to_numpy()
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                many = part.column(1).to_numpy().astype(np.int64)
                 for first, end, data, offs in slices(part.column(2)):
                     u = units(scheme, data, offs)
-                    k = n[first:end].astype(np.int64)
-                    owner, start = np.repeat(np.arange(end - first), k), ranges(u.offs[:-1], k)
-                    copied = {c: part.column(c).to_numpy()[first:end][owner] for c in (3, 5, 6)}
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(grams_hash(u.codes, scheme.window)[start].view(np.int64)),
-                            pa.array(np.ones(len(start), np.int32)),
-                            pa.array([pack(u, a, scheme.window) for a in start.tolist()], pa.binary()),
-                            pa.array(copied[3]),
-                            pa.array(part.column(4).to_numpy()[first:end][owner] + start - u.offs[owner]),
-                            pa.array(copied[5]),
-                            pa.array(copied[6]),
-                        ],
-                        ["key", "windows", "packed", "doc_id", "start", "doc_key", "copies"],
-                    )
+                    k = many[first:end]
+                    start = ranges(u.offs[:-1], k)
+                    h = grams_hash(u.codes, scheme.gram)
+                    least = np.repeat(sliding(h, places)[u.offs[:-1]], np.diff(u.offs))  # a string's windows share it
+                    hits = np.flatnonzero(h == least[: len(h)])
+                    place = hits[np.searchsorted(hits, start)] - start
+                    kind = place * (1 << level) // places
+                    low, high = (-(-c * places >> level) for c in (kind, kind + 1))
+                    begin = start + place - low
+                    key = runs_hash(u.codes, begin, begin + scheme.window - (high - low) + 1)
+                    cut, n, key = super_kmers(scheme, start, key)
+                    d = np.searchsorted(u.offs, cut, "right") - 1
+                    row = first + d
+                    packed = [pack(u, a, w + scheme.window - 1) for a, w in zip(cut.tolist(), n.tolist())]
+                    columns = {
+                        "key": pa.array(key.view(np.int64)),
+                        "windows": pa.array(n.astype(np.int32)),
+                        "packed": pa.array(packed, pa.binary()),
+                        "doc_id": part.column(3).take(pa.array(row)),
+                        "start": pa.array(part.column(4).to_numpy()[row] + cut - u.offs[d]),
+                        "text_key": part.column(5).take(pa.array(row)),
+                        "copies": part.column(6).take(pa.array(row)),
+                    }
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return strings.mapInArrow(run, strings.schema)
 
 
 def resolved(strings: DataFrame, scheme: Scheme, resolver: Resolver) -> DataFrame:
-    """(doc_key, start, windows, goes): strings of which some window stays."""
+    """(doc_id, text_key, start, windows, goes): strings of which some window stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle_chunk(part: pa.Table) -> pa.RecordBatch:
@@ -262,7 +279,7 @@ def resolved(strings: DataFrame, scheme: Scheme, resolver: Resolver) -> DataFram
             goes = resolver(scheme, s)
             at = [i for i, g in enumerate(goes) if g is not None and not g.all()]
             pick = pa.array(at, pa.int64())
-            return pa.RecordBatch.from_arrays([col["doc_key"].take(pick), col["start"].take(pick), col["windows"].take(pick), pa.array([np.packbits(goes[i]).tobytes() for i in at], pa.binary())], ["doc_key", "start", "windows", "goes"])
+            return pa.RecordBatch.from_arrays([col["doc_id"].take(pick), col["text_key"].take(pick), col["start"].take(pick), col["windows"].take(pick), pa.array([np.packbits(goes[i]).tobytes() for i in at], pa.binary())], ["doc_id", "text_key", "start", "windows", "goes"])
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -285,19 +302,25 @@ def resolved(strings: DataFrame, scheme: Scheme, resolver: Resolver) -> DataFram
         if held:
             yield settle_chunk(pa.Table.from_batches(held))
 
-    return strings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_key bigint, start bigint, windows int, goes binary")
+    return strings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id bigint, text_key bigint, start bigint, windows int, goes binary")
 
 
 def staying(docs: DataFrame, scheme: Scheme, table, resolver: Resolver) -> DataFrame:
-    """For each document key with windows that pass and yet stay, their list."""
-    strings = settle(combined(travelling(docs, scheme, table), F.lit(1)), "strings")
-    crowded = settle(strings.groupBy("key").count().filter(F.col("count") > MAX_STRINGS).select("key"), "crowded")
-    if crowded.isEmpty():
-        found = resolved(strings, scheme, resolver)
-    else:
-        split = combined(by_window(strings.join(crowded, "key", "left_semi"), scheme), F.col("copies"))
-        found = resolved(strings.join(crowded, "key", "left_anti"), scheme, resolver).unionByName(resolved(split, scheme, resolver))
-    return found.groupBy("doc_key").agg(F.collect_list(F.struct("start", "windows", "goes")).alias("stays"))
+    """For each document with windows that pass and yet stay, their list."""
+    left = settle(combined(travelling(docs, scheme, table), F.lit(1)), "strings")
+    parts, level = [], 0
+    while 1 << level < scheme.window - scheme.gram + 1:
+        sizes = left.groupBy("key").agg(F.sum(F.length("packed") + 8).alias("size"), F.count("*").alias("n"))
+        large = settle(sizes.filter((F.col("size") > BUCKET_BYTES) & (F.col("n") > 1)).select("key"), "large")
+        if large.isEmpty():
+            break
+        parts.append(left.join(large, "key", "left_anti"))
+        level += 1
+        left = settle(combined(dealt_anew(left.join(large, "key", "left_semi"), scheme, level), F.col("copies")), "strings")
+    for part in parts:
+        left = left.unionByName(part)
+    found = resolved(left, scheme, resolver)
+    return found.groupBy(*DOCUMENT).agg(F.collect_list(F.struct("start", "windows", "goes")).alias("stays"))
 
 
 def covered(docs: DataFrame, scheme: Scheme, resolver: Resolver, finish: Callable, schema: str, names: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
@@ -333,6 +356,6 @@ def covered(docs: DataFrame, scheme: Scheme, resolver: Resolver, finish: Callabl
                 carried = [batch.column(3 + k).slice(first, end - first) for k in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array(c) for c in zip(*rows)), *carried], ["doc_id", *names, *carry])
 
-    joined = docs.withColumn("doc_key", document_key()).join(stays, "doc_key", "left").select("doc_id", "text", "stays", *carry)
+    joined = named(docs, *carry).join(stays, DOCUMENT, "left").select(F.col("given").alias("doc_id"), "text", "stays", *carry)
     kinds = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in carry)
     return joined.mapInArrow(run, f"doc_id bigint, {schema}{kinds}")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tuplemill.llm import repeats
-from tuplemill.llm.arrays import grams_hash, ranges, text_buffers
+from tuplemill.llm.arrays import equal_spans, grams_hash, ranges, text_buffers
 
 
 def later_windows(scheme: repeats.Scheme, s: repeats.Strings) -> list[np.ndarray]:
@@ -27,9 +27,12 @@ def later_windows(scheme: repeats.Scheme, s: repeats.Strings) -> list[np.ndarray
     order = np.lexsort((place, doc, h))
     o, at = order, at[order]
     same = h[o][1:] == h[o][:-1]
+    begin, size = u.place[at], u.place[at + scheme.window] - u.place[at]
     rows = np.flatnonzero(same)
-    for k in range(scheme.window):  # equal hashes are compared word by word
-        same[rows] &= u.codes[at[rows] + k] == u.codes[at[rows + 1] + k]
+    equal = size[rows] == size[rows + 1]
+    equal[equal] = equal_spans(u.data, begin[rows[equal]], begin[rows[equal] + 1], size[rows[equal]])  # bytes decide
+    if not equal.all():
+        return _by_bytes(u.data, begin, size, doc[o], place[o], o, n)
     head = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(o)), 0))
     later = (doc[o] != doc[o][head]) | (place[o] != place[o][head])
     goes = np.zeros(len(o), bool)
@@ -37,6 +40,16 @@ def later_windows(scheme: repeats.Scheme, s: repeats.Strings) -> list[np.ndarray
     return np.split(goes, np.cumsum(n)[:-1])
 
 
+def _by_bytes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, place: np.ndarray, order: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """``later_windows`` of strings in which unlike windows have one hash: windows in order of hash and place, told apart by their bytes."""
+    first: dict[bytes, tuple[int, int]] = {}
+    goes = np.zeros(len(order), bool)
+    for i in np.lexsort((place, doc)).tolist():
+        here = (int(doc[i]), int(place[i]))
+        goes[order[i]] = first.setdefault(data[begin[i] : begin[i] + size[i]].tobytes(), here) != here
+    return np.split(goes, np.cumsum(n)[:-1])
+
+
 def dedup_words(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
     """Removes each word covered by a window of ``window`` words that also starts earlier.
 
