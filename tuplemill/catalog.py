@@ -14,6 +14,7 @@ from tuplemill.operators import reduce as R
 from tuplemill.operators import search as S
 from tuplemill.operators import stats
 from tuplemill.plans.jobs import Defaults, all_tuples, nearest_rows, union
+from tuplemill.plans.stages import materialised
 from tuplemill.sources import text
 from tuplemill.sources.fixtures import conversation_records
 
@@ -33,7 +34,7 @@ def _flat(records: DataFrame, *more) -> DataFrame:
 def records_from_text(spark: SparkSession, d: str) -> DataFrame:
     """Records written as lines and parsed again, with their sentences' offsets."""
     lines = _records(spark, d).select(text.format_record(F.struct("*")).alias("value"))
-    parsed = lines.select(text.parse_record(F.col("value")).alias("r")).select("r.*")
+    parsed = materialised(lines.select(text.parse_record(F.col("value")).alias("r")).select("r.*"), "parsed")
     rows = parsed.join(P.sentence_offsets(parsed), ["docid", "sentid"])
     return rows.select("docid", "sentid", "extrid", "sentence", F.get("hashes", F.lit(0)).alias("hash"), F.col("arg1.text").alias("arg1"), F.col("relHead.text").alias("rel"), F.col("arg2.text").alias("arg2"), F.col("arg1.start").alias("a1s"), F.col("arg2.end").alias("a2e"), F.get("arg1Types", F.lit(0)).alias("kind"), "offset")
 
@@ -164,9 +165,9 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return successors(spark, d)
 
 
-def _search(query: S.Query, pruned: bool = True):
+def _search(query: S.Query, pruned: bool = True, limit: int | None = None):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = S.search(M.index(_measures(spark, d), ALPHA, DELTA, None), query, pruned)
+        found = S.search(M.index(_measures(spark, d), ALPHA, DELTA, None), query, pruned, limit)
         return found.select(*E.PAIR, "biterm", F.round("conditional", 9).alias("conditional"), "biterm_max", "fs", "sf", "f", "s", F.round("rank_value", 9).alias("rank_value"))
 
     return run
@@ -201,6 +202,105 @@ def merge_mentions_all(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("docid", "has_mentions", *carried).groupBy("docid", "has_mentions", "mentions", "sentences", "last_offset").agg(F.count("*").alias("n"))
 
 
+def tuple_details_reduced(spark: SparkSession, d: str) -> DataFrame:
+    """Tuples over all documents with head counts; hash, sentences and ids of the first document."""
+    rows = R.reduced_details(E.tuple_details(E.record_tuples(E.indexed(_records(spark, d)))))
+    heads = [text.format_string_counts(F.col(c)).alias(c) for c in ("arg1_heads", "arg2_heads")]
+    return rows.select(*E.TUPLE, "n", F.get("hashes", F.lit(0)).alias("hash"), F.array_join("sentences", "|").alias("sentences"), F.array_join("ids", ",").alias("ids"), *heads)
+
+
+def tuple_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """What a result shows of a tuple: three ids and a sentence of its first document."""
+    rows = S.first_mentions(R.reduced_details(E.tuple_details(E.record_tuples(E.indexed(_records(spark, d))))))
+    return rows.select(*E.TUPLE, F.array_join("ids", ",").alias("ids"), "sentence")
+
+
+def pair_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The bounded ids of reduced tuple pairs."""
+    rows = R.reduced_ids(E.document_ids(nearest_rows(_records(spark, d), None, Defaults())[0]))
+    return rows.select(*E.PAIR, F.array_join("first_ids", ",").alias("first_ids"), F.array_join("second_ids", ",").alias("second_ids"))
+
+
+def top_heads(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest heads of reduced plain tuple pairs, those that the other argument has come last."""
+    heads = S.top_heads(R.reduced_heads(E.document_pairs(nearest_rows(_records(spark, d), None, Defaults())[0])), 2)
+    shown = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return heads.select(*E.PAIR, *map(shown, R.HEAD_MAPS))
+
+
+def _long_mentions(records: DataFrame) -> DataFrame:
+    """Every long first argument is a mention; those of one length are one cluster."""
+    rows = records.join(P.sentence_offsets(P.with_short_sentences(records)), ["docid", "sentid"])
+    rows = rows.select("docid", F.length("arg1.text").alias("cluster_id"), F.col("arg1.text").alias("text"), (F.col("offset") + F.col("arg1.start")).cast("int").alias("offset"))
+    return rows.filter("cluster_id > 6").distinct()
+
+
+def equality_args_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Shared arguments by mention clusters."""
+    records = _records(spark, d)
+    keys = E.mention_keys(records, _long_mentions(records))
+    return E.shared_arguments(E.pairs(E.indexed(records)), keys).select("docid", "sentid", F.col("o_extrid").alias("outer_id"), F.col("i_extrid").alias("inner_id"), "shared")
+
+
+def index_above(spark: SparkSession, d: str) -> DataFrame:
+    """The index with its bound."""
+    return M.index(_measures(spark, d), ALPHA, DELTA, 4).select(*E.PAIR, C.largest(F.col("biterm")).alias("biterm_max"))
+
+
+def frequency_filter_at_least(spark: SparkSession, d: str) -> DataFrame:
+    return M.as_rows(M.frequency_filter(M.as_maps(_reduced(spark, d)), WIDTH, 3, strict=False)).withColumn("window", F.col("window").cast("bigint"))
+
+
+def display_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments of indexed pairs as results show them."""
+    return S.display(_measures(spark, d).select(*E.PAIR, "f")).groupBy(*E.PAIR).agg(F.sum("f").alias("f"))
+
+
+def find_record(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(S.find_record(_records(spark, d), "c0-0-0"))
+
+
+def grouped_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Records grouped to documents, written as lines with sentence offsets and mentions, and parsed again."""
+    records = _records(spark, d)
+    offsets = P.sentence_lists(records)
+    mention = F.struct(F.col("docid").alias("text"), F.lit(0).alias("offset"))
+    entries = F.array(F.struct(mention.alias("key"), F.array(mention).alias("values")))
+    whole = P.documents(records.select("docid", F.struct("*").alias("r"), "sentid", "extrid").select("docid", "sentid", "extrid", "r")).join(offsets, "docid")
+    document = text.format_document(F.col("docid"), F.transform("records", lambda x: x["r"]))
+    lines = materialised(whole.select(text.format_document_mentions(document, F.col("offsets"), entries).alias("value")), "lines")
+    back = materialised(lines.select(text.parse_document_mentions(F.col("value")).alias("d")), "documents").select("d.document.docid", "d.offsets", "d.mentions", F.posexplode("d.document.records").alias("place", "r"))
+    return back.select("docid", "r.sentid", "r.extrid", F.col("r.arg1.text").alias("arg1"), F.col("r.rel.text").alias("rel"), F.col("r.arg2.text").alias("arg2"), F.col("place").cast("bigint").alias("place"), F.size("offsets").cast("bigint").alias("sentences"), F.get("mentions", F.lit(0))["key"]["text"].alias("mention"))
+
+
+def measures_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Measures written as lines, as the index reads them, and parsed again."""
+    strings, empty = F.array().cast("array<string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    rows = _measures(spark, d)
+    side = lambda p: F.struct(*(F.col(f"{p}{c}").alias(c) for c in E.TUPLE), F.array(F.lit(1), F.lit(2)).alias("hashes"), strings.alias("sentences"), F.array(F.lit("x-0-1")).alias("ids"), F.create_map(F.lit("h"), F.lit(3)).alias("arg1_heads"), empty.alias("arg2_heads"))
+    counts = F.struct(F.struct(side("f").alias("first"), side("s").alias("second")).alias("pair"), "counts", F.struct(*(F.create_map(F.lit(h), F.lit(k)).alias(h) for k, h in enumerate(text.HEADS))).alias("heads"))
+    line = text.format_measures(F.struct(F.struct(counts.alias("pair_counts"), "biterm").alias("undirected"), "f", "s"))
+    back = materialised(materialised(rows.select(line.alias("value")), "lines").select(text.parse_measures(F.col("value")).alias("m")), "measures")
+    p = "m.undirected.pair_counts"
+    names = [F.col(f"{p}.pair.{side}.{c}").alias(f"{side[0]}{c}") for side in ("first", "second") for c in E.TUPLE]
+    checks = [F.array_join(F.col(f"{p}.pair.first.hashes").cast("array<string>"), ",").alias("hashes"), F.array_join(f"{p}.pair.second.ids", ",").alias("ids"), text.format_string_counts(F.col(f"{p}.pair.first.arg1_heads")).alias("heads"), text.format_string_counts(F.col(f"{p}.heads.second_arg2")).alias("second_arg2")]
+    most = [C.largest(F.col(c)).cast("bigint").alias(n) for c, n in ((f"{p}.counts", "fs_max"), ("m.undirected.biterm", "biterm_max"))]
+    return back.select(*names, *most, F.col("m.f").cast("bigint").alias("f"), F.col("m.s").cast("bigint").alias("s"), *checks)
+
+
+def affinities_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Affinities written and parsed again; combined values are written with eight decimals."""
+    lines = M.index(_measures(spark, d), ALPHA, DELTA, None).select(*E.PAIR, text.format_affinities(F.struct(*text.AFFINITIES)).alias("value"))
+    back = materialised(lines.select(*E.PAIR, text.parse_affinities(F.col("value")).alias("a")), "affinities")
+    return back.select(*E.PAIR, F.size("a.first_undir.values").cast("bigint").alias("windows"), *(F.round(F.col(f"a.{c}.combined"), 6).alias(c) for c in text.AFFINITIES))
+
+
+def sentence_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of each document in order with their offsets."""
+    rows = P.sentence_lists(_records(spark, d)).select("docid", F.posexplode(F.arrays_zip("sentences", "offsets")).alias("place", "x"))
+    return rows.select("docid", F.col("place").cast("bigint").alias("place"), F.col("x.sentences").alias("sentence"), F.col("x.offsets").alias("offset"))
+
+
 def format_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Reduced tuple pairs written as lines and parsed again."""
     rows = M.as_maps(_reduced(spark, d))
@@ -303,17 +403,17 @@ def _last(ctes: str, select: str) -> str:
     return ctes.strip().rstrip(",") + "\n" + select
 
 
-def _search_sql(where: str, rank: str) -> str:
+def _search_sql(where: str, rank: str, pruned: bool = True) -> str:
     typed = " AND ".join(f"regexp_matches({c}, '[tT]ype:')" for c in S.ARGUMENTS)
     var = " OR ".join(f"contains({c}, 'XVAR')" for c in S.ARGUMENTS)
     name = lambda a, b: f"regexp_replace(CASE WHEN contains({a}, 'XVAR') THEN regexp_extract({a}, '[tT]ype:(.*)', 1) WHEN contains({b}, 'XVAR') THEN regexp_extract({b}, '[tT]ype:(.*)', 1) ELSE '' END, ':Number', '')"
     same = " AND ".join(f"lower({f}) = lower({s})" for f, s in zip(_FK, _SK))
     pron = " OR ".join(f"trim({c}) IN ('he','she','they','it','i','we')" for c in S.ARGUMENTS)
     quantity = " OR ".join(f"contains({c}, 'Type:quantity')" for c in S.ARGUMENTS)
-    rows = f"""rows_ AS (SELECT {KEY}, sum(CASE WHEN "window" = 1 THEN biterm ELSE 0 END)::BIGINT AS biterm, {_cond("biterm", "f")} AS conditional, max(biterm) AS biterm_max,
+    rows = f"""rows_ AS (SELECT {KEY}, sum(CASE WHEN "window" = 1 THEN biterm ELSE 0 END)::BIGINT AS biterm, {_cond("biterm", "f")} AS conditional, max(biterm) AS biterm_max, max(fs) AS fs_max,
   sum(CASE WHEN "window" = 1 THEN fs ELSE 0 END)::BIGINT AS fs, sum(CASE WHEN "window" = 1 THEN biterm - fs ELSE 0 END)::BIGINT AS sf, max(f) AS f, max(s) AS s FROM mea GROUP BY {KEY}),"""
     where = where.format(typed=typed, var=var)
-    good = f"NOT ({same}) AND NOT ({pron}) AND NOT ({quantity}) AND biterm > 0 AND {name('farg1', 'farg2')} = {name('sarg1', 'sarg2')}"
+    good = "true" if not pruned else f"NOT ({same}) AND NOT ({pron}) AND NOT ({quantity}) AND biterm > 0 AND {name('farg1', 'farg2')} = {name('sarg1', 'sarg2')}"
     return _last(_RED + _TUPLES + _CUM + _UND + _MEA + rows, f"SELECT {KEY}, biterm, round(conditional, 9) AS conditional, biterm_max, fs, sf, f, s, round(({rank})::DOUBLE, 9) AS rank_value FROM rows_ WHERE {good} AND {where}")
 
 
@@ -330,11 +430,81 @@ QUERIES = {
     "search_noequality": _search(S.Query(arg1="type:short", equality="noequality")),
     "search_equality": _search(S.Query(arg2="xvar", sort_by="fs+sf", equality="equality")),
     "search_typed": _search(S.Query(arg1="type:long", sort_by="f")),
+    "search_fs": _search(S.Query(arg1="type:mid", sort_by="fs")),
+    "search_sf": _search(S.Query(arg1="type:mid", arg2="xvar", sort_by="sf")),
+    "search_second": _search(S.Query(arg1="xvar", sort_by="s")),
+    "search_phrase": _search(S.Query(arg1='"type:mid"')),
+    "search_variable_phrase": _search(S.Query(arg1='"xvar type mid"')),
+    "search_any_word": _search(S.Query(rel="the in a of and")),
+    "search_unpruned": _search(S.Query(arg1="type:mid"), pruned=False),
+    "search_top": _search(S.Query(arg1="type:mid", sort_by="fs"), limit=20),
+    "tuple_details_reduced": tuple_details_reduced, "tuple_mentions": tuple_mentions, "pair_ids": pair_ids, "top_heads": top_heads,
+    "equality_args_mentions": equality_args_mentions, "index_above": index_above, "frequency_filter_at_least": frequency_filter_at_least,
+    "display_forms": display_forms, "find_record": find_record, "grouped_documents": grouped_documents, "measures_roundtrip": measures_roundtrip,
+    "affinities_roundtrip": affinities_roundtrip, "sentence_texts": sentence_texts,
     "doc_size_histogram": doc_size_histogram, "parse_success_counts": parse_success_counts, "merge_mentions": merge_mentions, "merge_mentions_all": merge_mentions_all,
     "long_sentence_filter_default": long_sentence_filter_default, "doc_size_guard_default": doc_size_guard_default, "format_roundtrip": format_roundtrip,
 }
 
+_SIDES = ["first_arg1", "first_arg2", "second_arg1", "second_arg2"]
+_HEADS = _PLAIN_RED + f"""
+hd AS (SELECT docid, {KEY}, side, head, count(*) AS n FROM (SELECT docid, {KEY}, unnest({_SIDES}) AS side, unnest([h1, h2, h3, h4]) AS head FROM plain JOIN passed USING (docid, {KEY})) GROUP BY ALL),
+fst AS (SELECT {KEY}, side, head, min(docid) AS first FROM hd GROUP BY ALL),
+lst AS (SELECT {KEY}, side, first AS last FROM fst QUALIFY row_number() OVER (PARTITION BY {KEY}, side ORDER BY first, head) = 5),
+hn AS (SELECT {KEY}, side, head, sum(n)::INT AS n FROM hd LEFT JOIN lst USING ({KEY}, side) WHERE last IS NULL OR docid <= last GROUP BY ALL),
+"""
+_by_side = lambda t: ", ".join(f"coalesce(max({t}) FILTER (side = '{c}'), '') AS {c}" for c in _SIDES)
+_mate = "CASE side WHEN 'first_arg1' THEN 'first_arg2' WHEN 'first_arg2' THEN 'first_arg1' WHEN 'second_arg1' THEN 'second_arg2' ELSE 'second_arg1' END"
+_DETAILS = _BASE + """
+t AS (SELECT docid, sentid, extrid, sentence, hash, arg1 AS h1, arg2 AS h2, unnest([lower(arg1), lower(kind)]) AS a1, rel, lower(arg2) AS a2 FROM ix),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY docid, a1, rel, a2 ORDER BY sentid, extrid) AS r, min(docid) OVER (PARTITION BY a1, rel, a2) AS d0 FROM t),
+one AS (SELECT * FROM n1 WHERE docid = d0),
+fs AS (SELECT a1, rel, a2, sentence, min(r) AS r FROM one GROUP BY ALL),
+fs5 AS (SELECT a1, rel, a2, list(sentence ORDER BY r) AS sentences FROM (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY a1, rel, a2 ORDER BY r) <= 5) GROUP BY ALL),
+dd AS (SELECT a1, rel, a2, arg_min(hash, r) AS hash, list(docid || '-' || sentid || '-' || extrid ORDER BY r) FILTER (r <= 5) AS ids FROM one GROUP BY ALL),
+c AS (SELECT a1, rel, a2, count(*) AS n FROM t GROUP BY ALL),
+h AS (SELECT a1, rel, a2, string_agg(h1 || '_CSEP_' || n, '_ESEP_' ORDER BY h1) AS arg1_heads FROM (SELECT a1, rel, a2, h1, count(*) AS n FROM t GROUP BY ALL) GROUP BY ALL),
+h2 AS (SELECT a1, rel, a2, string_agg(h2 || '_CSEP_' || n, '_ESEP_' ORDER BY h2) AS arg2_heads FROM (SELECT a1, rel, a2, h2, count(*) AS n FROM t GROUP BY ALL) GROUP BY ALL),
+"""
+_OFFSETS = """
+s AS (SELECT docid, sentid, arg_max(sentence, extrid) AS sentence FROM z {where} GROUP BY docid, sentid),
+o AS (SELECT docid, sentid, sentence, coalesce(sum(length(sentence) + 1) OVER (PARTITION BY docid ORDER BY sentid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM s),
+"""
+_MENTIONS = _OFFSETS.format(where="WHERE len(string_split(rtrim(sentence), ' ')) <= 75") + """
+m AS (SELECT DISTINCT docid, length(arg1) AS cl, lower(arg1) AS mt, "offset" + a1s AS ms, "offset" + a1s + length(arg1) AS me FROM z JOIN o USING (docid, sentid) WHERE length(arg1) > 6),
+hs AS (SELECT z.docid, z.sentid, extrid, unnest(['1', '2']) AS side, unnest([lower(arg1), lower(arg2)]) AS h, unnest([a1s, a2s]) + coalesce("offset", -1000000) AS st FROM z LEFT JOIN o ON z.docid = o.docid AND z.sentid = o.sentid),
+k AS (SELECT docid, sentid, extrid, side, h || ':' || st || ':' || (st + 1) AS key FROM hs
+  UNION SELECT x.docid, sentid, extrid, side, y.mt || ':' || y.ms || ':' || y.me FROM (SELECT DISTINCT hs.docid, sentid, extrid, side, cl FROM hs JOIN m ON hs.docid = m.docid AND ms <= st AND me >= st + 1) x JOIN m y ON x.docid = y.docid AND x.cl = y.cl),
+"""
+_IDS = f"""
+near AS (SELECT docid, sentid, outer_id, {KEY}, arg_min(inner_id, win) AS inner_id FROM forms GROUP BY docid, sentid, outer_id, {KEY}),
+fi AS (SELECT docid, {KEY}, list(docid || '-' || sentid || '-' || outer_id ORDER BY sentid, outer_id)[1:5] AS f FROM (SELECT DISTINCT docid, {KEY}, sentid, outer_id FROM near) GROUP BY ALL),
+si AS (SELECT docid, {KEY}, list(docid || '-' || sentid || '-' || inner_id ORDER BY sentid, inner_id)[1:5] AS s FROM (SELECT DISTINCT docid, {KEY}, sentid, inner_id FROM near) GROUP BY ALL),
+run AS (SELECT {KEY}, docid, f, s, coalesce(sum(len(f)) OVER w, 0) AS nf, coalesce(sum(len(s)) OVER w, 0) AS ns FROM fi JOIN si USING (docid, {KEY}) JOIN passed USING (docid, {KEY})
+  WINDOW w AS (PARTITION BY {KEY} ORDER BY docid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+"""
+_shown = lambda c: f"CASE WHEN contains({c}, 'XVAR:type:') THEN 'X:[' || substr({c}, 11) || ']' WHEN starts_with({c}, 'type:') THEN '[' || substr({c}, 6) || ']' ELSE replace({c}, 'XVAR', 'X') END"
+
 ORACLE_SQL = {
+    "reduced_heads": _last(_HEADS, f"SELECT {KEY}, {_by_side('t')} FROM (SELECT {KEY}, side, string_agg(head || '_CSEP_' || n, '_ESEP_' ORDER BY head) AS t FROM hn GROUP BY {KEY}, side) GROUP BY {KEY}"),
+    "top_heads": _last(_HEADS + f"""
+lone AS (SELECT a.* FROM hn a ANTI JOIN (SELECT {KEY}, {_mate} AS side, head FROM hn) b USING ({KEY}, side, head)),
+best AS (SELECT * FROM lone UNION ALL SELECT * FROM hn ANTI JOIN (SELECT DISTINCT {KEY}, side FROM lone) x USING ({KEY}, side)),
+two AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY {KEY}, side ORDER BY n DESC, head) <= 2),""", f"SELECT {KEY}, {_by_side('t')} FROM (SELECT {KEY}, side, string_agg(head || '=' || n, ',' ORDER BY n DESC, head) AS t FROM two GROUP BY {KEY}, side) GROUP BY {KEY}"),
+    "tuple_details_reduced": _last(_DETAILS, "SELECT a1 AS arg1, rel, a2 AS arg2, n, hash, array_to_string(sentences, '|') AS sentences, array_to_string(ids, ',') AS ids, arg1_heads, arg2_heads FROM c JOIN dd USING (a1, rel, a2) JOIN fs5 USING (a1, rel, a2) JOIN h USING (a1, rel, a2) JOIN h2 USING (a1, rel, a2)"),
+    "tuple_mentions": _last(_DETAILS, "SELECT a1 AS arg1, rel, a2 AS arg2, array_to_string(list_sort(ids)[1:3], ',') AS ids, list_sort(sentences)[1] AS sentence FROM dd JOIN fs5 USING (a1, rel, a2)"),
+    "pair_ids": _last(_PLAIN_RED + _IDS, f"SELECT {KEY}, array_to_string(flatten(list(f ORDER BY docid) FILTER (nf < 5)), ',') AS first_ids, array_to_string(flatten(list(s ORDER BY docid) FILTER (ns < 5)), ',') AS second_ids FROM run GROUP BY {KEY}"),
+    "equality_args_mentions": _last(_BASE + _PAIRS + _MENTIONS, "SELECT p.docid, p.sentid, outer_id, inner_id, min(a.side || b.side) AS shared FROM pairs p JOIN k a ON a.docid = p.docid AND a.sentid = p.sentid AND a.extrid = outer_id JOIN k b ON b.docid = p.docid AND b.sentid = p.sentid AND b.extrid = inner_id AND a.key = b.key GROUP BY ALL"),
+    "index_above": _last(_RED + _TUPLES + _CUM + _UND + _MEA, f"SELECT {KEY}, max(biterm) AS biterm_max FROM mea GROUP BY {KEY} HAVING max(biterm) > 4"),
+    "display_forms": _last(_RED + _TUPLES + _CUM + _UND + _MEA, f"SELECT {_shown('farg1')} AS farg1, frel, {_shown('farg2')} AS farg2, {_shown('sarg1')} AS sarg1, srel, {_shown('sarg2')} AS sarg2, sum(f)::BIGINT AS f FROM (SELECT {KEY}, max(f) AS f FROM mea GROUP BY {KEY}) GROUP BY 1, 2, 3, 4, 5, 6"),
+    "find_record": _last(_BASE, _FLAT + "z WHERE docid = 'c0' AND sentid = 0 AND extrid = 0"),
+    "grouped_documents": _last(_BASE, "SELECT docid, sentid, extrid, arg1, rel, arg2, row_number() OVER (PARTITION BY docid ORDER BY sentid, extrid) - 1 AS place, c AS sentences, docid AS mention FROM z JOIN (SELECT docid, count(DISTINCT sentid) AS c FROM z GROUP BY docid) USING (docid)"),
+    "sentence_texts": _last(_BASE + _OFFSETS.format(where=""), 'SELECT docid, row_number() OVER (PARTITION BY docid ORDER BY sentid) - 1 AS place, sentence, "offset" FROM o'),
+    "measures_roundtrip": _last(_RED + _TUPLES + _CUM + _UND + _MEA, f"SELECT {KEY}, max(fs) AS fs_max, max(biterm) AS biterm_max, max(f) AS f, max(s) AS s, '1,2' AS hashes, 'x-0-1' AS ids, 'h_CSEP_3' AS heads, 'second_arg2_CSEP_3' AS second_arg2 FROM mea GROUP BY {KEY}"),
+    "affinities_roundtrip": _last(_RED + _TUPLES + _CUM + _UND + _MEA, f"""SELECT {KEY}, count(*) AS windows, round({_cond("biterm", "f")}, 6) AS first_undir, round({_cond("fs", "f")}, 6) AS first_dir, round({_cond("biterm", "s")}, 6) AS second_undir, round({_cond("fs", "s")}, 6) AS second_dir FROM mea GROUP BY {KEY}"""),
+    "frequency_filter_at_least": _last(_RED, f"""SELECT * FROM (SELECT {KEY}, w AS "window", sum(CASE WHEN "window" <= w THEN n ELSE 0 END)::BIGINT AS n FROM red, range(0, {WIDTH}) t(w)
+WHERE {" AND ".join(f"regexp_matches({c}, '^[a-zA-Z0-9]')" for c in E.PAIR)} GROUP BY {KEY}, w
+UNION ALL SELECT {KEY}, "window", n FROM red WHERE "window" >= {WIDTH} AND {" AND ".join(f"regexp_matches({c}, '^[a-zA-Z0-9]')" for c in E.PAIR)}) QUALIFY max(n) OVER (PARTITION BY {KEY}) >= 3"""),
     "records_from_text": _last(_BASE, """, s AS (SELECT docid, sentid, arg_max(sentence, extrid) AS sentence FROM z GROUP BY docid, sentid),
 o AS (SELECT docid, sentid, coalesce(sum(length(sentence) + 1) OVER (PARTITION BY docid ORDER BY sentid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM s)
 SELECT docid, sentid, extrid, sentence, hash, arg1, rel, arg2, a1s, (a2s + 1)::INT AS a2e, kind, "offset" FROM z JOIN o USING (docid, sentid)"""),
@@ -366,9 +536,17 @@ UNION ALL SELECT {KEY}, "window", n FROM red WHERE "window" >= {WIDTH} AND {" AN
     "measures": _last(_RED + _TUPLES + _CUM + _UND + _MEA, f"SELECT {KEY}, max(fs) AS fs_max, max(biterm) AS biterm_max, max(f) AS f, max(s) AS s FROM mea GROUP BY {KEY}"),
     "affinity": _last(_RED + _TUPLES + _CUM + _UND + _MEA, f"""SELECT {KEY}, round({_cond("biterm", "f")}, 9) AS first_undir, round({_cond("fs", "f")}, 9) AS first_dir, round({_cond("biterm", "s")}, 9) AS second_undir, round({_cond("fs", "s")}, 9) AS second_dir FROM mea GROUP BY {KEY}"""),
     "successors": _last(_PLAIN_RED, f"""SELECT *, row_number() OVER (PARTITION BY farg1, frel, farg2 ORDER BY n DESC, sarg1, srel, sarg2) AS rank FROM (SELECT {KEY}, sum(n)::BIGINT AS n FROM red GROUP BY {KEY}) QUALIFY rank <= 3"""),
-    "search_noequality": _search_sql(f"{_HAS('farg1', 'type')} OR {_HAS('farg1', 'short')}".join("()") + " AND NOT ({var}) AND NOT ({typed})", "conditional"),
-    "search_equality": _search_sql(_HAS("farg2", "xvar") + " AND ({var}) AND NOT ({typed})", "biterm"),
+    "search_noequality": _search_sql(f"{_HAS('farg1', 'type')} OR {_HAS('farg1', 'short')}".join("()") + " AND NOT ({var})", "conditional"),
+    "search_equality": _search_sql(_HAS("farg2", "xvar") + " AND ({var})", "biterm_max"),
     "search_typed": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'long')})", "f"),
+    "search_fs": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'mid')})", "fs_max"),
+    "search_sf": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'mid')}) AND " + _HAS("farg2", "xvar"), "biterm_max - fs_max"),
+    "search_second": _search_sql(_HAS("farg1", "xvar"), "s"),
+    "search_phrase": _search_sql("(' ' || lower(farg1) || ' ') LIKE '% type:mid %'", "conditional"),
+    "search_variable_phrase": _search_sql("(' ' || lower(farg1) || ' ') LIKE '% xvar:type:mid %'", "conditional"),
+    "search_any_word": _search_sql(f"({_HAS('frel', 'the')} OR {_HAS('frel', 'a')} OR {_HAS('frel', 'and')})", "conditional"),
+    "search_unpruned": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'mid')})", "conditional", pruned=False),
+    "search_top": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'mid')})", "fs_max") + f" ORDER BY rank_value DESC, {KEY} LIMIT 20",
     "doc_size_histogram": _last(_BASE, "SELECT least(100, greatest(10, ceil(n / 10.0) * 10))::INT AS bin, count(*) AS documents FROM (SELECT docid, count(*) AS n FROM z GROUP BY docid) GROUP BY bin"),
     "parse_success_counts": _last(_BASE, "SELECT count(*) FILTER (extrid % 3 <> 0) AS parsed, count(*) FILTER (extrid % 3 = 0) AS failed FROM z"),
     "merge_mentions": _last(_BASE, "SELECT docid, right(docid, 1) IN ('0', '2', '4', '6', '8') AS has_mentions, count(*) AS n FROM z GROUP BY docid HAVING count(*) <= 60"),

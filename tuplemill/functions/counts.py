@@ -26,8 +26,13 @@ def cumulative(m: Column, width: int, start: int = 1) -> Column:
     ``start`` is 1 for measures and 0 for the frequency filter.
     """
     last = start + width - 1
-    inside = F.map_filter(m, lambda k, _: k.between(start, last))
-    runs = F.transform(F.sequence(F.lit(start), F.lit(last)), lambda w: F.struct(w.alias("key"), F.aggregate(F.map_values(F.map_filter(inside, lambda k, _: k <= w)), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("value")))
+    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<struct<key:int,value:bigint>>").alias("runs"))
+
+    def step(acc: Column, w: Column) -> Column:
+        total = acc["total"] + F.coalesce(F.try_element_at(m, w), F.lit(0))
+        return F.struct(total.alias("total"), F.concat(acc["runs"], F.array(F.struct(w.alias("key"), total.alias("value")))).alias("runs"))
+
+    runs = F.aggregate(F.sequence(F.lit(start), F.lit(last)), zero, step, lambda acc: acc["runs"])
     return F.map_concat(F.map_from_entries(runs), F.map_filter(m, lambda k, _: ~k.between(start, last)))
 
 

@@ -81,15 +81,21 @@ def spans_subsume(a: str, b: str) -> Column:
     return reduce(Column.__and__, (span_inside(F.col(f"{b}.{c}"), F.col(f"{a}.{c}")) for c in ("arg1", "rel", "arg2")))
 
 
-def words_nest(a: Column, b: Column) -> Column:
-    """One text's words, without ``be``, are all among the other's."""
-    x, y = (F.array_remove(F.array_distinct(tokens(t)), "be") for t in (a, b))
+def said_columns() -> dict[str, Column]:
+    """What ``subsume_each_other`` needs of a record, made once for each: its text, and that text's words without ``be``."""
+    said = tuple_text(*(F.col(f"{c}.text") for c in ("arg1", "rel", "arg2")))
+    return {"said": said, "words_said": F.array_remove(F.array_distinct(tokens(said)), "be")}
+
+
+def words_nest(x: Column, y: Column) -> Column:
+    """One list's words are all among the other's."""
     return (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
 
 
 def subsume_each_other(o: str, i: str) -> Column:
-    a, b = (tuple_text(*(F.col(f"{r}.{c}.text") for c in ("arg1", "rel", "arg2"))) for r in (o, i))
-    return spans_subsume(o, i) | spans_subsume(i, o) | a.contains(b) | b.contains(a) | words_nest(a, b)
+    """Of two records with their ``said_columns``, as aliases or as structs."""
+    (a, x), (b, y) = ((F.col(f"{r}.said"), F.col(f"{r}.words_said")) for r in (o, i))
+    return spans_subsume(o, i) | spans_subsume(i, o) | a.contains(b) | b.contains(a) | words_nest(x, y)
 
 
 def argument_forms(head: Column, types: Column) -> Column:

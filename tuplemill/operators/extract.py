@@ -37,14 +37,20 @@ def record_tuples(indexed_: DataFrame) -> DataFrame:
 
 
 def pairs(indexed_: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Record pairs (o, i) of one sentence, i at most ``window`` extractions later, neither subsuming the other."""
-    rows = with_forms(indexed_)
-    o, i = rows.alias("o"), rows.alias("i")
-    near = (F.col("o.docid") == F.col("i.docid")) & (F.col("o.sentid") == F.col("i.sentid")) & F.col("i.ix").between(F.col("o.ix") + 1, F.col("o.ix") + window)
+    """Record pairs (o, i) of one sentence, i at most ``window`` extractions later, neither subsuming the other.
+
+    A window function gives each record those that follow it, so a sentence of n records makes ``window`` * n pairs at
+    most, in one shuffle.
+    """
+    kept = ["hashes", "extrid", "forms1", "forms2", "relHead", "arg1Head", "arg2Head"]
+    record = F.struct("ix", *kept, "arg1", "rel", "arg2", "said", "words_said")
+    following = Window.partitionBy("docid", "sentid").orderBy("ix").rangeBetween(1, window)
+    rows = with_forms(indexed_).withColumns(T.said_columns())
+    listed = rows.select("docid", "sentid", record.alias("o"), F.collect_list(record).over(following).alias("later"))
+    both = listed.select("docid", "sentid", "o", F.explode("later").alias("i"))
     apart = ~(T.same_arguments("o", "i", fold=True) | T.subsume_each_other("o", "i"))
-    cols = ["hashes", "sentence", "extrid", "forms1", "forms2", "relHead", "arg1Head", "arg2Head"]
-    named = [F.col(f"{a}.{c}").alias(f"{a}_{c}") for a in "oi" for c in cols]
-    return o.join(i, near & apart).select("o.docid", "o.sentid", (F.col("i.ix") - F.col("o.ix")).alias("window"), *named)
+    named = [F.col(f"{a}.{c}").alias(f"{a}_{c}") for a in "oi" for c in kept]
+    return both.filter(apart).select("docid", "sentid", (F.col("i.ix") - F.col("o.ix")).alias("window"), *named)
 
 
 def _heads() -> Column:
@@ -127,6 +133,18 @@ def document_pairs(nearest_rows: DataFrame) -> DataFrame:
     return document_counts(nearest_rows).join(heads.groupBy(*key).agg(*maps), key)
 
 
+def document_ids(nearest_rows: DataFrame, most: int = KEPT) -> DataFrame:
+    """``document_counts`` with ``fids`` and ``sids``: the first ``most`` ids of the records on either side."""
+    key = ["docid", *PAIR]
+    name = lambda c: F.concat_ws("-", "docid", F.col("sentid").cast("string"), F.col(c).cast("string"))
+    out = document_counts(nearest_rows)
+    for c, ids in (("extrid", "fids"), ("inner_extrid", "sids")):
+        once = nearest_rows.select(*key, F.struct("sentid", c).alias("at"), name(c).alias("id")).distinct()
+        few = once.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("at"))).filter(F.col("r") <= most)
+        out = out.join(few.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda e: e["id"]).alias(ids)), key)
+    return out
+
+
 def pair_counts(nearest_rows: DataFrame) -> DataFrame:
     """Long form per document: key, window, n."""
     return nearest_rows.groupBy("docid", *PAIR, "window").agg(F.count("*").alias("n"))
@@ -145,9 +163,22 @@ def document_tuples(tuple_rows: DataFrame) -> DataFrame:
 
 
 def tuple_details(tuple_rows: DataFrame, most: int = KEPT) -> DataFrame:
-    """Per document and tuple: the first ``most`` sentences and ids, the first record's hashes, and head counts."""
+    """Per document and tuple: the first ``most`` sentences and ids, the first record's hashes, and head counts.
+
+    Windows leave ``most`` sentences and ids of a tuple before any list is made.
+    """
     key = ["docid", *TUPLE]
-    rows = F.array_sort(F.collect_list(F.struct("sentid", "extrid", "sentence", "hashes")))  # of one document only
-    listed = tuple_rows.groupBy(*key).agg(F.count("*").alias("n"), rows.alias("r"))
-    identity = lambda r: F.concat_ws("-", "docid", r["sentid"].cast("string"), r["extrid"].cast("string"))
-    return listed.select(*key, "n", F.get("r", F.lit(0))["hashes"].alias("hashes"), F.slice(F.array_distinct(F.transform("r", lambda r: r["sentence"])), 1, most).alias("sentences"), F.slice(F.array_distinct(F.transform("r", identity)), 1, most).alias("ids"))
+    at = F.struct("sentid", "extrid")
+    order = Window.partitionBy(*key).orderBy("at")
+
+    def first(rows: DataFrame, value: str, name: str) -> DataFrame:
+        few = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+        return few.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda e: e[value]).alias(name))
+
+    totals = tuple_rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("sentid", "extrid", "hashes")).alias("first")).select(*key, "n", F.col("first.hashes").alias("hashes"))
+    sentences = first(tuple_rows.groupBy(*key, "sentence").agg(F.min(at).alias("at")), "sentence", "sentences")
+    named = tuple_rows.select(*key, at.alias("at"), F.concat_ws("-", "docid", F.col("sentid").cast("string"), F.col("extrid").cast("string")).alias("id")).distinct()
+    sides = F.posexplode(F.array("arg1_head", "arg2_head")).alias("side", "head")
+    heads = tuple_rows.select(*key, sides).groupBy(*key, "side", "head").agg(F.count("*").cast("int").alias("c"))
+    maps = [F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("head", "c"))))).alias(n) for k, n in enumerate(("arg1_heads", "arg2_heads"))]
+    return totals.join(sentences, key).join(first(named, "id", "ids"), key).join(heads.groupBy(*key).agg(*maps), key)

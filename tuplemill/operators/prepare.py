@@ -39,11 +39,12 @@ def without_redundant(records: DataFrame) -> DataFrame:
     Of two equally long ones both go. One anti-join on document and sentence reaches the fixed point.
     """
     length = F.length(F.concat("arg1Head.text", "relHead.text", "arg2Head.text"))
-    one = records.withColumn("size", length).alias("o")
-    two = records.select("docid", "sentid", "extrid", "arg1", "rel", "arg2", length.alias("size")).alias("i")
+    sized = records.withColumns({"size": length} | T.said_columns())
+    one = sized.alias("o")
+    two = sized.select("docid", "sentid", "extrid", "arg1", "rel", "arg2", "size", "said", "words_said").alias("i")
     redundant = T.same_arguments("o", "i", fold=False) | T.subsume_each_other("o", "i")
     same = (F.col("o.docid") == F.col("i.docid")) & (F.col("o.sentid") == F.col("i.sentid")) & (F.col("o.extrid") != F.col("i.extrid"))
-    return one.join(two, same & (F.col("i.size") >= F.col("o.size")) & redundant, "left_anti").drop("size")
+    return one.join(two, same & (F.col("i.size") >= F.col("o.size")) & redundant, "left_anti").drop("size", "said", "words_said")
 
 
 def with_canonical_verbs(records: DataFrame) -> DataFrame:

@@ -1,19 +1,24 @@
 """Merging documents' counts. Pair counts are gated by sentence hashes, tuple counts are summed.
 
 A document counts for a key only if neither side's hashes meet those of the documents accepted before it,
-in order of ``docid``. The fold is order-dependent, but little of the data needs it:
+in order of ``docid``. The outcome depends on that order, but little of the data needs it:
 
 * of documents with the same hashes on both sides only the first can be accepted, so equal ones are combined
   by a partial aggregation (a sentence with very many copies is one row);
-* a row whose hashes no other row of its key has is always accepted and blocks nothing: these are summed;
-* the rest is folded, per key.
+* a row whose hashes no other row of its key has is always accepted and blocks nothing;
+* the rest is settled in rounds of joins: each accepts all rows that come first among the undecided rows of each of
+  their hashes, and drops the rows that share a hash with one of these. No key's rows are gathered. A round decides
+  every row that has no undecided one before it, so a chain of n rows, each in conflict with the next only, takes
+  n / 2 rounds; other conflicts take few.
 
 The bound of 10,000 hashes, beyond which an accumulator would stop to grow, is not reproduced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuplemill.operators.extract import KEPT, PAIR, TUPLE
@@ -28,28 +33,35 @@ def _by_first_document(rows: DataFrame, payload: list[str]) -> DataFrame:
 
 def accepted_documents(document_rows: DataFrame, payload: list[str]) -> DataFrame:
     """The rows (key, docid, payload) that the gate lets through."""
-    rows = materialised(_by_first_document(document_rows, payload), "first-documents")
-    sides = rows.select(*PAIR, "docid", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("fhashes").alias("h")), F.struct(F.lit(2).alias("side"), F.col("shashes").alias("h")))).alias("s"))
-    hashes = sides.select(*PAIR, "docid", "s.side", F.explode("s.h").alias("hash"))
-    shared = hashes.groupBy(*PAIR, "side", "hash").agg(F.count("*").alias("n")).filter("n > 1")
-    doubtful = hashes.join(shared, [*PAIR, "side", "hash"]).select(*PAIR, "docid").distinct()
-    certain = rows.join(doubtful, [*PAIR, "docid"], "left_anti").select(*PAIR, "docid", "p.*")
-    entry = F.struct("docid", "fhashes", "shashes")
-    listed = rows.join(doubtful, [*PAIR, "docid"]).groupBy(*PAIR).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    passed = listed.select(*PAIR, F.explode(_gate(F.col("entries"))).alias("docid"))
-    return certain.union(rows.join(passed, [*PAIR, "docid"]).select(*PAIR, "docid", "p.*"))
-
-
-def _gate(entries: Column) -> Column:
-    """The docids that a fold over the ordered entries accepts."""
-    none = F.array().cast("array<int>")
-    zero = F.struct(none.alias("f"), none.alias("s"), F.array().cast("array<string>").alias("docs"))
-
-    def step(acc: Column, e: Column) -> Column:
-        taken = F.struct(F.array_union(acc["f"], e["fhashes"]).alias("f"), F.array_union(acc["s"], e["shashes"]).alias("s"), F.concat(acc["docs"], F.array(e["docid"])).alias("docs"))
-        return F.when(F.arrays_overlap(acc["f"], e["fhashes"]) | F.arrays_overlap(acc["s"], e["shashes"]), acc).otherwise(taken)
-
-    return F.aggregate(entries, zero, step, lambda acc: acc["docs"])
+    firsts = _by_first_document(document_rows, payload).withColumn("row", F.monotonically_increasing_id())
+    rows = materialised(firsts, "first-documents")
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("fhashes").alias("h")), F.struct(F.lit(2).alias("side"), F.col("shashes").alias("h"))))
+    hashes = rows.select(*PAIR, "row", "docid", sides.alias("s")).select(*PAIR, "row", "docid", "s.side", F.explode("s.h").alias("hash"))
+    slot = [*PAIR, "side", "hash"]
+    shared = hashes.groupBy(*slot).agg(F.count("*").alias("n")).filter("n > 1").select(*slot, F.monotonically_increasing_id().alias("slot"))
+    shared = materialised(shared, "shared-hashes")
+    kept = rows
+    if not shared.isEmpty():
+        doubtful = materialised(hashes.join(shared, slot).select("row", "docid", "slot"), "doubtful")
+        certain = rows.join(doubtful, "row", "left_anti")
+        kept = certain.union(rows.join(first_come(doubtful), "row", "left_semi"))
+    return kept.select(*PAIR, "docid", "p.*")
+
+
+def first_come(claims: DataFrame) -> DataFrame:
+    """The rows that get all their slots if rows claim them in order of ``docid``: (row).
+
+    ``claims``: row, docid, slot. A row gets its slots only if all are free, and then takes them.
+    """
+    accepted = []
+    while not claims.isEmpty():
+        first = claims.groupBy("slot").agg(F.min("docid").alias("first"))
+        ahead = claims.join(first, "slot").groupBy("row").agg(F.bool_and(F.col("docid") == F.col("first")).alias("ahead"))
+        accepted.append(materialised(ahead.filter("ahead").select("row"), "accepted"))
+        taken = claims.join(accepted[-1], "row", "left_semi").select("slot").distinct()
+        decided = claims.join(taken, "slot", "left_semi").select("row").distinct()
+        claims = materialised(claims.join(decided, "row", "left_anti"), "claims")
+    return reduce(DataFrame.union, accepted) if accepted else claims.select("row")
 
 
 def reduced_pairs(document_rows: DataFrame) -> DataFrame:
@@ -79,11 +91,35 @@ def reduced_heads(document_rows: DataFrame, most: int = KEPT) -> DataFrame:
     return added.groupBy(*PAIR).agg(*maps)
 
 
+def reduced_ids(document_rows: DataFrame, most: int = KEPT) -> DataFrame:
+    """``first_ids`` and ``second_ids`` per key: accepted documents' ids are added in order while there are fewer than ``most``.
+
+    ``document_rows`` has ``fids`` and ``sids``, which name their document and so never repeat in another. Each document
+    has one id at least: only the first ``most`` of a key can matter, and Spark drops the others before the shuffle.
+    """
+    passed = accepted_documents(document_rows, ["fids", "sids"])
+    order = Window.partitionBy(*PAIR).orderBy("docid")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    few = passed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+    for c in ("fids", "sids"):
+        few = few.withColumn(f"n{c}", F.coalesce(F.sum(F.size(c)).over(before), F.lit(0)))
+    lists = [F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(f"n{c}") < most, F.struct("docid", F.col(c).alias("ids"))))), lambda e: e["ids"])).alias(n) for c, n in (("fids", "first_ids"), ("sids", "second_ids"))]
+    return few.groupBy(*PAIR).agg(*lists)
+
+
 def reduced_tuples(document_tuples: DataFrame) -> DataFrame:
     return document_tuples.groupBy(*TUPLE).agg(F.sum("n").alias("n"))
 
 
 def reduced_details(details: DataFrame) -> DataFrame:
-    """Counts summed; hashes, sentences and ids of the first document."""
+    """Counts and head counts summed; hashes, sentences and ids of the first document.
+
+    Heads are summed as rows, so a tuple with very many heads is combined before the shuffle; the map that is made of
+    them last has a tuple's distinct heads.
+    """
     first = F.min_by(F.struct("hashes", "sentences", "ids"), "docid").alias("first")
-    return details.groupBy(*TUPLE).agg(F.sum("n").alias("n"), first).select(*TUPLE, "n", "first.*")
+    totals = details.groupBy(*TUPLE).agg(F.sum("n").alias("n"), first).select(*TUPLE, "n", "first.*")
+    sides = F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(n).alias("m")) for n in ("arg1_heads", "arg2_heads")))).alias("x")
+    rows = details.select(*TUPLE, sides).select(*TUPLE, "x.side", F.explode("x.m").alias("head", "c")).groupBy(*TUPLE, "side", "head").agg(F.sum("c").cast("int").alias("c"))
+    maps = [F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("side") == n, F.struct("head", "c"))))).alias(n) for n in ("arg1_heads", "arg2_heads")]
+    return totals.join(rows.groupBy(*TUPLE).agg(*maps), TUPLE)

@@ -40,10 +40,14 @@ class Query:
 
 
 def matches(column: Column, text: str) -> Column:
-    """Any word of ``text`` but prepositions is a word of the column; a text in double quotes is a phrase."""
+    """Any word of ``text`` but prepositions is a word of the column; a text in double quotes is a phrase.
+
+    A phrase stands between blanks or ends; within it blanks, ``:`` and ``_`` are alike, so that ``"xvar type person"`` is ``XVAR:type:person``.
+    """
     text = text.strip().lower()
     if len(text) > 1 and text[0] == text[-1] == '"':
-        return F.concat(F.lit(" "), F.lower(column), F.lit(" ")).contains(f" {text[1:-1]} ")
+        words = [rf"\Q{w}\E" for w in re.split(r"[\s:_]+", text[1:-1]) if w]
+        return F.lower(column).rlike(r"(?:^|\s)" + r"[\s:_]+".join(words) + r"(?:\s|$)") if words else F.lit(False)
     terms = [w for w in re.split(r"[\s:]+", text) if w and w not in T.PREPOSITIONS]
     return F.arrays_overlap(F.split(F.lower(column), r"[\s:]+"), T.strings(terms)) if terms else F.lit(False)
 
@@ -65,8 +69,8 @@ def all_typed() -> Column:
 def equality_kept(option: str | None) -> Column:
     wanted = {
         "typedequality": has_variable() & all_typed(),
-        "equality": has_variable() & ~all_typed(),
-        "noequality": ~has_variable() & ~all_typed(),
+        "equality": has_variable(),
+        "noequality": ~has_variable(),
         "typednoequality": ~has_variable() & all_typed(),
     }
     return wanted.get(option or "", F.lit(True))
@@ -105,8 +109,9 @@ def at(m: str, k: int) -> Column:
     return F.coalesce(F.try_element_at(F.col(m), F.lit(k)), F.lit(0))
 
 
-def sort_value(key: str, k: int) -> Column:
-    fs, both = at("counts", k), at("biterm", k)
+def sort_value(key: str) -> Column:
+    """The largest counts over all windows, or a tuple's own; the decayed conditional for any other key."""
+    fs, both = C.largest(F.col("counts")), C.largest(F.col("biterm"))
     values = {"fs": fs, "sf": both - fs, "fs+sf": both, "f": F.col("f"), "s": F.col("s")}
     return values.get(key, F.col("first_undir.combined")).cast("double")
 
@@ -131,7 +136,7 @@ def search(index: DataFrame, query: Query, pruned: bool = True, limit: int | Non
     rows = candidates(index, query)
     rows = prune(rows, query) if pruned else rows
     fs, both = at("counts", query.k), at("biterm", query.k)
-    shown = rows.select(*PAIR, both.alias("biterm"), F.col("first_undir.combined").alias("conditional"), C.largest(F.col("biterm")).alias("biterm_max"), fs.alias("fs"), (both - fs).alias("sf"), "f", "s", sort_value(query.sort_by, query.k).alias("rank_value"))
+    shown = rows.select(*PAIR, both.alias("biterm"), F.col("first_undir.combined").alias("conditional"), C.largest(F.col("biterm")).alias("biterm_max"), fs.alias("fs"), (both - fs).alias("sf"), "f", "s", sort_value(query.sort_by).alias("rank_value"))
     if pruned:
         shown = shown.withColumn("copy", F.row_number().over(Window.partitionBy(*PAIR).orderBy(F.desc("rank_value"), F.desc("fs")))).filter("copy = 1").drop("copy")
     shown = shown.orderBy(F.desc("rank_value"), *PAIR)
@@ -144,9 +149,14 @@ def display(results: DataFrame) -> DataFrame:
 
 
 def top_heads(heads: DataFrame, n: int = 5) -> DataFrame:
-    """For each argument position the commonest heads, preferring those that the other side hasn't."""
-    pairs = {"first_arg1": "second_arg1", "first_arg2": "second_arg2", "second_arg1": "first_arg1", "second_arg2": "first_arg2"}
-    return heads.select(*PAIR, *(C.top_entries(C.preferred(F.col(a), F.col(b)), n).alias(a) for a, b in pairs.items()))
+    """For each argument position the commonest heads, preferring those that the tuple's other argument hasn't."""
+    others = {"first_arg1": "first_arg2", "first_arg2": "first_arg1", "second_arg1": "second_arg2", "second_arg2": "second_arg1"}
+    return heads.alias("h").select(*PAIR, *(C.top_entries(C.preferred(F.col(f"h.{a}"), F.col(f"h.{b}")), n).alias(a) for a, b in others.items()))
+
+
+def first_mentions(details: DataFrame, n: int = 3) -> DataFrame:
+    """What a result shows of a tuple: its ``n`` smallest ids and its smallest sentence. ``details`` has tuple, ids, sentences."""
+    return details.select("arg1", "rel", "arg2", F.slice(F.array_sort("ids"), 1, n).alias("ids"), F.array_min("sentences").alias("sentence"))
 
 
 def find_record(records: DataFrame, record_id: str) -> DataFrame:
