@@ -37,7 +37,7 @@ from tuplemill.llm.storage import settle, small_batches
 MIN_BITS, MAX_BITS = 20, 29
 SEGMENT = 19
 #: Bytes of packed strings of a bucket that isn't dealt anew.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 16
 #: Bytes of packed strings that a task resolves together.
 CHUNK = 1 << 20
 FIRST_ID = -(2**63)

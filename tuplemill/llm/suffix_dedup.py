@@ -14,10 +14,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tuplemill.llm import repeats
-from tuplemill.llm.arrays import ranges
+from tuplemill.llm.arrays import BYTE_CODES, grams_hash, ranges, text_buffers
 
 #: Symbols that are sorted together.
 BATCH = 1 << 20
@@ -128,14 +129,19 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.nda
 
 
 def unrepeated_windows(scheme: repeats.Scheme, s: repeats.Strings) -> list[np.ndarray | None]:
-    """Which windows of each string start anywhere else. A string with several copies needs no search."""
+    """Which windows of each string start anywhere else.
+
+    All windows of a string with several copies do, and none of one that is alone in its bucket and holds its gram once;
+    suffix arrays decide the others.
+    """
     goes: list[np.ndarray | None] = [None] * len(s.key)
     edges = np.flatnonzero(np.concatenate(([True], s.key[1:] != s.key[:-1], [True])))
     open_ = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:]) if (s.copies[a:b] == 1).any()]
-    trivial = [a for a, b in open_ if b - a == 1 and s.windows[a] == 1]
-    for a in trivial:
-        goes[a] = np.zeros(1, bool)
-    work = sorted(((sum(len(s.packed[i]) + 1 for i in range(a, b)), a, b) for a, b in open_ if b - a > 1 or s.windows[a] > 1))
+    alone = [a for a, b in open_ if b - a == 1]
+    for a, once in zip(alone, _gram_stands_once(scheme, [s.packed[a] for a in alone])):
+        if once:
+            goes[a] = np.zeros(s.windows[a], bool)
+    work = sorted((sum(len(s.packed[i]) + 1 for i in range(a, b)), a, b) for a, b in open_ if goes[a] is None)
     at = 0
     while at < len(work):
         take, total = at, 0
@@ -147,6 +153,20 @@ def unrepeated_windows(scheme: repeats.Scheme, s: repeats.Strings) -> list[np.nd
     return goes
 
 
+def _gram_stands_once(scheme: repeats.Scheme, strings: list[bytes]) -> np.ndarray:
+    """Whether the smallest gram, which all windows of a string share, stands in it once: then none of its windows equals another."""
+    if not strings:
+        return np.zeros(0, bool)
+    data, offs = text_buffers(pa.array(strings, pa.binary()))
+    h = grams_hash(BYTE_CODES[data], scheme.gram)
+    first = np.stack((offs[:-1], offs[:-1] + scheme.window - scheme.gram + 1), axis=1).ravel()
+    least = np.minimum.reduceat(np.append(h, np.uint64(2**64 - 1)), first)[::2]
+    owner = np.repeat(np.arange(len(strings)), np.diff(offs))[: len(h)]
+    hits = np.flatnonzero(h == least[owner])
+    hits = hits[hits + scheme.gram <= offs[owner[hits] + 1]]
+    return np.bincount(owner[hits], minlength=len(strings)) == 1
+
+
 def _search(scheme: repeats.Scheme, s: repeats.Strings, buckets: list[tuple[int, int]], goes: list) -> None:
     parts, bounds, starts, sizes, which = [], [0], [], [], []
     at = 0
