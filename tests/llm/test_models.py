@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tuplemill.llm import langid, license_scan, quality_gam, toxicity
 from tuplemill.llm.fitting import fold
+from tuplemill.llm.licences import TEMPLATES, TITLES, named, tokens
 
 SYLLABLES = {"xx": ["ba", "du", "ki", "lo"], "yy": ["ré", "ou", "eux", "ç"]}
 
@@ -99,3 +102,66 @@ def test_licences_inside_text(tables, spark):
     both = "The code is released under the MIT License and the text is licensed under CC BY-SA 4.0, as is said here."
     got = license_scan.scan(docs.select("doc_id", "text").union(spark.createDataFrame([(4000, both)], "doc_id bigint, text string"))).filter("confirmed").collect()
     assert {r["family"] for r in got} == {"mit", "cc-by-sa"} and len(got) == 2
+
+
+def test_every_family_and_no_other(tables, spark):
+    """All notices of all families, plain and wrapped as comments, are confirmed as their own family and as no other; near families too."""
+    docs, _ = tables
+    texts = [(t, family) for family, templates in TEMPLATES.items() for t in templates]
+    wrap = lambda t: "\n".join("# " + " ".join(t.split()[i : i + 6]) for i in range(0, len(t.split()), 6))
+    near = [
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "agpl"),
+        ("GNU Affero General Public License, version 3", "agpl"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License.", "lgpl"),
+        ("This text is licensed under CC BY-NC-ND 4.0.", "cc-by-nc-nd"),
+        ("This text is licensed under CC BY-ND 4.0.", "cc-by-nd"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd"),
+    ]
+    planted = [(x, f) for t, f in texts for x in (t, "ba du\n\n" + wrap(t) + "\n\nki lo")] + near
+    more = spark.createDataFrame([(5000 + i, x) for i, (x, _) in enumerate(planted)], "doc_id bigint, text string")
+    got = {}
+    for r in license_scan.scan(docs.select("doc_id", "text").union(more)).filter("confirmed").collect():
+        got.setdefault(r["doc_id"], set()).add(r["family"])
+    wrong = [(x, f, got.get(5000 + i)) for i, (x, f) in enumerate(planted) if got.get(5000 + i) != {f}]
+    assert len(TEMPLATES) >= 25 and not wrong and len(got) == len(planted)
+
+
+def test_statements_by_brute_force():
+    """The runs that hold most of a template's grams, against a search over all runs of words in plain Python."""
+    rng = random.Random(5)
+    pieces = [t.split() for v in TEMPLATES.values() for t in v]
+    texts = []
+    for _ in range(120):
+        words = []
+        for piece in rng.sample(pieces, 2):
+            words += [w for w in piece if rng.random() > 0.15] + rng.choices(["ba", "du", "the", "License"], k=rng.randint(0, 9))
+        texts.append(" ".join(w + rng.choice(["", "", "\n", ","]) for w in words))
+    expected = set()
+    for n, text in enumerate(texts):
+        words = tokens(text)
+        grams = list(zip(words, words[1:]))
+        for family, templates in TEMPLATES.items():
+            for t in map(tokens, templates):
+                own, span = set(zip(t, t[1:])), len(t) + len(t) // 4 + 2
+                for a in (i for i, g in enumerate(grams) if g in own):
+                    seen, last = set(), a
+                    for b in range(a, min(a + span - 1, len(grams))):
+                        if grams[b] in own - seen:
+                            seen.add(grams[b])
+                            last = b
+                    if len(seen) / len(own) >= license_scan.CONFIRMED_AT_LEAST - 1e-9 and family in named(words[a : last + 2]):
+                        expected.add((n, family, a, last + 2, len(seen) / len(own)))
+        if " ".join(words) in {" ".join(tokens(t)) for v in TITLES.values() for t in v}:
+            expected.add((n, "title", 0, len(words), 1.0))
+    assert expected
+    got = set()
+    for first, _, data, offs in license_scan.slices(pa.array(texts)):
+        w = license_scan.words_of(data, offs)
+        base = np.searchsorted(w.text, np.arange(len(offs)))
+        titles = {(int(a), int(b)) for a, b in zip(*license_scan.runs(w.line))}
+        for x in license_scan.statements(data, w):
+            t = int(w.text[x.first])
+            row = (first + t, x.family, x.first - int(base[t]), x.end - int(base[t]), x.close)
+            if row in expected or (x.first, x.end) not in titles:
+                got.add(row)
+    assert got == {x for x in expected if x[1] != "title"}

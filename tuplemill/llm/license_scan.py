@@ -1,18 +1,18 @@
 """Licence scan: a trained paragraph classifier, with an unknown class and confirmation by templates.
 
 Lines, and overlapping windows of the words of each text, are scored by sparse multinomial regression on
-hashed one- and two-word grams. It is trained on perturbed forms of the template sentences below, one
+hashed one- and two-word grams. It is trained on perturbed forms of the statements in ``licences``, one
 class for each family, against an unknown class of passages drawn from the corpus and of sentences that
-only sound alike. A temperature is fitted on held-back rows; a passage is a hit if its likeliest class is a
+only sound alike. A temperature is fitted on templates that training hasn't seen; a passage is a hit if its likeliest class is a
 family and the calibrated probability of the unknown class is small. Beside these, every run of words is
 found that holds most of a template's grams, wherever it stands in a line or is wrapped over lines.
 A passage is confirmed if it is such a run and names the family, if it is a line that is a licence's title,
-or if it is a hit and close to a template as a whole.
+or if it is a hit that names the family and is close to a template as a whole, closer by a margin than to
+one of any other family that it names.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,110 +24,24 @@ from pyspark.sql import functions as F
 
 from tuplemill.llm import fitting
 from tuplemill.llm.arrays import LOWER, U64, grams_hash, runs_hash, slices, spans_hash
+from tuplemill.llm.licences import LOOKALIKES, TEMPLATES, TITLES, named, tokens
 
 #: Corpus documents of which paragraphs teach the unknown class, at most; and paragraphs.
 SAMPLE, PARAGRAPHS = 400, 3_000
-SPACE, FORMS, EPOCHS = 1 << 16, 40, 4
+SPACE, FORMS, EPOCHS = 1 << 16, 12, 4
 UNKNOWN_AT_MOST, CONFIRMED_AT_LEAST = 0.5, 0.6
+#: By how much a passage must be closer to its family than to any other family that it names.
+MARGIN = 0.02
 #: Words of a scored window, from one to the next, and of a passage that is given with the whole of its lines.
 WINDOW, STEP, WHOLE = 32, 16, 64
 UNKNOWN = "unknown"
 #: Passages for the unknown class: lines, cut between words into about a window's length.
 PIECE = r"[^\n]{1,200}(?=\s|$)|[^\n]{1,200}"
 
-#: Public licence statements, by family.
-TEMPLATES = {
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-        "Released under the terms of the Apache License 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
-    ],
-    "mit": [
-        "Released under the MIT License.",
-        "Licensed under the MIT license.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
-        "SPDX-License-Identifier: MIT",
-    ],
-    "bsd": [
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-        "Licensed under the GPL, version 2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ],
-    "lgpl": [
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "Licensed under the LGPL, version 3.",
-        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
-        "SPDX-License-Identifier: LGPL-2.1-only",
-    ],
-    "mpl-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc0": ["Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
-}
-#: Lines that are a statement if nothing else stands on them.
-TITLES = {
-    "apache-2.0": ["Apache License", "Apache License 2.0", "Apache License, Version 2.0", "Apache-2.0"],
-    "mit": ["MIT License", "The MIT License", "The MIT License (MIT)", "License: MIT"],
-    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "The BSD 3-Clause License"],
-    "gpl": ["GNU General Public License", "GNU General Public License, version 2", "GNU General Public License, version 3"],
-    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3"],
-    "mpl-2.0": ["Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
-    "cc-by-nc": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"],
-    "cc-by-sa": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
-    "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 International"],
-    "cc0": ["CC0 1.0", "CC0 1.0 Universal"],
-}
-#: Families share most grams of some templates; a passage must have one of these to be the family's.
-NAMES = {
-    "apache-2.0": ["apache"],
-    "mit": ["mit", "permission is hereby granted", "copy of this software"],
-    "bsd": ["bsd", "redistribution and use", "source and binary forms"],
-    "gpl": ["gpl", "gnu general public"],
-    "lgpl": ["lgpl", "lesser general public"],
-    "mpl-2.0": ["mpl", "mozilla"],
-    "cc-by-nc": ["by nc", "noncommercial"],
-    "cc-by-sa": ["by sa", "sharealike"],
-    "cc-by": ["by 4", "attribution 4"],
-    "cc0": ["cc0", "public domain", "waived all copyright"],
-}
-#: Sentences that sound alike and are no licence.
-LOOKALIKES = [
-    "The driver's license was issued in the state last year.",
-    "A license is required for fishing in this lake.",
-    "All rights reserved.",
-    "Copyright by the authors.",
-    "The general public was invited to the work of the foundation.",
-    "Version 2.0 of the program was released under the direction of the new team.",
-    "The permission was granted to any person with a copy of the documents.",
-    "He worked under the terms of the contract.",
-    "The apache helicopter landed near the base.",
-    "Students at MIT built a new machine.",
-    "The source of the river is in the mountains.",
-    "This work is subject to change without notice.",
-]
-
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def tokens(text: str) -> list[str]:
-    """Small-letter runs of letters, digits and characters beyond ASCII."""
-    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
-
-
 def similarity(a: list[str], b: list[str]) -> float:
     """Shared over all two-word grams, doubled (words where a side has only one)."""
     pairs = [set(zip(x, x[1:])) if min(len(a), len(b)) > 1 else set(x) for x in (a, b)]
@@ -170,8 +84,14 @@ def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def units(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First and end word of every line, and of windows over the texts of several lines or more words than a window has."""
+    """First and end word of every line, of paragraphs of several lines, and of windows over texts of several lines or more words than a window has.
+
+    Paragraphs are parted by lines without a word; those of more than ``WHOLE`` words are left to the windows.
+    """
     first, end = runs(w.line)
+    at, to = runs(np.cumsum(np.append(False, (np.diff(w.line) > 1) | ~w.same[: len(w.line) - 1]))[: len(w.line)])
+    wrapped = (w.line[to - 1] > w.line[at]) & (to - at <= WHOLE) if len(at) else np.zeros(0, bool)
+    first, end = np.concatenate((first, at[wrapped])), np.concatenate((end, to[wrapped]))
     at, to = runs(w.text)
     more = (w.line[to - 1] > w.line[at]) | (to - at > WINDOW) if len(at) else np.zeros(0, bool)
     at, to = at[more], to[more]
@@ -205,11 +125,6 @@ _TITLES = _title_hashes()
 _TITLE_HASHES = np.array(sorted(_TITLES), U64)
 
 
-def names_family(text: str, family: str) -> bool:
-    said = f" {' '.join(tokens(text))} "
-    return any(f" {name} " in said for name in NAMES[family])
-
-
 class Passage(NamedTuple):
     first: int  # first word
     end: int
@@ -241,7 +156,7 @@ def statements(data: np.ndarray, w: Words) -> list[Passage]:
                 if g[b] not in seen:
                     seen.add(g[b])
                     last = b
-            if len(seen) >= need and names_family(data[w.starts[p[a]] : w.ends[p[last] + 1]].tobytes().decode(), family):
+            if len(seen) >= need and family in named(tokens(data[w.starts[p[a]] : w.ends[p[last] + 1]].tobytes().decode())):
                 found.append(Passage(int(p[a]), int(p[last]) + 2, family, len(seen) / total))
     return found
 
@@ -280,61 +195,80 @@ class Model(NamedTuple):
         return fitting.softmax((z / n + self.bias) / self.temperature)
 
 
-def training_rows(corpus: list[str], seed: int = 8) -> tuple[list[str], list[int]]:
-    """Texts and class numbers: forms of the templates with words dropped, doubled or set in other text; and unknowns."""
+def training_rows(corpus: list[str], seed: int = 8) -> tuple[list[str], list[int], np.ndarray]:
+    """Texts, class numbers, and which rows are held back: of families with several templates one template and all its forms, and every fifth unknown.
+
+    Forms of a template have words dropped or stand in other text, and still name the family, so near families are told apart by their names.
+    """
     rng = np.random.default_rng(seed)
     stated = set()
     for first, _, data, offs in slices(pa.array(corpus, pa.string())):
         w = words_of(data, offs)
         stated.update(first + int(w.text[x.first]) for x in statements(data, w))
-    lines = [x for i, x in enumerate(corpus) if x.strip() and i not in stated and not any(similarity(tokens(x), t) >= CONFIRMED_AT_LEAST for v in _TEMPLATE_TOKENS.values() for t in v)]
+    lines = [x for i, x in enumerate(corpus) if x.strip() and i not in stated]
     filler = [w for x in (lines or LOOKALIKES) for w in x.split()][:5000]
-    texts, labels = [], []
-    for k, family in enumerate(TEMPLATES):
-        for template in TEMPLATES[family]:
+    texts, labels, back = [], [], []
+    for k, (family, templates) in enumerate(TEMPLATES.items()):
+        for j, template in enumerate(templates):
             for form in range(FORMS):
                 words = template.split()
                 if form:
-                    words = [w for w in words if rng.random() > 0.05] or words
+                    dropped = [w for w in words if rng.random() > 0.05]
+                    words = dropped if family in named(tokens(" ".join(dropped))) else words
                 if form % 4 == 3:
                     extra = [filler[i] for i in rng.integers(0, len(filler), rng.integers(1, 6))]
                     words = extra + words if form % 8 == 3 else words + extra
                 texts.append(" ".join(words))
                 labels.append(k)
-    unknown = len(TEMPLATES)
-    for text in LOOKALIKES * (FORMS // 4) + lines:
+                back.append(len(templates) > 1 and j == k % len(templates))
+    for i, text in enumerate(LOOKALIKES * 10 + lines):
         texts.append(text)
-        labels.append(unknown)
-    return texts, labels
+        labels.append(len(TEMPLATES))
+        back.append(i % 5 == 0)
+    return texts, labels, np.array(back)
 
 
-def fit_licences(docs: DataFrame, bound: int = SAMPLE) -> Model:
-    ids = fitting.sample_ids(docs.select("doc_id", F.length("text").alias("n")).filter("n > 0"), bound, seed=8).select("doc_id").distinct()
-    lines = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.explode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("line"))  # ``bound`` ids
-    corpus = sorted(r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(PARAGRAPHS).collect())
-    texts, labels = training_rows(corpus)
-    column = pa.array([t.replace("\n", " ") for t in texts])
+def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and values of each text, taken as one line."""
     rows: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
-    for first, _, data, offs in slices(column):
+    for first, _, data, offs in slices(pa.array([t.replace("\n", " ") for t in texts])):
         w = words_of(data, offs)
         for a, b in zip(*(x.tolist() for x in runs(w.text))):
-            t = int(w.text[a])
             bucket = (np.concatenate((w.codes[a:b], w.two[a : b - 1])) & U64(SPACE - 1)).astype(np.int64)
             index, n = np.unique(bucket, return_counts=True)
-            rows[first + t] = index, n / np.sqrt(len(bucket))
-    learner = fitting.Ftrl(SPACE, len(TEMPLATES) + 1, l1=0.02, l2=0.01)
-    order = np.random.default_rng(8).permutation(len(rows))
-    back, learn = order[: len(order) // 5], order[len(order) // 5 :]
-    for _ in range(EPOCHS):
-        for i in learn:
-            learner.learn(*rows[i], labels[i])
-    w, b = learner.weights()
-    logits = np.array([rows[i][1] @ w[rows[i][0]] + b for i in back])
+            rows[first + int(w.text[a])] = index, n / np.sqrt(len(bucket))
+    return rows
+
+
+def fit_licences(docs: DataFrame, bound: int = SAMPLE) -> Model:
+    """The classifier; its labelled rows are the forms of the templates, and ``bound`` documents teach the unknown class.
+
+    The temperature comes from a first fit that hasn't seen the templates held back; the weights from a fit on all rows.
+    """
+    ids = fitting.sample_ids(docs.select("doc_id", F.length("text").alias("n")).filter("n > 0"), bound, seed=8).select("doc_id").distinct()
+    lines = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.explode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("line"))  # ``bound`` ids
+    corpus = sorted(r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(PARAGRAPHS).collect())
+    texts, labels, back = training_rows(corpus)
+    rows = _features(texts)
+
+    def fitted(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        learner = fitting.Ftrl(SPACE, len(TEMPLATES) + 1, l1=0.02, l2=0.01)
+        order = np.random.default_rng(8).permutation(use)
+        for _ in range(EPOCHS):
+            for i in order:
+                learner.learn(*rows[i], labels[i])
+        return learner.weights()
+
+    w, b = fitted(np.flatnonzero(~back))
+    held = np.flatnonzero(back)
+    logits = np.array([rows[i][1] @ w[rows[i][0]] + b for i in held])
+    temperature = max(0.2, fitting.temperature(logits, np.array(labels)[held]))
+    w, b = fitted(np.arange(len(rows)))
     used = np.flatnonzero(np.any(w != 0, axis=1))
     row_of = np.zeros(SPACE, np.int32)
     row_of[used] = np.arange(1, len(used) + 1)
     weights = np.concatenate((np.zeros((1, w.shape[1])), w[used]))
-    return Model([*TEMPLATES, UNKNOWN], row_of, weights, b, max(0.2, fitting.temperature(logits, np.array(labels)[back])))
+    return Model([*TEMPLATES, UNKNOWN], row_of, weights, b, temperature)
 
 
 def scan(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:
@@ -360,11 +294,12 @@ def scan(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:
             a, b = int(first[i]), int(end[i])
             text = data[w.starts[a] : w.ends[b - 1]].tobytes().decode()
             words, likely = tokens(text), m.names[best[i]]
-            close = {k: max(similarity(words, t) for t in v) for k, v in _TEMPLATE_TOKENS.items() if k == likely or names_family(text, k)}
-            named = [k for k in close if close[k] >= CONFIRMED_AT_LEAST and names_family(text, k)]
-            family = max(named, key=lambda k: (close[k], k == likely), default=likely)
+            said = named(words)
+            close = {k: max(similarity(words, t) for t in _TEMPLATE_TOKENS[k]) for k in said | {likely}}
+            family = max(said, key=lambda k: (close[k], k == likely, k), default=likely)
             score = float(prob[i, m.names.index(family)])
-            sure = close[family] >= CONFIRMED_AT_LEAST
+            rival = max((close[k] for k in said if k != family), default=0.0)
+            sure = family in said and close[family] >= CONFIRMED_AT_LEAST and close[family] > rival + MARGIN
             rows.append(((sure, close[family], b - a, score), a, b, family, score, float(prob[i, -1]), close[family], sure))
         found = statements(data, w)
         if found:
@@ -387,7 +322,7 @@ def scan(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:
                     lo, hi = w.starts[a], w.ends[b - 1]
                     if np.searchsorted(w.line, lines[1], "right") - np.searchsorted(w.line, lines[0]) <= WHOLE:
                         lo, hi = w.edges[lines[0]], w.edges[lines[1] + 1]
-                    line = int((data[offs[t] : w.starts[a]] == 0x0A).sum())
+                    line = int(w.line[a] - np.searchsorted(w.edges, offs[t]))
                     rows.append((batch.column(0)[first + t].as_py(), line, family, score, unknown, close, sure, data[lo:hi].tobytes().decode().rstrip("\n")))
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.string())
