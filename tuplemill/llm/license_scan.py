@@ -30,6 +30,7 @@ from tuplemill.llm.licences import LOOKALIKES, TEMPLATES, TITLES, named, tokens
 SAMPLE, PARAGRAPHS = 400, 3_000
 SPACE, FORMS, EPOCHS = 1 << 16, 12, 4
 UNKNOWN_AT_MOST, CONFIRMED_AT_LEAST = 0.5, 0.6
+UNIT = 1 << 20
 #: By how much a passage must be closer to its family than to any other family that it names.
 MARGIN = 0.02
 #: Words of a scored window, from one to the next, and of a passage that is given with the whole of its lines.
@@ -176,7 +177,7 @@ def apart(rows: list[tuple]) -> list[tuple]:
 class Model(NamedTuple):
     names: list[str]
     row_of: np.ndarray  # bucket to row of ``weights``; row 0 is all zero
-    weights: np.ndarray
+    weights: np.ndarray  # by class and row, in parts of 1 / ``UNIT``, so that sums don't depend on their order
     bias: np.ndarray
     temperature: float
 
@@ -186,12 +187,12 @@ class Model(NamedTuple):
         for values, last, allowed in ((w.codes, end, True), (w.two, end - 1, w.same)):
             row = self.row_of[(values & U64(SPACE - 1)).astype(np.int64)]
             at = np.flatnonzero((row != 0) & allowed)
-            weights = np.concatenate((self.weights[row[at]], np.zeros((1, z.shape[1]))))
             lo, hi = np.searchsorted(at, first), np.searchsorted(at, last)
-            some = np.flatnonzero(hi > lo)
-            if len(some):
-                z[some] += np.add.reduceat(weights, np.column_stack((lo[some], hi[some])).ravel(), axis=0)[::2]
-        n = np.sqrt(np.maximum(2 * (end - first) - 1, 1))[:, None]
+            row, sums = row[at], np.zeros(len(at) + 1, np.int64)
+            for k, weights in enumerate(self.weights):
+                np.cumsum(weights[row], out=sums[1:])
+                z[:, k] += sums[hi] - sums[lo]
+        n = np.sqrt(np.maximum(2 * (end - first) - 1, 1))[:, None] * UNIT
         return fitting.softmax((z / n + self.bias) / self.temperature)
 
 
@@ -267,7 +268,7 @@ def fit_licences(docs: DataFrame, bound: int = SAMPLE) -> Model:
     used = np.flatnonzero(np.any(w != 0, axis=1))
     row_of = np.zeros(SPACE, np.int32)
     row_of[used] = np.arange(1, len(used) + 1)
-    weights = np.concatenate((np.zeros((1, w.shape[1])), w[used]))
+    weights = np.ascontiguousarray(np.rint(np.concatenate((np.zeros((1, w.shape[1])), w[used])) * UNIT).T.astype(np.int32))
     return Model([*TEMPLATES, UNKNOWN], row_of, weights, b, temperature)
 
 
