@@ -32,6 +32,19 @@ def test_containment_against_brute_force(spark, corpus, items):
     assert decontam.contained_items(docs.limit(0), items).count() == decontam.contained_items(docs, items.limit(0)).count() == 0
 
 
+def test_containment_by_shuffle_and_with_clashing_columns(spark, corpus, items, monkeypatch):
+    planted = items.filter("item_id = 0").first()["text"]
+    rows = [(6000 + i, f"{planted} {i}" if i % 3 else "x", "a", "b", 1) for i in range(60)] + [(None, planted, None, None, 2), (None, "x", "a", "b", 3), (7000, "w " * 30_000 + planted, "a", "b", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, doc_place string, item_key string, h int")
+    got = {r for r in decontam.contained_items(docs, items).collect()}
+    left = decontam.decontaminated(docs, items)
+    assert left.columns == docs.columns and {r["h"] for r in left.collect()} == {1, 3} and left.count() == 21
+    assert {r["doc_id"] for r in got} == {6000 + i for i in range(60) if i % 3} | {None, 7000}
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert {r for r in decontam.contained_items(docs, items).collect()} == got
+    assert decontam.decontaminated(docs, items).count() == 21
+
+
 def test_fingerprints(spark, corpus, empty):
     got = {r["doc_id"]: r for r in merkle.fingerprints(corpus).collect()}
     rows = sorted((r["doc_id"], r["text"] or "") for r in corpus.collect())
