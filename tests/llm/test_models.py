@@ -69,6 +69,41 @@ def test_toxicity(tables):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_telling_words_and_prior_by_brute_force():
+    rng = np.random.default_rng(4)
+    often = np.full(toxicity.SPACE, 0.02)
+    rows = [np.flatnonzero(rng.random(300) < np.where(np.arange(300) < 10, 0.3, 0.02)) for _ in range(400)]
+    words, weight = toxicity.telling_words(rows, often)
+    n, inside = len(rows), [sum(b in set(r.tolist()) for r in rows) for b in range(300)]
+    lift = {b: (c / n - 0.02) / (0.02 * 0.98 / n) ** 0.5 for b, c in enumerate(inside) if c > max(2, 0.005 * n)}
+    assert set(words.tolist()) == {b for b, v in lift.items() if v > 4} and set(range(10)) <= set(words.tolist())
+    assert np.allclose(weight, [np.log((inside[b] + 1) / (n + 2) / 0.02) for b in words])
+
+    positive = rng.normal(3, 1, 1500)
+    for prior in (0.05, 0.1, 0.3):
+        size = int(8000 * prior)
+        unlabelled = np.concatenate((rng.normal(3, 1, size), rng.normal(0, 1, 8000 - size)))
+        ratios = []
+        for t in positive:
+            p, u = (positive >= t).mean(), (unlabelled >= t).mean()
+            low, high = p - (p * (1 - p) / 1500) ** 0.5, u + (u * (1 - u) / 8000) ** 0.5
+            if p >= 0.2 and low > 0:
+                ratios.append(high / low)
+        found = toxicity.class_prior(positive, unlabelled)
+        assert abs(found - min(ratios)) < 1e-9 and abs(found - prior) < 0.25 * prior
+
+
+def test_an_id_that_repeats_counts_once_in_a_fit(tables):
+    """Thousands of rows of one id, more than the sample's bound, leave the fits as they are and get their own rows."""
+    docs, labels = tables
+    hot = docs.filter("doc_id = 3").selectExpr("doc_id", "text", "lang", "explode(sequence(1, 2048)) as copy").drop("copy")
+    many = docs.select("doc_id", "text", "lang").union(hot)
+    for run in (lambda d: quality_gam.quality(d, labels), langid.identify):
+        once, often = ({(r["doc_id"], r[2], round(r["score"] if "score" in r else 0, 1)) for r in run(d).collect()} for d in (docs.select("doc_id", "text", "lang"), many))
+        assert {x[0] for x in once} == {x[0] for x in often} and len(once & often) > 0.95 * len(once)
+    assert toxicity.toxicity(many, labels).filter("doc_id = 3").count() == 2048 + 1
+
+
 def test_licences(tables, spark):
     docs, _ = tables
     planted = {2000: "ba du\nReleased under the MIT License.\nki lo", 2001: "This work is licensed under the GNU General Public License, version 3.", 2002: "He got his driver's license."}

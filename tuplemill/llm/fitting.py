@@ -18,8 +18,8 @@ def fold(modulus: int) -> Column:
 
 
 def sample_ids(ids: DataFrame, bound: int, seed: int) -> DataFrame:
-    """At most ``bound`` rows, those of the smallest hashes of ``doc_id``; small enough to broadcast for any input."""
-    return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound)
+    """At most ``bound`` distinct rows, those of the smallest hashes of ``doc_id``; small enough to broadcast for any input."""
+    return ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound)
 
 
 def corpus_counts(rows: DataFrame, count, size: int) -> np.ndarray:

@@ -94,9 +94,10 @@ def fit_language(docs: DataFrame, bound: int = SAMPLE) -> Model:
                     value.append(row[at])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(index, pa.list_(pa.int16())), pa.array(value, pa.list_(pa.float32()))], ["lang", "index", "value"])
 
-    sample = fitting.sample_ids(fold.select("doc_id", F.xxhash64("text").alias("h")), bound, seed=2).distinct()
+    sample = fitting.sample_ids(fold.select("doc_id", F.xxhash64("text").alias("h")), bound, seed=2)
     texts = fold.withColumn("h", F.xxhash64("text")).join(F.broadcast(sample), ["doc_id", "h"], "left_semi")  # ``bound`` small rows
-    got = texts.select("text", "lang").mapInArrow(rows, "lang string, index array<smallint>, value array<float>").toPandas()
+    texts = texts.groupBy("doc_id", "h").agg(F.min(F.struct("lang", "text")).alias("row"))  # rows that repeat count once
+    got = texts.select("row.text", "row.lang").mapInArrow(rows, "lang string, index array<smallint>, value array<float>").toPandas()
     langs = sorted(got["lang"].unique())
     label = {x: i for i, x in enumerate(langs)}
     model = _fit(got, label, idf)
@@ -127,7 +128,7 @@ def identify(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:
 
     Learned from text and ``lang`` where ``lang`` isn't null and the crc32 of the id, modulo 3, isn't 1.
     A null text, or one without a letter, gets ``und`` and score 0, and so does every text if no language
-    could be learned. Repeated rows each give a row; other columns are neither read nor returned.
+    could be learned. Repeated rows each give a row, and count once in the fit; other columns are neither read nor returned.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit_language(docs, bound)

@@ -145,7 +145,7 @@ class Gam:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Gam:
-    """Fits on at most ``bound`` labelled documents outside the held-out fold."""
+    """Fits on at most ``bound`` labelled documents outside the held-out fold; an id that repeats counts once."""
     known = labels.filter("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(fitting.fold(5) != 0)
     known = fitting.sample_ids(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), bound, seed=9)
 
@@ -154,7 +154,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Gam:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(features(batch.column(0))), pa.list_(pa.float64()))], ["y", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # ``bound`` small rows
-    got = texts.select("text", F.col("quality").cast("int").alias("y")).mapInArrow(run, "y int, x array<double>").toPandas()
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", F.col("quality").cast("int").alias("y"))).alias("row"))
+    got = texts.select("row.text", "row.y").mapInArrow(run, "y int, x array<double>").toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got["y"]))  # the same fit, however rows arrive
     return Gam(x[order], got["y"].to_numpy(np.float64)[order])

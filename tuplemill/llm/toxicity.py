@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are documents confirmed as toxic; everything else of the learning fold is unlabelled
-and holds positives at the class prior's rate. The risk on unlabelled rows, less the prior times
+Positives are documents confirmed as toxic; the rest is documents of the learning fold taken as
+unlabelled, whatever their label, which hold positives at the class prior's rate. The prior is
+estimated from these two samples alone (``class_prior``). The risk on unlabelled rows, less the prior times
 the risk of positives taken as negatives, estimates the risk on negatives; where a batch drives
 that estimate below zero, the step goes the other way instead (it would only fit noise).
 """
@@ -25,6 +26,8 @@ POSITIVES, UNLABELLED = 4_000, 8_000
 SPACE, CHOSEN, MODELS = 1 << 18, 800, 3
 #: Bytes of a longer word's beginning, which counts as a word too.
 STEM = 6
+#: Parts of the sample; words that rank a part's rows come from the others, and the first is held back for the scores' scale.
+PARTS = 4
 STEPS, DECAY, SCALE = 400, 1e-4, 2.0
 
 _LETTER = np.zeros(256, bool)
@@ -92,10 +95,8 @@ def nn_pu(x: np.ndarray, positive: np.ndarray, prior: float, seed: int) -> tuple
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Word frequencies cover the whole learning fold; classifiers are fitted on bounded samples of it."""
-    known = labels.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(fitting.fold(3) != 1)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rate = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    """Word frequencies cover the whole learning fold; classifiers are fitted on bounded samples of it, in which an id counts once."""
+    known = labels.filter("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).filter(fitting.fold(3) != 1)
     fold = docs.filter(fitting.fold(3) != 1)
 
     def documents_with(batch: pa.RecordBatch) -> np.ndarray:
@@ -106,42 +107,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
         return total
 
     seen = fitting.corpus_counts(fold.select("text"), documents_with, SPACE + 64)
-    toxic = fitting.sample_ids(known.filter("toxic = 1").select("doc_id"), positives, seed=3).withColumn("y", F.lit(1))
-    other = fitting.sample_ids(fold.select("doc_id"), unlabelled, seed=4).distinct().withColumn("y", F.lit(0))
+    toxic = fitting.sample_ids(known, positives, seed=3).withColumn("y", F.lit(1))
+    other = fitting.sample_ids(fold.select("doc_id"), unlabelled, seed=4).withColumn("y", F.lit(0))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = []
             for n, owner, bucket in word_buckets(batch.column(0)):
                 lists += np.split(bucket.astype(np.int32), np.searchsorted(owner, np.arange(1, n)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["y", "buckets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lists, pa.list_(pa.int32()))], ["y", "part", "buckets"])
 
     texts = fold.join(F.broadcast(toxic.unionByName(other)), "doc_id")  # ``positives`` + ``unlabelled`` small rows
-    got = texts.select("text", "y").mapInArrow(rows, "y int, buckets array<int>").toPandas()
-    y = got["y"].to_numpy(np.int64)
+    texts = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS)).cast("int")  # both rows of a document are in one part
+    got = texts.select("row.text", "y", part.alias("part")).mapInArrow(rows, "y int, part int, buckets array<int>").toPandas()
+    y, part = got["y"].to_numpy(np.int64), got["part"].to_numpy(np.int64)
     lists = [np.asarray(b, np.int64) for b in got["buckets"]]
-    order = sorted(range(len(y)), key=lambda i: (y[i], len(lists[i]), int(lists[i].sum())))  # the same fit, however rows arrive
-    y, lists = y[order], [lists[i] for i in order]
+    order = sorted(range(len(y)), key=lambda i: (y[i], part[i], len(lists[i]), int(lists[i].sum())))  # the same fit, however rows arrive
+    y, part, lists = y[order], part[order], [lists[i] for i in order]
     column_of = np.full(SPACE, -1, np.int32)
-    if not rate or not y.any() or y.all():
-        base = min(max(rate or 0.0, 0.0), 1.0)
-        return Model(column_of, np.zeros((0, 1)), np.zeros(1), 0.0, float(np.log((base + 1e-3) / (1 - base + 1e-3))))
-    prior = float(min(max(rate, 0.001), 0.9))
-    inside = np.zeros(SPACE)
-    for i in np.flatnonzero(y):
-        inside[lists[i]] += 1
-    n = int(y.sum())
+    if not y.any() or y.all():
+        return Model(column_of, np.zeros((0, 1)), np.zeros(1), 0.0, -7.0)
     often = (seen[:SPACE] + 1) / (seen[SPACE] + 2)
-    lift = np.where(inside > max(2, 0.005 * n), (inside / n - often) / np.sqrt(often * (1 - often) / n), 0.0)
-    chosen = np.argsort(-lift, kind="stable")[:CHOSEN]
-    chosen = chosen[lift[chosen] > 4]
+    rank = np.zeros(len(y))
+    for k in range(PARTS):
+        words, weight = telling_words([lists[i] for i in np.flatnonzero((y == 1) & (part != k))], often)
+        value = np.zeros(SPACE)
+        value[words] = weight
+        for i in np.flatnonzero(part == k):
+            rank[i] = value[lists[i]].sum()
+    prior = class_prior(rank[y == 1], rank[y == 0])
+    chosen, _ = telling_words([lists[i] for i in np.flatnonzero(y)], often)
     column_of[chosen] = np.arange(len(chosen))
     x = np.zeros((len(y), len(chosen)), np.float32)
     for i, b in enumerate(lists):
         c = column_of[b]
         x[i, c[c >= 0]] = 1
-    back = np.random.default_rng(3).random(len(y)) < 0.25
-    learn = ~back if (y[back] == 1).any() and (y[~back] == 1).any() and (y[back] == 0).any() and (y[~back] == 0).any() else np.ones(len(y), bool)
+    back = part == 0
+    learn = ~back if all((y[rows] == c).any() for rows in (back, ~back) for c in (0, 1)) else np.ones(len(y), bool)
     fits = [nn_pu(x[learn], y[learn] == 1, prior, seed) for seed in range(MODELS)]
     weights, bias = np.stack([w for w, _ in fits], axis=1), np.array([b for _, b in fits])
     margin = (x @ weights + bias).mean(axis=1)
@@ -149,6 +152,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     return Model(column_of, weights, bias, *calibrated(margin[held & (y == 0)], prior))
 
 
+def telling_words(positive: list[np.ndarray], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that positives have far oftener than the corpus, at most ``CHOSEN``, and the logarithm of how much oftener."""
+    n, inside = max(1, len(positive)), np.zeros(SPACE)
+    for buckets in positive:
+        inside[buckets] += 1
+    lift = np.where(inside > max(2, 0.005 * n), (inside / n - often) / np.sqrt(often * (1 - often) / n), 0.0)
+    chosen = np.argsort(-lift, kind="stable")[:CHOSEN]
+    chosen = chosen[lift[chosen] > 4]
+    return chosen, np.log((inside[chosen] + 1) / (n + 2)) - np.log(often[chosen])
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from any score of both.
+
+    For each threshold, the share of unlabelled rows above it is at least the prior times the share of positives
+    above it; so the smallest ratio of the two bounds the prior, and is near it where hardly any negative scores as
+    high. Shares are taken with a standard error against small samples, at thresholds that a fifth of the positives pass.
+    """
+    order = np.sort(positive), np.sort(unlabelled)
+    at = np.unique(positive)
+    above = [(len(v) - np.searchsorted(v, at)) / len(v) for v in order]
+    p, u = (share + sign * np.sqrt(share * (1 - share) / len(v)) for share, v, sign in zip(above, order, (-1, 1)))
+    use = above[0] >= 0.2
+    use &= p > 0
+    return float(np.clip((u[use] / p[use]).min() if use.any() else above[1].mean(), 0.001, 0.9))
+
+
 def calibrated(unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
     """The scale of margins, and the shift with which the mean score of held-back unlabelled rows is the class prior."""
     low, high = -40.0, 40.0
@@ -163,8 +193,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, positiv
     """Scores every whole text: ``doc_id``, ``held_out``, ``score``, ``predicted`` (1 from ``threshold`` on).
 
     Learned from documents whose crc32 of the id, modulo 3, isn't 1. Null and empty texts get the score of
-    a text without any weighed word. Labels that repeat count once, by their maximum; without a positive
-    label all texts get the labels' rate. Repeated rows each give a row; other columns aren't read.
+    a text without any weighed word. A document is a confirmed positive if any of its labels says so; without a
+    positive label all texts get one score below 0.001. Repeated rows each give a row; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, positives, unlabelled))
