@@ -80,14 +80,14 @@ def nn_pu(x: np.ndarray, positive: np.ndarray, prior: float, seed: int) -> tuple
     pos, rest = np.flatnonzero(positive), np.flatnonzero(~positive)
     p, u = x[pos], x[rng.permutation(rest)[: max(1, len(rest) * 4 // 5)]]  # whole samples: small ones would often seem to have no negatives
     for step in range(1, STEPS + 1):
-        zu, zp = np.clip(u @ w + b, -30, 30), np.clip(p @ w + b, -30, 30)
+        zu, zp = (np.clip(rows @ w.astype(x.dtype) + b, -30, 30).astype(np.float64) for rows in (u, p))  # in the rows' type, or each step would convert them
         su, sp = 1 / (1 + np.exp(-zu)), 1 / (1 + np.exp(-zp))
         negative_risk = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
         if negative_risk >= 0:
             du, dp = su / len(u), prior * (sp - 1) / len(p) - prior * sp / len(p)
         else:
             du, dp = -su / len(u), prior * sp / len(p)
-        g = np.append(u.T @ du + p.T @ dp + DECAY * w, du.sum() + dp.sum())
+        g = np.append(u.T @ du.astype(x.dtype) + p.T @ dp.astype(x.dtype) + DECAY * w, du.sum() + dp.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
