@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tuplemill.llm import bpe, decontam, langid, license_scan, merkle, ngram_join, quality_gam, sql, suffix_dedup, superkmer, toxicity
+from tuplemill.llm import bpe, decontam, filter_audit, langid, license_scan, merkle, ngram_join, quality_gam, sql, suffix_dedup, superkmer, toxicity, vector_codes, vector_search
 from tuplemill.llm.storage import table
 
 
@@ -50,6 +50,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.dedup_words(table(spark, sf_dir, "documents"), window=20)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.product_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_products(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -61,6 +73,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_gam": op9_quality_gam,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -69,4 +84,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_benchmark_decontamination": decontam.SQL,
     "op7_merkle_fingerprints": merkle.SQL,
     "op10_substring_dedup": sql.OP10,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_exact_top_k": vector_search.SQL,
 }
