@@ -89,8 +89,33 @@ def test_telling_words_and_prior_by_brute_force():
             low, high = p - (p * (1 - p) / 1500) ** 0.5, u + (u * (1 - u) / 8000) ** 0.5
             if p >= 0.2 and low > 0:
                 ratios.append(high / low)
-        found = toxicity.class_prior(positive, unlabelled)
+        found = toxicity.class_prior(positive, unlabelled, 0.5)
         assert abs(found - min(ratios)) < 1e-9 and abs(found - prior) < 0.25 * prior
+    tied, few = np.zeros(100), positive[: toxicity.FEWEST - 1]
+    assert toxicity.class_prior(tied, np.zeros(500), 0.12) == toxicity.class_prior(few, unlabelled, 0.12) == 0.12
+
+
+def test_risk_and_its_slopes_by_differences():
+    rng = np.random.default_rng(6)
+    u, p, prior, step = rng.normal(0, 2, 9), rng.normal(1, 2, 5), 0.2, 1e-6
+    log = lambda z: np.log(1 + np.exp(z))
+    total, negative, du, dp = toxicity.risk(u, p, prior)
+    by_hand = sum(log(z) for z in u) / 9 - prior * sum(log(z) for z in p) / 5
+    assert abs(negative - by_hand) < 1e-12 and abs(total - by_hand - prior * sum(log(-z) for z in p) / 5) < 1e-12
+    for k in range(9):
+        assert abs((toxicity.risk(u + step * (np.arange(9) == k), p, prior)[0] - total) / step - du[k]) < 1e-5
+    for k in range(5):
+        assert abs((toxicity.risk(u, p + step * (np.arange(5) == k), prior)[0] - total) / step - dp[k]) < 1e-5
+
+
+def test_nothing_is_toxic_where_no_word_tells(spark):
+    """Nine of sixty labelled documents are toxic, and words are drawn at random."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(20)) for _ in range(66)] + [None, "", "   "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 3)) for i in range(60)], "doc_id bigint, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 69 and all(r["score"] < 0.5 and r["predicted"] == 0 for r in got)
 
 
 def test_an_id_that_repeats_counts_once_in_a_fit(tables):

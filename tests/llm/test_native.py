@@ -12,12 +12,14 @@ def items(spark):
 
 
 def brute(docs, items, k=5, percent=80):
-    def sets(t):
+    def sets(t, n):
         w = (t or "").lower().split()
-        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
-    named = {i: sets(t) for i, t in items if sets(t)}
-    return sorted(((d, i, len(s), len(s & sets(t))) for d, t in docs for i, s in named.items() if 100 * len(s & sets(t)) >= percent * len(s)), key=str)
+    width = {i: min(k, len((t or "").split())) for i, t in items}
+    named = {i: (width[i], sets(t, width[i])) for i, t in items if width[i]}
+    found = ((d, i, len(s), len(s & sets(t, n))) for d, t in docs for i, (n, s) in named.items())
+    return sorted((x for x in found if 100 * x[3] >= percent * x[2]), key=str)
 
 
 def test_containment_against_brute_force(spark, corpus, items):
@@ -32,6 +34,16 @@ def test_containment_against_brute_force(spark, corpus, items):
     assert decontam.contained_items(docs.limit(0), items).count() == decontam.contained_items(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    items = spark.createDataFrame([(1, "Blue  whale sings"), (2, "one"), (3, "four words are these"), (4, "exactly five words stand here")], "item_id bigint, text string")
+    filler = " ".join(f"f{i}" for i in range(1000))
+    texts = [f"{filler} blue whale\nSINGS {filler}", "blue whale sings", "blue whale x sings", "x one", "on e", "four words are these", "four words are", "exactly five words stand here too", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.contained_items(docs, items).collect())
+    assert got == [(0, 1), (1, 1), (3, 2), (5, 3), (7, 4)]
+    assert {r["doc_id"] for r in decontam.decontaminated(docs, items).collect()} == {2, 4, 6, 8, 9}
+
+
 def test_containment_by_shuffle_and_with_clashing_columns(spark, corpus, items, monkeypatch):
     planted = items.filter("item_id = 0").first()["text"]
     rows = [(6000 + i, f"{planted} {i}" if i % 3 else "x", "a", "b", 1) for i in range(60)] + [(None, planted, None, None, 2), (None, "x", "a", "b", 3), (7000, "w " * 30_000 + planted, "a", "b", 4)]

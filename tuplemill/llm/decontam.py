@@ -9,6 +9,8 @@ search loses nothing; what it finds is verified by exact containment of the shin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +30,20 @@ def words_of(text: Column) -> Column:
 
 
 def shingles(words: Column, k: int) -> Column:
-    """Runs of ``k`` words, joined by a blank; the whole sequence where there are fewer; none without words."""
+    """Runs of ``k`` words, joined by a blank; none where there are fewer."""
     runs = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.concat_ws(" ", *(F.get(words, i + j) for j in range(k))))
-    return F.when(F.size(words) >= k, runs).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<string>"))
 
 
 def hashes(words: Column, k: int) -> Column:
     """Hashes of the shingles."""
     runs = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
-    return F.when(F.size(words) >= k, runs).when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def of_widths(of: Callable[[Column, int], Column], words: Column, widths: list[int]) -> Column:
+    """Shingles or hashes of several widths in one list."""
+    return F.concat(*(of(words, k) for k in widths))
 
 
 def small(df: DataFrame, *strings: str) -> bool:
@@ -51,10 +58,21 @@ def near(df: DataFrame, *strings: str) -> DataFrame:
 
 
 def item_sets(items: DataFrame, k: int) -> DataFrame:
-    """(item_id, item_key, item_set, item_hashes): the distinct shingles of each distinct item, and their hashes."""
+    """(item_id, item_key, width, item_set, item_hashes): the distinct shingles of each distinct item, and their hashes.
+
+    ``width`` is ``k``; an item of fewer words is one shingle of as many words as it has.
+    """
     items = items.select("item_id", "text").dropDuplicates()
     sets = items.select("item_id", F.xxhash64("item_id", "text").alias("item_key"), words_of(F.col("text")).alias("w"))
-    sets = sets.select("item_id", "item_key", F.array_distinct(shingles(F.col("w"), k)).alias("item_set"), F.array_distinct(hashes(F.col("w"), k)).alias("item_hashes"))
+    sets = sets.withColumn("width", F.least(F.size("w"), F.lit(k)))
+
+    def own(of: Callable[[Column, int], Column]) -> Column:
+        out = of(F.col("w"), k)
+        for n in range(1, k):
+            out = F.when(F.col("width") == n, of(F.col("w"), n)).otherwise(out)
+        return F.array_distinct(out)
+
+    sets = sets.select("item_id", "item_key", "width", own(shingles).alias("item_set"), own(hashes).alias("item_hashes"))
     return sets.filter(F.size("item_set") > 0).dropDuplicates(["item_key"])
 
 
@@ -76,8 +94,9 @@ def search(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame
     """``DOCUMENT``, ``doc_id`` and the columns of ``contained_items``."""
     sets = settle(item_sets(items, k), "items")
     sketch = settle(sketches(sets, percent), "sketches")
+    widths = sorted(r["width"] for r in sets.select("width").distinct().collect()) or [k]  # ``k`` at most; only widths that items have
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *named(docs), docs["text"].alias("text"))
-    hashed = keyed.select(*DOCUMENT, words_of(F.col("text")).alias("w")).select(*DOCUMENT, F.explode(hashes(F.col("w"), k)).alias("h"))
+    hashed = keyed.select(*DOCUMENT, words_of(F.col("text")).alias("w")).select(*DOCUMENT, F.explode(of_widths(hashes, F.col("w"), widths)).alias("h"))
     if small(sketch):
         met = hashed.join(F.broadcast(sketch), "h")
     else:
@@ -86,8 +105,8 @@ def search(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame
     pairs = settle(met.select(*DOCUMENT, "item_key").distinct(), "pairs")
     wanted = settle(pairs.select(*DOCUMENT).distinct(), "wanted")
     held = keyed.join(near(wanted), DOCUMENT, "left_semi").select("doc_id", *DOCUMENT, words_of(F.col("text")).alias("w"))
-    held = held.select("doc_id", *DOCUMENT, F.array_distinct(shingles(F.col("w"), k)).alias("doc_set"))
-    both = held.join(near(pairs), DOCUMENT).join(near(sets.drop("item_hashes"), "item_set"), "item_key")
+    held = held.select("doc_id", *DOCUMENT, F.array_distinct(of_widths(shingles, F.col("w"), widths)).alias("doc_set"))
+    both = held.join(near(pairs), DOCUMENT).join(near(sets.drop("item_hashes", "width"), "item_set"), "item_key")
     n, shared = F.size("item_set"), F.size(F.array_intersect("item_set", "doc_set"))
     found = both.select(*DOCUMENT, "doc_id", "item_id", n.cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
     found = found.filter(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
@@ -99,7 +118,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 
     Gives ``doc_id``, ``item_id``, ``n_shingles`` (of the item), ``n_shared``, ``containment``; one row for each
     pair of a document row and an item found in it. Texts that are null or have no word contain and are found
-    in nothing; an item of fewer than ``k`` words is one shingle, which only a document of the same words has;
+    in nothing; an item of fewer than ``k`` words is one shingle of its own width, found wherever a document has its words in a row;
     items that repeat count once; documents that repeat each give their rows; texts of any length are read
     whole; other columns are not read.
     """
@@ -121,12 +140,12 @@ WITH item_words AS (
   SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
 ), doc_words AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), widths AS (SELECT 5 AS n UNION SELECT DISTINCT len(w) FROM item_words WHERE len(w) BETWEEN 1 AND 4
 ), item_shingles AS (
   SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM item_words
 ), doc_shingles AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
-                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM doc_words
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS s FROM doc_words, widths WHERE len(w) >= n
 ), sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
 shared AS (SELECT doc_id, item_id, count(*) AS c FROM doc_shingles JOIN item_shingles USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n AS n_shingles, c AS n_shared, c::DOUBLE / n::DOUBLE AS containment

@@ -29,6 +29,8 @@ STEM = 6
 #: Parts of the sample; words that rank a part's rows come from the others, and the first is held back for the scores' scale.
 PARTS = 4
 STEPS, DECAY, SCALE = 400, 1e-4, 2.0
+#: Positives from which on the class prior is estimated from ranks; below, it is the rate of confirmed documents.
+FEWEST = 30
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -72,6 +74,13 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(self.scale * self.margin(n, owner, bucket) + self.shift, -30, 30)))
 
 
+def risk(unlabelled: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The PU risk of margins, its part on negatives, and the risk's slopes by the margins of unlabelled and positive rows."""
+    negative = np.log1p(np.exp(unlabelled)).mean() - prior * np.log1p(np.exp(positive)).mean()
+    su, sp = 1 / (1 + np.exp(-unlabelled)), 1 / (1 + np.exp(-positive))
+    return prior * np.log1p(np.exp(-positive)).mean() + negative, negative, su / len(unlabelled), prior * (sp - 1) / len(positive) - prior * sp / len(positive)
+
+
 def nn_pu(x: np.ndarray, positive: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic classifier under the non-negative PU risk."""
     rng = np.random.default_rng(seed)
@@ -81,12 +90,9 @@ def nn_pu(x: np.ndarray, positive: np.ndarray, prior: float, seed: int) -> tuple
     p, u = x[pos], x[rng.permutation(rest)[: max(1, len(rest) * 4 // 5)]]  # whole samples: small ones would often seem to have no negatives
     for step in range(1, STEPS + 1):
         zu, zp = (np.clip(rows @ w.astype(x.dtype) + b, -30, 30).astype(np.float64) for rows in (u, p))  # in the rows' type, or each step would convert them
-        su, sp = 1 / (1 + np.exp(-zu)), 1 / (1 + np.exp(-zp))
-        negative_risk = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
-        if negative_risk >= 0:
-            du, dp = su / len(u), prior * (sp - 1) / len(p) - prior * sp / len(p)
-        else:
-            du, dp = -su / len(u), prior * sp / len(p)
+        _, negative, du, dp = risk(zu, zp, prior)
+        if negative < 0:
+            du, dp = -1 / (1 + np.exp(-zu)) / len(u), prior / (1 + np.exp(-zp)) / len(p)
         g = np.append(u.T @ du.astype(x.dtype) + p.T @ dp.astype(x.dtype) + DECAY * w, du.sum() + dp.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -136,7 +142,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
         value[words] = weight
         for i in np.flatnonzero(part == k):
             rank[i] = value[lists[i]].sum()
-    prior = class_prior(rank[y == 1], rank[y == 0])
+    rate = (known.distinct().count() + 1) / (seen[SPACE] + 2)  # of the fold's documents, those that are confirmed
+    prior = class_prior(rank[y == 1], rank[y == 0], rate)
     chosen, _ = telling_words([lists[i] for i in np.flatnonzero(y)], often)
     column_of[chosen] = np.arange(len(chosen))
     x = np.zeros((len(y), len(chosen)), np.float32)
@@ -163,20 +170,20 @@ def telling_words(positive: list[np.ndarray], often: np.ndarray) -> tuple[np.nda
     return chosen, np.log((inside[chosen] + 1) / (n + 2)) - np.log(often[chosen])
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among unlabelled rows, from any score of both.
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, rate: float) -> float:
+    """The share of positives among unlabelled rows, from any score of both; ``rate`` where scores can't tell.
 
     For each threshold, the share of unlabelled rows above it is at least the prior times the share of positives
     above it; so the smallest ratio of the two bounds the prior, and is near it where hardly any negative scores as
-    high. Shares are taken with a standard error against small samples, at thresholds that a fifth of the positives pass.
+    high. Shares are taken with a standard error against small samples, at thresholds that a fifth of the positives and
+    not all unlabelled rows pass. Without such a threshold, or with fewer than ``FEWEST`` positives, shares say nothing.
     """
     order = np.sort(positive), np.sort(unlabelled)
     at = np.unique(positive)
     above = [(len(v) - np.searchsorted(v, at)) / len(v) for v in order]
     p, u = (share + sign * np.sqrt(share * (1 - share) / len(v)) for share, v, sign in zip(above, order, (-1, 1)))
-    use = above[0] >= 0.2
-    use &= p > 0
-    return float(np.clip((u[use] / p[use]).min() if use.any() else above[1].mean(), 0.001, 0.9))
+    use = (above[0] >= 0.2) & (above[1] < 1) & (p > 0)
+    return float(np.clip((u[use] / p[use]).min() if len(positive) >= FEWEST and use.any() else rate, 0.001, 0.9))
 
 
 def calibrated(unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
