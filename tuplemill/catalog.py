@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tuplemill.functions import counts as C
 from tuplemill.functions import tuples as T
 from tuplemill.operators import extract as E
+from tuplemill.operators import inverted
 from tuplemill.operators import measures as M
 from tuplemill.operators import prepare as P
 from tuplemill.operators import reduce as R
 from tuplemill.operators import search as S
 from tuplemill.operators import stats
 from tuplemill.plans.jobs import Defaults, all_tuples, nearest_rows, union
-from tuplemill.plans.stages import materialised
+from tuplemill.stages import materialised, shared_path
 from tuplemill.sources import text
 from tuplemill.sources.fixtures import conversation_records
 
@@ -165,14 +166,40 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return successors(spark, d)
 
 
+#: Inverted indexes of this session, by the folder of the tables they were made from: searches share one.
+_indexes: dict[tuple[str, str], inverted.InvertedIndex] = {}
+
+
+def _index(spark: SparkSession, d: str) -> inverted.InvertedIndex:
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _indexes:
+        _indexes[at] = inverted.write(M.index(_measures(spark, d), ALPHA, DELTA, None), shared_path(spark, "index"))
+    return _indexes[at]
+
+
 def _search(query: S.Query, pruned: bool = True, limit: int | None = None):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = S.search(M.index(_measures(spark, d), ALPHA, DELTA, None), query, pruned, limit)
+        found = S.search(_index(spark, d), query, pruned, limit)
         return found.select(*E.PAIR, "biterm", F.round("conditional", 9).alias("conditional"), "biterm_max", "fs", "sf", "f", "s", F.round("rank_value", 9).alias("rank_value"))
 
     return run
 
 
+def search_full(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty best results of a search over plain tuple pairs, with heads, ids and sentences."""
+    records = _records(spark, d)
+    accepted = R.accepted_documents(E.document_pairs(nearest_rows(records, None, Defaults())[0]), ["counts", *R.HEAD_MAPS])
+    accepted = materialised(accepted, "accepted")
+    tuples = materialised(R.reduced_details(E.tuple_details(E.record_tuples(E.indexed(records)))), "tuples")
+    index = M.index(M.measures(R.sum_pairs(accepted), tuples, WIDTH, DIRECTED, LEAST), ALPHA, DELTA, None)
+    found = S.search(inverted.write(index, shared_path(spark, "index")), S.Query(arg1="type:long", sort_by="fs"), limit=20)
+    full = S.with_details(found, R.sum_heads(accepted), tuples)
+    shown = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    figures = ("biterm", F.round("conditional", 9).alias("conditional"), "biterm_max", "fs", "sf", "f", "s")
+    ids = [F.array_join(c, ",").alias(c) for c in ("first_ids", "second_ids")]
+    return full.select(*E.PAIR, *figures, *map(shown, R.HEAD_MAPS), *ids, "first_sentence", "second_sentence")
+
+
 def doc_size_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.document_sizes(_records(spark, d))
 
@@ -403,7 +430,8 @@ def _last(ctes: str, select: str) -> str:
     return ctes.strip().rstrip(",") + "\n" + select
 
 
-def _search_sql(where: str, rank: str, pruned: bool = True) -> str:
+def _search_sql(where: str, rank: str, pruned: bool = True, ctes: str | None = None) -> str:
+    """``ctes``: the steps down to ``mea``, if others than those of all tuple pairs."""
     typed = " AND ".join(f"regexp_matches({c}, '[tT]ype:')" for c in S.ARGUMENTS)
     var = " OR ".join(f"contains({c}, 'XVAR')" for c in S.ARGUMENTS)
     name = lambda a, b: f"regexp_replace(CASE WHEN contains({a}, 'XVAR') THEN regexp_extract({a}, '[tT]ype:(.*)', 1) WHEN contains({b}, 'XVAR') THEN regexp_extract({b}, '[tT]ype:(.*)', 1) ELSE '' END, ':Number', '')"
@@ -414,7 +442,8 @@ def _search_sql(where: str, rank: str, pruned: bool = True) -> str:
   sum(CASE WHEN "window" = 1 THEN fs ELSE 0 END)::BIGINT AS fs, sum(CASE WHEN "window" = 1 THEN biterm - fs ELSE 0 END)::BIGINT AS sf, max(f) AS f, max(s) AS s FROM mea GROUP BY {KEY}),"""
     where = where.format(typed=typed, var=var)
     good = "true" if not pruned else f"NOT ({same}) AND NOT ({pron}) AND NOT ({quantity}) AND biterm > 0 AND {name('farg1', 'farg2')} = {name('sarg1', 'sarg2')}"
-    return _last(_RED + _TUPLES + _CUM + _UND + _MEA + rows, f"SELECT {KEY}, biterm, round(conditional, 9) AS conditional, biterm_max, fs, sf, f, s, round(({rank})::DOUBLE, 9) AS rank_value FROM rows_ WHERE {good} AND {where}")
+    steps = _RED + _TUPLES + _CUM + _UND + _MEA if ctes is None else ctes
+    return _last(steps + ("WITH " if ctes == "" else "") + rows, f"SELECT {KEY}, biterm, round(conditional, 9) AS conditional, biterm_max, fs, sf, f, s, round(({rank})::DOUBLE, 9) AS rank_value FROM rows_ WHERE {good} AND {where}")
 
 
 _HAS = lambda c, w: f"list_contains(string_split_regex(lower({c}), '[\\s:]+'), '{w}')"
@@ -435,6 +464,8 @@ QUERIES = {
     "search_second": _search(S.Query(arg1="xvar", sort_by="s")),
     "search_phrase": _search(S.Query(arg1='"type:mid"')),
     "search_variable_phrase": _search(S.Query(arg1='"xvar type mid"')),
+    "search_relation_phrase": _search(S.Query(arg1='"type short"', arg2='"xvar"'), pruned=False),
+    "search_full": search_full,
     "search_any_word": _search(S.Query(rel="the in a of and")),
     "search_unpruned": _search(S.Query(arg1="type:mid"), pruned=False),
     "search_top": _search(S.Query(arg1="type:mid", sort_by="fs"), limit=20),
@@ -485,7 +516,22 @@ run AS (SELECT {KEY}, docid, f, s, coalesce(sum(len(f)) OVER w, 0) AS nf, coales
 """
 _shown = lambda c: f"CASE WHEN contains({c}, 'XVAR:type:') THEN 'X:[' || substr({c}, 11) || ']' WHEN starts_with({c}, 'type:') THEN '[' || substr({c}, 6) || ']' ELSE replace({c}, 'XVAR', 'X') END"
 
+_FULL = _HEADS + f"""
+lone AS (SELECT a.* FROM hn a ANTI JOIN (SELECT {KEY}, {_mate} AS side, head FROM hn) b USING ({KEY}, side, head)),
+best AS (SELECT * FROM lone UNION ALL SELECT * FROM hn ANTI JOIN (SELECT DISTINCT {KEY}, side FROM lone) x USING ({KEY}, side)),
+top5 AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY {KEY}, side ORDER BY n DESC, head) <= 5),
+shown AS (SELECT {KEY}, {_by_side('t')} FROM (SELECT {KEY}, side, string_agg(head || '=' || n, ',' ORDER BY n DESC, head) AS t FROM top5 GROUP BY {KEY}, side) GROUP BY {KEY}),
+""" + _DETAILS.removeprefix(_BASE) + """
+tup AS (SELECT a1 AS arg1, rel, a2 AS arg2, n FROM c),
+tm AS (SELECT a1, rel, a2, array_to_string(list_sort(ids)[1:3], ',') AS ids, list_sort(sentences)[1] AS sentence FROM dd JOIN fs5 USING (a1, rel, a2)),
+""" + _CUM + _UND + _MEA
+_FULL_ROWS = f"""
+found AS ({_search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'long')})", "fs_max", ctes="")} ORDER BY rank_value DESC, {KEY} LIMIT 20)
+"""
+
 ORACLE_SQL = {
+    "search_full": _FULL + _FULL_ROWS.lstrip() + f"""SELECT f.* EXCLUDE (rank_value), {", ".join(_SIDES)}, a.ids AS first_ids, b.ids AS second_ids, a.sentence AS first_sentence, b.sentence AS second_sentence
+FROM found f LEFT JOIN shown USING ({KEY}) LEFT JOIN tm a ON a.a1 = farg1 AND a.rel = frel AND a.a2 = farg2 LEFT JOIN tm b ON b.a1 = sarg1 AND b.rel = srel AND b.a2 = sarg2""",
     "reduced_heads": _last(_HEADS, f"SELECT {KEY}, {_by_side('t')} FROM (SELECT {KEY}, side, string_agg(head || '_CSEP_' || n, '_ESEP_' ORDER BY head) AS t FROM hn GROUP BY {KEY}, side) GROUP BY {KEY}"),
     "top_heads": _last(_HEADS + f"""
 lone AS (SELECT a.* FROM hn a ANTI JOIN (SELECT {KEY}, {_mate} AS side, head FROM hn) b USING ({KEY}, side, head)),
@@ -544,6 +590,7 @@ UNION ALL SELECT {KEY}, "window", n FROM red WHERE "window" >= {WIDTH} AND {" AN
     "search_second": _search_sql(_HAS("farg1", "xvar"), "s"),
     "search_phrase": _search_sql("(' ' || lower(farg1) || ' ') LIKE '% type:mid %'", "conditional"),
     "search_variable_phrase": _search_sql("(' ' || lower(farg1) || ' ') LIKE '% xvar:type:mid %'", "conditional"),
+    "search_relation_phrase": _search_sql("farg1 = 'type:short' AND farg2 = 'XVAR'", "conditional", pruned=False),
     "search_any_word": _search_sql(f"({_HAS('frel', 'the')} OR {_HAS('frel', 'a')} OR {_HAS('frel', 'and')})", "conditional"),
     "search_unpruned": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'mid')})", "conditional", pruned=False),
     "search_top": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'mid')})", "fs_max") + f" ORDER BY rank_value DESC, {KEY} LIMIT 20",

@@ -6,6 +6,8 @@ so a pair costs one row until it is known to count.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from tuplemill.operators.prepare import sentence_offsets, with_short_sentences,
 WINDOW, KEPT = 10, 5
 MAX_MENTION_WORDS = 5
 NO_OFFSET = -1_000_000
+#: Characters of a cell in which heads meet mentions, and levels of cells: the widest hold 64 ** 5 characters, more than a text has.
+CELL, LEVELS = 64, 5
 TUPLE = ["arg1", "rel", "arg2"]
 PAIR = ["farg1", "frel", "farg2", "sarg1", "srel", "sarg2"]
 
@@ -65,26 +69,60 @@ def _exploded(pairs_: DataFrame, extra: list[str]) -> DataFrame:
     return out.select("docid", "sentid", F.col("o_extrid").alias("extrid"), F.col("i_extrid").alias("inner_extrid"), "window", "farg1", F.col("o_relHead.text").alias("frel"), "farg2", "sarg1", F.col("i_relHead.text").alias("srel"), "sarg2", F.col("o_hashes").alias("fhashes"), F.col("i_hashes").alias("shashes"), _heads().alias("heads"), *extra)
 
 
+def _of_level(level: Column, values: Callable[[int], Column]) -> Column:
+    out = values(LEVELS)
+    for k in range(LEVELS - 1, 0, -1):
+        out = F.when(level == k, values(k)).otherwise(out)
+    return out
+
+
+def _cell(start: Column, level: Column) -> Column:
+    """The cell of a place: cells of a level are ``CELL ** level`` characters wide."""
+    return F.floor(start / _of_level(level, lambda k: F.lit(CELL**k)))
+
+
+def covering(heads: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(docid, sentid, extrid, side, cluster_id): heads (with start, end) and clusters that have a mention covering them.
+
+    Text is cut into cells of 64, 64**2, ... characters. A mention is dealt to the cells it touches, of the least level that has cells
+    as wide as it is, and so to two at most; a head asks the cell of its start once a level. So only mentions near a head meet it,
+    however many a document has, and a document's text is dealt over many tasks.
+    """
+    size = F.col("mend") - F.col("mstart")
+    level = F.lit(LEVELS)
+    for k in range(LEVELS - 1, 0, -1):
+        level = F.when(size <= CELL**k, k).otherwise(level)
+    spans = mentions.select("docid", "cluster_id", "mstart", "mend").distinct().withColumn("level", level)
+    spans = spans.withColumn("cell", F.explode(F.sequence(_cell(F.col("mstart"), F.col("level")), _cell(F.col("mend"), F.col("level")))))
+    asked = heads.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS)))).withColumn("cell", _cell(F.col("start"), F.col("level")))
+    near = asked.join(spans, ["docid", "level", "cell"])
+    return near.filter("mstart <= start and mend >= end").select("docid", "sentid", "extrid", "side", "cluster_id").distinct()
+
+
 def mention_keys(records: DataFrame, mentions: DataFrame | None) -> DataFrame:
-    """(docid, sentid, extrid, keys1, keys2): what each argument head may refer to.
+    """(docid, sentid, extrid, keys1, keys2): what each argument head may refer to; two heads may be one if they share a key.
 
-    A head's keys are itself (small letters and place) and every mention of the clusters that have a mention
-    covering it. Mentions of more than five words don't count. Heads meet mentions by document; a document's
-    mentions are what one resolver call gives.
+    A head's keys are itself (small letters and place), the clusters that have a mention covering it, and those mentions of these
+    clusters that other clusters have as well. A cluster stands for all its mentions, so that heads don't carry them; two heads
+    share a key just when the mentions they may refer to meet. Mentions of more than five words don't count.
     """
     offsets = sentence_offsets(with_short_sentences(records))
     rows = records.select("docid", "sentid", "extrid", "arg1Head", "arg2Head").join(offsets, ["docid", "sentid"], "left")
     offset = F.coalesce("offset", F.lit(NO_OFFSET))
     heads = rows.select("docid", "sentid", "extrid", F.posexplode(F.array("arg1Head", "arg2Head")).alias("side", "head"), offset.alias("offset"))
     heads = heads.select("docid", "sentid", "extrid", "side", F.lower("head.text").alias("text"), (F.col("head.start") + F.col("offset")).alias("start"), (F.col("head.end") + F.col("offset")).alias("end"))
-    key = F.concat_ws(":", F.col("text"), F.col("start").cast("string"), F.col("end").cast("string"))
-    found = heads.withColumn("key", key)
+    found = heads.withColumn("key", F.concat_ws(":", F.col("text"), F.col("start").cast("string"), F.col("end").cast("string")))
     if mentions is not None:
-        short = mentions.filter(F.size(T.tokens(F.col("text"))) <= MAX_MENTION_WORDS).select("docid", "cluster_id", F.lower("text").alias("mtext"), F.col("offset").alias("mstart"), (F.col("offset") + F.length("text")).alias("mend"))
-        cover = (heads["docid"] == short["docid"]) & (F.col("mstart") <= F.col("start")) & (F.col("mend") >= F.col("end"))
-        hits = heads.join(short, cover).select(heads["docid"], "sentid", "extrid", "side", "cluster_id").distinct()
-        names = short.select("docid", "cluster_id", F.concat_ws(":", "mtext", F.col("mstart").cast("string"), F.col("mend").cast("string")).alias("key"))
-        found = found.select("docid", "sentid", "extrid", "side", "key").union(hits.join(names, ["docid", "cluster_id"]).select("docid", "sentid", "extrid", "side", "key"))
+        short = mentions.filter(F.size(T.tokens(F.col("text"))) <= MAX_MENTION_WORDS)
+        short = short.select("docid", "cluster_id", F.lower("text").alias("mtext"), F.col("offset").cast("bigint").alias("mstart"), (F.col("offset") + F.length("text")).cast("bigint").alias("mend"))
+        hits = covering(heads.select("docid", "sentid", "extrid", "side", "start", "end"), short)
+        place = F.concat_ws(":", "mtext", F.col("mstart").cast("string"), F.col("mend").cast("string"))
+        shared = short.groupBy("docid", place.alias("key")).agg(F.min("cluster_id").alias("low"), F.max("cluster_id").alias("high")).filter("low < high").select("docid", "key")
+        shared = short.select("docid", "cluster_id", place.alias("key")).distinct().join(shared, ["docid", "key"], "left_semi")
+        one = hits.withColumn("key", F.concat_ws(":", F.lit("cluster"), F.col("cluster_id").cast("string")))
+        found = found.select("docid", "sentid", "extrid", "side", "key")
+        for more in (one, hits.join(shared, ["docid", "cluster_id"])):
+            found = found.union(more.select("docid", "sentid", "extrid", "side", "key"))
     sets = [F.collect_set(F.when(F.col("side") == k, F.col("key"))).alias(f"keys{k + 1}") for k in (0, 1)]
     return found.groupBy("docid", "sentid", "extrid").agg(*sets)
 
@@ -116,13 +154,37 @@ def nearest(pair_rows: DataFrame) -> DataFrame:
     return pair_rows.groupBy("docid", "sentid", "extrid", *PAIR).agg(first).select("docid", "sentid", "extrid", *PAIR, "n.*")
 
 
-def document_counts(nearest_rows: DataFrame) -> DataFrame:
-    """Per document and key: counts by window, and the hashes of its first occurrence on both sides."""
+def tuple_hashes(records: DataFrame, equality_rows: DataFrame | None = None) -> DataFrame:
+    """(docid, tuple, hashes): the hashes of the record with which a document has the tuple first.
+
+    Plain tuples come before those with a variable, which begin at the first accepted pair of records that has them, on its
+    first side or its second.
+    """
+    plain = record_tuples(indexed(records)).select("docid", *TUPLE, F.struct(F.lit(0).alias("kind"), "sentid", "extrid", F.lit(0).alias("inner"), F.lit(0).alias("side"), "hashes").alias("at"))
+    rows = plain
+    if equality_rows is not None:
+        for k, (side, hashes) in enumerate((("f", "fhashes"), ("s", "shashes"))):
+            at = F.struct(F.lit(1).alias("kind"), "sentid", "extrid", F.col("inner_extrid").alias("inner"), F.lit(k).alias("side"), F.col(hashes).alias("hashes"))
+            rows = rows.union(equality_rows.select("docid", *(F.col(f"{side}{c}").alias(c) for c in TUPLE), at.alias("at")))
+    return rows.groupBy("docid", *TUPLE).agg(F.min("at").alias("at")).select("docid", *TUPLE, F.col("at.hashes").alias("hashes"))
+
+
+def document_counts(nearest_rows: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """Per document and key: counts by window, and the hashes of both sides' tuples.
+
+    A tuple's hashes are those of ``hashes``, which ``tuple_hashes`` gives; without it, those of the key's first occurrence.
+    """
     key = ["docid", *PAIR]
     first = F.min(F.struct("sentid", "extrid", "fhashes", "shashes")).alias("first")
     windows = nearest_rows.groupBy(*key, "window").agg(F.count("*").alias("n"), first)
     counts = windows.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("window", "n"))).alias("counts"), F.min("first").alias("first"))
-    return counts.select(*key, "counts", F.col("first.fhashes").alias("fhashes"), F.col("first.shashes").alias("shashes"))
+    rows = counts.select(*key, "counts", F.col("first.fhashes").alias("fhashes"), F.col("first.shashes").alias("shashes"))
+    if hashes is None:
+        return rows
+    rows = rows.drop("fhashes", "shashes")
+    for side in "fs":
+        rows = rows.join(hashes.select("docid", *(F.col(c).alias(f"{side}{c}") for c in TUPLE), F.col("hashes").alias(f"{side}hashes")), ["docid", *(f"{side}{c}" for c in TUPLE)])
+    return rows.select(*key, "counts", "fhashes", "shashes")
 
 
 def document_pairs(nearest_rows: DataFrame) -> DataFrame:

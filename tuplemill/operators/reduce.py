@@ -6,67 +6,168 @@ in order of ``docid``. The outcome depends on that order, but little of the data
 * of documents with the same hashes on both sides only the first can be accepted, so equal ones are combined
   by a partial aggregation (a sentence with very many copies is one row);
 * a row whose hashes no other row of its key has is always accepted and blocks nothing;
-* the rest is settled in rounds of joins: each accepts all rows that come first among the undecided rows of each of
-  their hashes, and drops the rows that share a hash with one of these. No key's rows are gathered. A round decides
-  every row that has no undecided one before it, so a chain of n rows, each in conflict with the next only, takes
-  n / 2 rounds; other conflicts take few.
+* the rest is settled in rounds of joins (``first_come``). No key's rows are gathered. Rows that wait for one other row alone
+  make chains, which are followed to their ends by pointer jumping, so that a chain of n rows takes about log2(n) steps.
 
-The bound of 10,000 hashes, beyond which an accumulator would stop to grow, is not reproduced.
+A side's hashes stop to grow once they are ``MAX_HASHES``. What follows the document that fills a side is settled
+apart (``_after_full``), for keys that get so far only.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuplemill.operators.extract import KEPT, PAIR, TUPLE
-from tuplemill.plans.stages import materialised
+from tuplemill.stages import forget, materialised
 
+MAX_HASHES = 10_000
 
-def _by_first_document(rows: DataFrame, payload: list[str]) -> DataFrame:
+
+def _with_sets(rows: DataFrame, payload: list[str]) -> DataFrame:
     hashes = [F.array_sort(F.array_distinct(h)).alias(h) for h in ("fhashes", "shashes")]
-    first = F.min_by(F.struct(*payload), "docid").alias("p")
-    return rows.select("docid", *PAIR, *hashes, *payload).groupBy(*PAIR, "fhashes", "shashes").agg(F.min("docid").alias("docid"), first)
+    return rows.select("docid", *PAIR, *hashes, F.struct(*payload).alias("p"))
+
+
+def _by_first_document(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*PAIR, "fhashes", "shashes").agg(F.min("docid").alias("docid"), F.min_by("p", "docid").alias("p"))
+
 
+def _exploded(rows: DataFrame, *sides: str) -> DataFrame:
+    """(key, row, docid, side, hash) of the hash columns ``sides``; rows have ``row``."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("h")) for c in sides)))
+    return rows.select(*PAIR, "row", "docid", each.alias("s")).select(*PAIR, "row", "docid", "s.side", F.explode("s.h").alias("hash"))
 
-def accepted_documents(document_rows: DataFrame, payload: list[str]) -> DataFrame:
-    """The rows (key, docid, payload) that the gate lets through."""
-    firsts = _by_first_document(document_rows, payload).withColumn("row", F.monotonically_increasing_id())
-    rows = materialised(firsts, "first-documents")
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("fhashes").alias("h")), F.struct(F.lit(2).alias("side"), F.col("shashes").alias("h"))))
-    hashes = rows.select(*PAIR, "row", "docid", sides.alias("s")).select(*PAIR, "row", "docid", "s.side", F.explode("s.h").alias("hash"))
+
+def _greedy(rows: DataFrame, *sides: str) -> DataFrame:
+    """The rows that a gate over the hash columns ``sides`` lets through in order of ``docid``. ``rows`` must be materialised."""
     slot = [*PAIR, "side", "hash"]
+    hashes = _exploded(rows, *sides)
     shared = hashes.groupBy(*slot).agg(F.count("*").alias("n")).filter("n > 1").select(*slot, F.monotonically_increasing_id().alias("slot"))
     shared = materialised(shared, "shared-hashes")
-    kept = rows
-    if not shared.isEmpty():
-        doubtful = materialised(hashes.join(shared, slot).select("row", "docid", "slot"), "doubtful")
-        certain = rows.join(doubtful, "row", "left_anti")
-        kept = certain.union(rows.join(first_come(doubtful), "row", "left_semi"))
+    if shared.isEmpty():
+        return rows
+    doubtful = materialised(hashes.join(shared, slot).select("row", "docid", "slot"), "doubtful")
+    certain = rows.join(doubtful, "row", "left_anti")
+    return certain.union(rows.join(first_come(doubtful), "row", "left_semi"))
+
+
+def accepted_documents(document_rows: DataFrame, payload: list[str], most_hashes: int = MAX_HASHES) -> DataFrame:
+    """The rows (key, docid, payload) that the gate lets through.
+
+    ``document_rows`` has key, docid, ``fhashes``, ``shashes`` and the payload; a key has a document once. A side's hashes
+    grow by all of an accepted document while there are fewer than ``most_hashes``.
+    """
+    raw = _with_sets(document_rows, payload)
+    rows = materialised(_by_first_document(raw).withColumn("row", F.monotonically_increasing_id()), "first-documents")
+    kept = _greedy(rows, "fhashes", "shashes")
+    # no key can have more hashes than all documents with as many as the largest has
+    most = rows.agg(F.max(F.greatest(F.size("fhashes"), F.size("shashes"))).alias("each"), F.count_distinct("docid").alias("documents")).first()
+    if (most["each"] or 0) * most["documents"] >= most_hashes:
+        kept = materialised(kept, "accepted")
+        cuts = [_filled(kept.withColumn("n", F.size(c)), F.lit(0), most_hashes).withColumnRenamed("cut", f"{c}_cut") for c in ("fhashes", "shashes")]
+        full = materialised(cuts[0].join(cuts[1], PAIR, "full_outer"), "full")
+        if not full.isEmpty():
+            kept = kept.join(full, PAIR, "left_anti").select(*PAIR, "docid", "p").unionByName(_after_full(raw, kept, full, most_hashes))
     return kept.select(*PAIR, "docid", "p.*")
 
 
+def _filled(accepted: DataFrame, before: Column, most: int) -> DataFrame:
+    """(key, cut): the document with which the running sum of ``n`` over a key's accepted documents, and ``before``, gets to ``most``.
+
+    The first ``most`` documents that add any hash are enough to get there; Spark drops the others before the shuffle.
+    """
+    order = Window.partitionBy(*PAIR).orderBy("docid")
+    few = accepted.filter("n > 0").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+    total = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) + before
+    return few.withColumn("total", total).filter(F.col("total") >= most).groupBy(*PAIR).agg(F.min("docid").alias("cut"))
+
+
+def _after_full(raw: DataFrame, kept: DataFrame, full: DataFrame, most: int) -> DataFrame:
+    """The accepted documents of keys of which a side gets full.
+
+    Up to the document that fills the first side (``x``), ``kept`` holds. After it that side is fixed and the other (``y``) goes on
+    to grow, until it is full too; then every document passes that meets neither. Equal documents aren't combined here, as a full
+    side doesn't learn of the first.
+    """
+    f_first = F.coalesce(F.col("shashes_cut").isNull() | (F.col("fhashes_cut") <= F.col("shashes_cut")), F.lit(False))
+    sides = {"x": F.when(f_first, F.col("fhashes")).otherwise(F.col("shashes")), "y": F.when(f_first, F.col("shashes")).otherwise(F.col("fhashes"))}
+    sided = lambda rows: rows.join(full, PAIR).withColumns(sides | {"d1": F.least("fhashes_cut", "shashes_cut")})
+    early = materialised(sided(kept).filter("docid <= d1").select(*PAIR, "row", "docid", "x", "y", "p"), "early")
+    late = materialised(sided(raw).filter("docid > d1").select(*PAIR, F.monotonically_increasing_id().alias("row"), "docid", "x", "y", "p"), "late")
+    slot = [*PAIR, "side", "hash"]
+
+    def clear(rows: DataFrame, of: DataFrame, *sides: str) -> DataFrame:
+        """Rows that share no hash with any of ``of``."""
+        met = _exploded(rows, *sides).join(_exploded(of, *sides).select(*slot).distinct(), slot, "left_semi").select("row").distinct()
+        return rows.join(met, "row", "left_anti")
+
+    late = materialised(clear(late, early, "x", "y"), "late")
+    middle = materialised(_greedy(late, "y"), "middle")
+    base = early.groupBy(*PAIR).agg(F.sum(F.size("y")).alias("y0"), F.max("docid").alias("d1"))
+    cut = _filled(middle.withColumn("n", F.size("y")).join(base, PAIR), F.col("y0"), most)
+    ends = base.join(cut, PAIR, "left").select(*PAIR, F.when(F.col("y0") >= most, F.col("d1")).otherwise(F.col("cut")).alias("d2"))
+    ends = materialised(ends, "ends")
+    middle = middle.join(ends, PAIR).filter("d2 is null or docid <= d2").drop("d2")
+    rest = clear(late.join(ends, PAIR).filter("docid > d2").drop("d2"), middle, "y")
+    return early.union(middle.select(*early.columns)).union(rest.select(*early.columns)).select(*PAIR, "docid", "p")
+
+
 def first_come(claims: DataFrame) -> DataFrame:
     """The rows that get all their slots if rows claim them in order of ``docid``: (row).
 
-    ``claims``: row, docid, slot. A row gets its slots only if all are free, and then takes them.
+    ``claims``: row, docid, slot; materialised. A row gets its slots only if all are free, and then takes them. In each round a row
+    that is first at all its slots is accepted, and the rows that share a slot with it go. A row that waits for a single other row
+    gets its slots just if that one doesn't; such rows are followed along to the row at the end of their chain, and if
+    that one is accepted, every second row of the chain is as well.
     """
     accepted = []
     while not claims.isEmpty():
-        first = claims.groupBy("slot").agg(F.min("docid").alias("first"))
-        ahead = claims.join(first, "slot").groupBy("row").agg(F.bool_and(F.col("docid") == F.col("first")).alias("ahead"))
-        accepted.append(materialised(ahead.filter("ahead").select("row"), "accepted"))
+        first = claims.groupBy("slot").agg(F.min(F.struct("docid", "row")).alias("first"))
+        queued = claims.join(first, "slot").select("row", "docid", "slot", F.col("first.docid").alias("d"), F.col("first.row").alias("ahead"))
+        second = queued.filter("docid > d").groupBy("slot").agg(F.min("docid").alias("second"))
+        place = F.when(F.col("docid") == F.col("d"), 1).when(F.col("docid") == F.col("second"), 2).otherwise(3)
+        placed = queued.join(second, "slot", "left").withColumn("place", place)
+        waits = F.when(F.col("place") == 2, F.col("ahead"))
+        nodes = placed.groupBy("row").agg(F.max("place").alias("place"), F.min(waits).alias("up"), F.max(waits).alias("other"))
+        nodes = materialised(nodes.select("row", (F.col("place") == 1).alias("free"), F.when((F.col("place") == 2) & (F.col("up") == F.col("other")), F.col("up")).alias("up")), "nodes")
+        free = nodes.filter("free").select("row")
+        ends = _chain_ends(nodes.filter("up is not null").select("row", "up"))
+        even = ends.filter("even").join(free.select(F.col("row").alias("end")), "end", "left_semi").select("row")
+        accepted.append(materialised(free.union(even), "free"))
         taken = claims.join(accepted[-1], "row", "left_semi").select("slot").distinct()
         decided = claims.join(taken, "slot", "left_semi").select("row").distinct()
-        claims = materialised(claims.join(decided, "row", "left_anti"), "claims")
+        left = materialised(claims.join(decided, "row", "left_anti"), "claims")
+        forget(nodes, *([claims] if len(accepted) > 1 else []))  # the first claims are the caller's
+        claims = left
     return reduce(DataFrame.union, accepted) if accepted else claims.select("row")
 
 
-def reduced_pairs(document_rows: DataFrame) -> DataFrame:
+def _chain_ends(links: DataFrame) -> DataFrame:
+    """(row, end, even): where the chain of ``up`` from each row ends, and whether it is an even number of steps away.
+
+    Each step doubles the reach of all rows that aren't at their end yet.
+    """
+    inner = links.select(F.col("row").alias("up"), F.lit(False).alias("done"))
+    links = materialised(links.join(inner, "up", "left").select("row", "up", F.lit(False).alias("even"), F.coalesce("done", F.lit(True)).alias("done")), "links")
+    while not links.filter("not done").isEmpty():
+        far = links.select(F.col("row").alias("up"), F.col("up").alias("on"), F.col("even").alias("more"), F.col("done").alias("far_done"))
+        moved = links.filter("not done").join(far, "up").select("row", F.col("on").alias("up"), (F.col("even") == F.col("more")).alias("even"), F.col("far_done").alias("done"))
+        further = materialised(links.filter("done").union(moved), "links")
+        forget(links)
+        links = further
+    return links.select("row", F.col("up").alias("end"), "even")
+
+
+def reduced_pairs(document_rows: DataFrame, most_hashes: int = MAX_HASHES) -> DataFrame:
     """(key, window, n) over all documents; ``document_rows`` has key, docid, hashes and ``counts``."""
-    passed = accepted_documents(document_rows, ["counts"])
+    return sum_pairs(accepted_documents(document_rows, ["counts"], most_hashes))
+
+
+def sum_pairs(passed: DataFrame) -> DataFrame:
+    """(key, window, n) of accepted documents with ``counts``."""
     return passed.select(*PAIR, F.explode("counts").alias("window", "n")).groupBy(*PAIR, "window").agg(F.sum("n").alias("n"))
 
 
@@ -74,12 +175,16 @@ HEAD_MAPS = ["first_arg1", "first_arg2", "second_arg1", "second_arg2"]
 
 
 def reduced_heads(document_rows: DataFrame, most: int = KEPT) -> DataFrame:
-    """Head-count maps per key: accepted documents are added in order while a map has fewer than ``most`` heads.
+    """Head-count maps per key: accepted documents are added in order while a map has fewer than ``most`` heads."""
+    return sum_heads(accepted_documents(document_rows, HEAD_MAPS), most)
+
+
+def sum_heads(passed: DataFrame, most: int = KEPT) -> DataFrame:
+    """``reduced_heads`` of accepted documents with head maps.
 
     The last document that is added is the one that brings the ``most``-th head, so sums up to that document do;
     no key's documents are gathered.
     """
-    passed = accepted_documents(document_rows, HEAD_MAPS)
     sides = F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(n).alias("m")) for n in HEAD_MAPS))).alias("x")
     rows = passed.select(*PAIR, "docid", sides).select(*PAIR, "docid", "x.side", F.explode("x.m").alias("head", "n"))
     key = [*PAIR, "side"]
@@ -97,7 +202,11 @@ def reduced_ids(document_rows: DataFrame, most: int = KEPT) -> DataFrame:
     ``document_rows`` has ``fids`` and ``sids``, which name their document and so never repeat in another. Each document
     has one id at least: only the first ``most`` of a key can matter, and Spark drops the others before the shuffle.
     """
-    passed = accepted_documents(document_rows, ["fids", "sids"])
+    return join_ids(accepted_documents(document_rows, ["fids", "sids"]), most)
+
+
+def join_ids(passed: DataFrame, most: int = KEPT) -> DataFrame:
+    """``reduced_ids`` of accepted documents with ``fids`` and ``sids``."""
     order = Window.partitionBy(*PAIR).orderBy("docid")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     few = passed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)

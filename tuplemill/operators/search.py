@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tuplemill.functions import counts as C
 from tuplemill.functions import tuples as T
-from tuplemill.operators.extract import PAIR
+from tuplemill.operators.extract import PAIR, TUPLE
+from tuplemill.operators.inverted import FIELDS, InvertedIndex
 
 ARGUMENTS = ["farg1", "farg2", "sarg1", "sarg2"]
 SORT_KEYS = ("conditional", "fs", "sf", "fs+sf", "f", "s")
@@ -47,7 +48,7 @@ def matches(column: Column, text: str) -> Column:
     text = text.strip().lower()
     if len(text) > 1 and text[0] == text[-1] == '"':
         words = [rf"\Q{w}\E" for w in re.split(r"[\s:_]+", text[1:-1]) if w]
-        return F.lower(column).rlike(r"(?:^|\s)" + r"[\s:_]+".join(words) + r"(?:\s|$)") if words else F.lit(False)
+        return F.lower(column).rlike(r"(?:^|\s)" + r"[\s:_]+".join(words) + r"(?:\s|\z)") if words else F.lit(False)
     terms = [w for w in re.split(r"[\s:]+", text) if w and w not in T.PREPOSITIONS]
     return F.arrays_overlap(F.split(F.lower(column), r"[\s:]+"), T.strings(terms)) if terms else F.lit(False)
 
@@ -116,11 +117,17 @@ def sort_value(key: str) -> Column:
     return values.get(key, F.col("first_undir.combined")).cast("double")
 
 
-def candidates(index: DataFrame, query: Query) -> DataFrame:
-    """Index rows whose first tuple matches all given fields; a query without any finds nothing."""
+def candidates(index: DataFrame | InvertedIndex, query: Query) -> DataFrame:
+    """Index rows whose first tuple matches all given fields; a query without any finds nothing.
+
+    An inverted index is read where the query's terms stand; a table is read whole.
+    """
+    wanted = dict(zip(FIELDS, (query.arg1, query.rel, query.arg2)))
+    if isinstance(index, InvertedIndex):
+        return index.candidates(wanted)
     if query.is_empty():
         return index.limit(0)
-    for column, text in (("farg1", query.arg1), ("frel", query.rel), ("farg2", query.arg2)):
+    for column, text in wanted.items():
         if text:
             index = index.filter(matches(F.col(column), text))
     return index
@@ -131,7 +138,7 @@ def prune(rows: DataFrame, query: Query) -> DataFrame:
     return rows.filter(good)
 
 
-def search(index: DataFrame, query: Query, pruned: bool = True, limit: int | None = None) -> DataFrame:
+def search(index: DataFrame | InvertedIndex, query: Query, pruned: bool = True, limit: int | None = None) -> DataFrame:
     """Results by falling ``sort_by``, one for each key; ``limit`` is the caller's top-k."""
     rows = candidates(index, query)
     rows = prune(rows, query) if pruned else rows
@@ -159,6 +166,26 @@ def first_mentions(details: DataFrame, n: int = 3) -> DataFrame:
     return details.select("arg1", "rel", "arg2", F.slice(F.array_sort("ids"), 1, n).alias("ids"), F.array_min("sentences").alias("sentence"))
 
 
+def with_details(results: DataFrame, heads: DataFrame, tuples: DataFrame, heads_shown: int = 5, ids_shown: int = 3) -> DataFrame:
+    """Results with what is shown of them besides their figures: top heads of the four arguments, ids and a sentence of both tuples.
+
+    ``heads`` has head maps by pair, ``tuples`` ids and sentences by tuple. Only the results' keys are fetched, and lists are
+    cut after that; pass results that are ranked and limited already. A pair without heads or a tuple without details has nulls.
+    """
+    keys = results.select(*PAIR).distinct()
+    out = results.join(top_heads(heads.join(keys, PAIR, "left_semi"), heads_shown), PAIR, "left")
+    wanted = keys.select(*(F.col(f"f{c}").alias(c) for c in TUPLE)).union(keys.select(*(F.col(f"s{c}").alias(c) for c in TUPLE))).distinct()
+    shown = first_mentions(tuples.join(wanted, TUPLE, "left_semi"), ids_shown)
+    for side, name in (("f", "first"), ("s", "second")):
+        named = shown.select(*(F.col(c).alias(f"{side}{c}") for c in TUPLE), F.col("ids").alias(f"{name}_ids"), F.col("sentence").alias(f"{name}_sentence"))
+        out = out.join(named, [f"{side}{c}" for c in TUPLE], "left")
+    return out.select(*results.columns, *(c for c in out.columns if c not in results.columns))
+
+
 def find_record(records: DataFrame, record_id: str) -> DataFrame:
-    """The record of the id ``docid-sentid-extrid``."""
-    return records.filter(F.concat_ws("-", "docid", F.col("sentid").cast("string"), F.col("extrid").cast("string")) == record_id).limit(1)
+    """The record of the id ``docid-sentid-extrid``; a reader of Parquet gets all three as filters. No row for anything else."""
+    parts = re.fullmatch(r"(?s)(.*)-(-?[0-9]+)-(-?[0-9]+)", record_id)
+    if not parts:
+        return records.limit(0)
+    docid, sentid, extrid = parts.groups()
+    return records.filter((F.col("docid") == docid) & (F.col("sentid") == int(sentid)) & (F.col("extrid") == int(extrid))).limit(1)
