@@ -83,8 +83,12 @@ def arg_representations(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("docid", "sentid", "extrid", *(F.array_join(F.array_sort(f"forms{k}"), "|").alias(f"forms{k}") for k in (1, 2)))
 
 
+def _details(records: DataFrame) -> DataFrame:
+    return E.tuple_details(materialised(E.tuple_rows(records), "tuple-rows"), unique=True)
+
+
 def relation_tuples(spark: SparkSession, d: str) -> DataFrame:
-    rows = E.tuple_details(E.record_tuples(E.indexed(_records(spark, d))))
+    rows = E.tuple_details(materialised(E.tuple_rows(_records(spark, d)), "tuple-rows"), heads=False, unique=True)
     return rows.select("docid", *E.TUPLE, "n", F.get("hashes", F.lit(0)).alias("hash"), F.array_join("sentences", "|").alias("sentences"), F.array_join("ids", ",").alias("ids"))
 
 
@@ -190,7 +194,7 @@ def search_full(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d)
     accepted = R.accepted_documents(E.document_pairs(nearest_rows(records, None, Defaults())[0]), ["counts", *R.HEAD_MAPS])
     accepted = materialised(accepted, "accepted")
-    tuples = materialised(R.reduced_details(E.tuple_details(E.record_tuples(E.indexed(records)))), "tuples")
+    tuples = materialised(R.reduced_details(_details(records)), "tuples")
     index = M.index(M.measures(R.sum_pairs(accepted), tuples, WIDTH, DIRECTED, LEAST), ALPHA, DELTA, None)
     found = S.search(inverted.write(index, shared_path(spark, "index")), S.Query(arg1="type:long", sort_by="fs"), limit=20)
     full = S.with_details(found, R.sum_heads(accepted), tuples)
@@ -231,14 +235,14 @@ def merge_mentions_all(spark: SparkSession, d: str) -> DataFrame:
 
 def tuple_details_reduced(spark: SparkSession, d: str) -> DataFrame:
     """Tuples over all documents with head counts; hash, sentences and ids of the first document."""
-    rows = R.reduced_details(E.tuple_details(E.record_tuples(E.indexed(_records(spark, d)))))
+    rows = R.reduced_details(_details(_records(spark, d)))
     heads = [text.format_string_counts(F.col(c)).alias(c) for c in ("arg1_heads", "arg2_heads")]
     return rows.select(*E.TUPLE, "n", F.get("hashes", F.lit(0)).alias("hash"), F.array_join("sentences", "|").alias("sentences"), F.array_join("ids", ",").alias("ids"), *heads)
 
 
 def tuple_mentions(spark: SparkSession, d: str) -> DataFrame:
     """What a result shows of a tuple: three ids and a sentence of its first document."""
-    rows = S.first_mentions(R.reduced_details(E.tuple_details(E.record_tuples(E.indexed(_records(spark, d))))))
+    rows = S.first_mentions(R.reduced_details(_details(_records(spark, d))))
     return rows.select(*E.TUPLE, F.array_join("ids", ",").alias("ids"), "sentence")
 
 

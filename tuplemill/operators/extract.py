@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tuplemill.functions import tuples as T
 from tuplemill.operators.prepare import sentence_offsets, with_short_sentences, without_inferred_prepositions
+from tuplemill.stages import materialised
 
 WINDOW, KEPT = 10, 5
 MAX_MENTION_WORDS = 5
@@ -219,15 +220,49 @@ def equality_tuples(equality_rows: DataFrame) -> DataFrame:
     return one.union(two)
 
 
+def tuple_rows(records: DataFrame, equality_rows: DataFrame | None = None) -> DataFrame:
+    """A row for each time a document counts a tuple: docid, tuple, sentid, extrid, sentence, hashes, arg1_head, arg2_head.
+
+    Plain tuples count once a record, those with a variable once for each accepted pair and side.
+    """
+    names = ["docid", *TUPLE, "sentid", "extrid", "sentence", "hashes", "arg1_head", "arg2_head"]
+    plain = record_tuples(indexed(records)).select(*names)
+    if equality_rows is None:
+        return plain
+    sentences = records.groupBy("docid", "sentid").agg(F.max_by("sentence", "extrid").alias("sentence"))
+    sides = (("f", "extrid", "fhashes", "heads.f1", "heads.f2"), ("s", "inner_extrid", "shashes", "heads.s1", "heads.s2"))
+    for side, extrid, hashes, head1, head2 in sides:
+        rows = equality_rows.select("docid", *(F.col(f"{side}{c}").alias(c) for c in TUPLE), "sentid", F.col(extrid).alias("extrid"), F.col(hashes).alias("hashes"), F.col(head1).alias("arg1_head"), F.col(head2).alias("arg2_head"))
+        plain = plain.unionByName(rows.join(sentences, ["docid", "sentid"]).select(*names))
+    return plain
+
+
+def document_details(records: DataFrame, equality_rows: DataFrame | None = None, most: int = KEPT) -> DataFrame:
+    """``tuple_details`` of plain and equality tuples, with the hashes that ``tuple_hashes`` gives."""
+    details = tuple_details(materialised(tuple_rows(records, equality_rows), "tuple-rows"), most, unique=equality_rows is None)
+    return details.drop("hashes").join(tuple_hashes(records, equality_rows), ["docid", *TUPLE])
+
+
+def with_tuples(document_rows: DataFrame, details: DataFrame) -> DataFrame:
+    """Rows of tuple pairs by document with both tuples' hashes, ids, sentences and heads: ``fhashes``, ``fids``, ``fsaid`` and so on."""
+    out = document_rows.drop("fhashes", "shashes")
+    for side in "fs":
+        said = F.struct("sentences", "arg1_heads", "arg2_heads").alias(f"{side}said")
+        named = details.select("docid", *(F.col(c).alias(f"{side}{c}") for c in TUPLE), F.col("hashes").alias(f"{side}hashes"), F.col("ids").alias(f"{side}ids"), said)
+        out = out.join(named, ["docid", *(f"{side}{c}" for c in TUPLE)])
+    return out
+
+
 def document_tuples(tuple_rows: DataFrame) -> DataFrame:
     """Per document: how often each tuple occurs."""
     return tuple_rows.groupBy("docid", *TUPLE).agg(F.count("*").alias("n"))
 
 
-def tuple_details(tuple_rows: DataFrame, most: int = KEPT) -> DataFrame:
-    """Per document and tuple: the first ``most`` sentences and ids, the first record's hashes, and head counts.
+def tuple_details(tuple_rows: DataFrame, most: int = KEPT, heads: bool = True, unique: bool = False) -> DataFrame:
+    """Per document and tuple: the first ``most`` sentences and ids, the first record's hashes, and head counts if ``heads``.
 
-    Windows leave ``most`` sentences and ids of a tuple before any list is made.
+    Windows leave ``most`` sentences and ids of a tuple before any list is made. The rows are read several times and should
+    be materialised. ``unique``: no record counts a tuple twice, so that ids needn't be made distinct.
     """
     key = ["docid", *TUPLE]
     at = F.struct("sentid", "extrid")
@@ -239,8 +274,11 @@ def tuple_details(tuple_rows: DataFrame, most: int = KEPT) -> DataFrame:
 
     totals = tuple_rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("sentid", "extrid", "hashes")).alias("first")).select(*key, "n", F.col("first.hashes").alias("hashes"))
     sentences = first(tuple_rows.groupBy(*key, "sentence").agg(F.min(at).alias("at")), "sentence", "sentences")
-    named = tuple_rows.select(*key, at.alias("at"), F.concat_ws("-", "docid", F.col("sentid").cast("string"), F.col("extrid").cast("string")).alias("id")).distinct()
+    named = tuple_rows.select(*key, at.alias("at"), F.concat_ws("-", "docid", F.col("sentid").cast("string"), F.col("extrid").cast("string")).alias("id"))
+    out = totals.join(sentences, key).join(first(named if unique else named.distinct(), "id", "ids"), key)
+    if not heads:
+        return out
     sides = F.posexplode(F.array("arg1_head", "arg2_head")).alias("side", "head")
-    heads = tuple_rows.select(*key, sides).groupBy(*key, "side", "head").agg(F.count("*").cast("int").alias("c"))
+    counted = tuple_rows.select(*key, sides).groupBy(*key, "side", "head").agg(F.count("*").cast("int").alias("c"))
     maps = [F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("head", "c"))))).alias(n) for k, n in enumerate(("arg1_heads", "arg2_heads"))]
-    return totals.join(sentences, key).join(first(named, "id", "ids"), key).join(heads.groupBy(*key).agg(*maps), key)
+    return out.join(counted.groupBy(*key).agg(*maps), key)

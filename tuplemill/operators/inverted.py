@@ -27,6 +27,7 @@ TASK_BITS = 33
 #: Above so many folders a lookup doesn't name those it needs.
 MAX_FOLDERS = 2_000
 WORD, PLACED = "word", "placed"
+POSTINGS = "kind string, field string, token string, block bigint, rows array<struct<row:bigint,places:array<int>>>, bucket int"
 
 
 def words(text: Column) -> Column:
@@ -89,8 +90,9 @@ def postings(rows: DataFrame, fields: tuple[str, ...] = FIELDS, buckets: int = B
 def write(table: DataFrame, path: str, fields: tuple[str, ...] = FIELDS, buckets: int = BUCKETS) -> InvertedIndex:
     """Writes ``table`` and the postings of its ``fields`` below ``path``."""
     spark = table.sparkSession
-    numbered = table.withColumn("row", F.monotonically_increasing_id())
-    numbered.withColumn("task", F.shiftright("row", TASK_BITS).cast("int")).write.partitionBy("task").parquet(f"{path}/rows")
+    numbered = table.withColumn("row", F.monotonically_increasing_id()).withColumn("task", F.shiftright("row", TASK_BITS).cast("int"))
+    numbered.limit(0).write.parquet(f"{path}/schema")  # a table without rows has no folder that could tell it
+    numbered.write.partitionBy("task").parquet(f"{path}/rows")
     rows = InvertedIndex(spark, path, fields, buckets).rows()
     dealt = postings(rows, fields, buckets).hint("rebalance", "bucket")  # a folder's blocks go to as many files as their size asks for
     dealt.sortWithinPartitions("bucket", "kind", "field", "token", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
@@ -107,7 +109,8 @@ class InvertedIndex:
     buckets: int = BUCKETS
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        kind = self.spark.read.parquet(f"{self.path}/schema").schema
+        return self.spark.read.schema(kind).parquet(f"{self.path}/rows")
 
     def blocks(self, clauses: list[Clause]) -> DataFrame:
         """The postings of all clauses' tokens, from their buckets alone."""
@@ -116,7 +119,7 @@ class InvertedIndex:
         some = F.lit(False)
         for term in terms:
             some = some | one(*term)
-        found = self.spark.read.parquet(f"{self.path}/postings")
+        found = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
         return found.filter(F.col("bucket").isin(*(_bucket(F.lit(f), F.lit(t), self.buckets) for _, f, t in terms)) & some)
 
     def hits(self, clauses: list[Clause]) -> DataFrame:

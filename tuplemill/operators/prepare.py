@@ -113,13 +113,3 @@ def documents(records: DataFrame) -> DataFrame:
     fields = [c for c in records.columns if c != "docid"]
     ordered = F.array_sort(F.collect_list(F.struct("sentid", "extrid", F.struct(*fields).alias("r"))), lambda a, b: F.when(F.struct(a["sentid"], a["extrid"]) < F.struct(b["sentid"], b["extrid"]), -1).otherwise(1))
     return records.groupBy("docid").agg(ordered.alias("rows")).select("docid", F.transform("rows", lambda x: x["r"]).alias("records"))
-
-
-def resolve_mentions(records: DataFrame, resolver) -> DataFrame:
-    """Mentions by a coreference resolver of the caller's: a pandas UDF from a text to array<struct<cluster int, text string, offset int>>.
-
-    Sentences longer than the bound are left out; a text for which the resolver gives null has no mentions.
-    """
-    texts = sentence_lists(with_short_sentences(records)).select("docid", F.array_join("sentences", "\n").alias("text"))
-    found = texts.select("docid", F.explode(resolver("text")).alias("m"))
-    return found.select("docid", F.col("m.cluster").alias("cluster_id"), "m.text", "m.offset")

@@ -216,6 +216,43 @@ def join_ids(passed: DataFrame, most: int = KEPT) -> DataFrame:
     return few.groupBy(*PAIR).agg(*lists)
 
 
+def join_hashes(passed: DataFrame, most: int = MAX_HASHES) -> DataFrame:
+    """``first_hashes`` and ``second_hashes`` per key: accepted documents' hashes in order while there are fewer than ``most``.
+
+    ``passed`` has ``fhashes`` and ``shashes``. The last document that counts is the one that brings the ``most``-th hash.
+    """
+    rows = _exploded(passed.withColumn("row", F.lit(0)), "fhashes", "shashes")
+    key = [*PAIR, "side"]
+    firsts = rows.groupBy(*key, "hash").agg(F.min("docid").alias("first"))
+    order = F.row_number().over(Window.partitionBy(*key).orderBy("first", "hash"))
+    last = firsts.withColumn("r", order).filter(F.col("r") <= most).filter(F.col("r") == most).select(*key, F.col("first").alias("last"))
+    added = firsts.join(last, key, "left").filter("last is null or first <= last")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("side") == c, F.col("hash")))).alias(n) for c, n in (("fhashes", "first_hashes"), ("shashes", "second_hashes"))]
+    return added.groupBy(*PAIR).agg(*lists)
+
+
+def whole_pairs(document_rows: DataFrame, most: int = KEPT, most_hashes: int = MAX_HASHES) -> DataFrame:
+    """Reduced tuple pairs with all they carry: key, ``counts``, head maps, and the tuples ``first`` and ``second``.
+
+    ``document_rows`` come from ``extract.with_tuples``, with head maps. A tuple has the hashes and ids of accepted documents, each up to
+    its bound, and the sentences and heads of the first.
+    """
+    payload = ["counts", *HEAD_MAPS, "fhashes", "shashes", "fids", "sids", "fsaid", "ssaid"]
+    passed = materialised(accepted_documents(document_rows, payload, most_hashes), "passed")
+    counts = sum_pairs(passed).groupBy(*PAIR).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("window", "n")))).alias("counts"))
+    said = passed.groupBy(*PAIR).agg(F.min_by(F.struct("fsaid", "ssaid"), "docid").alias("said"))
+    out = counts
+    for more in (sum_heads(passed, most), join_ids(passed, most), join_hashes(passed, most_hashes), said):
+        out = out.join(more, PAIR)
+    whole = []
+    for side, name in (("f", "first"), ("s", "second")):
+        own = [F.col(f"{side}{c}").alias(c) for c in TUPLE]
+        own += [F.coalesce(f"{name}_hashes", F.array().cast("array<int>")).alias("hashes"), F.col(f"said.{side}said.sentences").alias("sentences"), F.col(f"{name}_ids").alias("ids")]
+        own += [F.col(f"said.{side}said.{c}").alias(c) for c in ("arg1_heads", "arg2_heads")]
+        whole.append(F.struct(*own).alias(name))
+    return out.select(*PAIR, "counts", *HEAD_MAPS, *whole)
+
+
 def reduced_tuples(document_tuples: DataFrame) -> DataFrame:
     return document_tuples.groupBy(*TUPLE).agg(F.sum("n").alias("n"))
 

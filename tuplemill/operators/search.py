@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,13 @@ from tuplemill.operators.inverted import FIELDS, InvertedIndex
 
 ARGUMENTS = ["farg1", "farg2", "sarg1", "sarg2"]
 SORT_KEYS = ("conditional", "fs", "sf", "fs+sf", "f", "s")
+# Names of measures that a request may give; any other is psgf.
+MEASURES = (
+    "bigram", "biterm", "psgf", "pfgs", "psgf_undir", "pmi", "npmi", "pmi_undir", "npmi_undir",
+    "psgf_combined", "pfgs_combined", "psgf_undir_combined", "pfgs_undir_combined",
+    "pmi_combined", "npmi_combined", "pmi_undir_combined", "npmi_undir_combined",
+    "pfgs_undir", "avg_psgf_pfgs", "scp", "scp_undir", "scp_combined", "scp_undir_combined",
+)
 
 
 @dataclass(frozen=True)
@@ -34,8 +42,43 @@ class Query:
     measure: str = "psgf"
     alpha: float = -1.0
     delta: float = -1.0
+    view: str = ""
     extra: dict[str, str] = field(default_factory=dict, hash=False)
 
+    @classmethod
+    def of(cls, parameters: Mapping[str, Sequence[str]]) -> Query:
+        """The query of a request's parameters: arg1, rel, arg2, measure, k, alpha, delta, v, sortBy, equalityOption.
+
+        Of several values the first counts; two of ``equalityOption`` mean both kinds. What isn't a number or a known
+        measure is the default, as what is missing.
+        """
+
+        def first(name: str) -> str:
+            values = parameters.get(name) or [""]
+            return values[0].strip()
+
+        def number(name: str, of: Callable, otherwise):
+            try:
+                return of(first(name))
+            except ValueError:
+                return otherwise
+
+        options = [v.strip() for v in parameters.get("equalityOption") or []]
+        known = {"arg1", "rel", "arg2", "measure", "k", "alpha", "delta", "v", "sortBy", "equalityOption"}
+        return cls(
+            arg1=first("arg1") or None,
+            rel=first("rel") or None,
+            arg2=first("arg2") or None,
+            k=number("k", int, 1),
+            sort_by=first("sortBy") or "conditional",
+            equality="both" if len(options) > 1 else options[0] if options else None,
+            measure=first("measure") if first("measure") in MEASURES else "psgf",
+            alpha=number("alpha", float, -1.0),
+            delta=number("delta", float, -1.0),
+            view=first("v"),
+            extra={k: v[0] for k, v in parameters.items() if k not in known and v},
+        )
+
     def is_empty(self) -> bool:
         return not any((self.arg1, self.rel, self.arg2))
 
