@@ -186,6 +186,30 @@ def test_every_family_and_no_other(tables, spark):
     assert len(TEMPLATES) >= 25 and not wrong and len(got) == len(planted)
 
 
+def test_paraphrases_that_are_no_template(tables, spark):
+    """Statements in other words are hits of the right family, though no run of words holds most of a template."""
+    docs, _ = tables
+    planted = [
+        ("You may use this program under the terms of the GNU General Public License, either version 2 or, at your option, a newer version of it.", "gpl"),
+        ("The software is made available under the MIT License, see the file for the full text.", "mit"),
+        ("This file is subject to the Apache License, Version 2.0, and may not be used except in compliance with that License.", "apache-2.0"),
+        ("All articles here are released to you under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("This library may be redistributed and modified under the terms of the GNU Lesser General Public License.", "lgpl"),
+    ]
+    more = spark.createDataFrame([(6000 + i, x) for i, (x, _) in enumerate(planted)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["family"] for r in license_scan.scan(docs.select("doc_id", "text").union(more)).collect()}
+    assert got == {6000 + i: f for i, (_, f) in enumerate(planted)}
+
+
+def test_without_the_classifier_nothing_is_found(tables, spark, monkeypatch):
+    docs, _ = tables
+    more = spark.createDataFrame([(7000, "Released under the MIT License."), (7001, "MIT License\n\nba du")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in license_scan.scan(more.union(docs.select("doc_id", "text"))).filter("confirmed").collect()} == {7000, 7001}
+    whole = license_scan.fit_licences(docs)
+    monkeypatch.setattr(license_scan, "fit_licences", lambda *_: whole._replace(bias=whole.bias + 100 * (np.arange(len(whole.names)) == len(whole.names) - 1)))
+    assert license_scan.scan(more).count() == 0
+
+
 def test_statements_by_brute_force():
     """The runs that hold most of a template's grams, against a search over all runs of words in plain Python."""
     rng = random.Random(5)

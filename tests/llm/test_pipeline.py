@@ -33,3 +33,42 @@ def test_stages(spark, corpus, folder):
     assert 20 not in clean and len(clean) >= docs.count() - 3
     tokens = p.tokens(spark, docs, folder)
     assert tokens.count() == docs.count() and public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_run_end_to_end(spark, corpus, tmp_path):
+    """``run`` over tables with both labels gives what the rules give, one after the other, in plain Python."""
+    import hashlib
+
+    import tiktoken
+
+    from tests.llm.test_native import brute as brute_items
+    from tuplemill.llm.bpe import load_ranks
+
+    d = str(tmp_path)
+    rows = [tuple(r) for r in corpus.collect()]
+    junk = [(900 + i, " ".join(["$$$###!!!"] * (20 + i)), "en", "s", 9) for i in range(60)]
+    spark.createDataFrame(rows + junk, corpus.schema).repartition(3).write.parquet(f"{d}/documents.parquet")
+    marks = [(i, int(i < 900), 0) for i, *_ in rows + junk if i % 5 != 2]
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    leak = next(t for i, t, *_ in rows if i == 20)
+    items = [(0, leak), (1, "never found anywhere at all in here")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+
+    kept = [(r["doc_id"], r["text"]) for r in p.quality(spark, p.table(spark, d, "documents"), d).collect()]
+    assert 100 < len(kept) and not any(i >= 900 for i, _ in kept)
+    alone = {i for i, _, c in brute_groups(kept, 5, 80) if i == c}
+    kept = [(i, t) for i, t in kept if i in alone]
+    cut = {i: row for i, *row in brute_bytes([(i, (t or "").encode()) for i, t in kept], 200)}
+    texts = {i: None if cut[i][1] else (t or "").encode() for i, t in kept}
+    stage = {r["doc_id"]: r["text"] for r in p.repeated_passages(spark, spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in kept], corpus.schema), d).collect()}
+    for i, raw in texts.items():
+        assert raw is None or (stage[i] or "").encode() == raw
+    bad = {i for i, *_ in brute_items(list(stage.items()), items)}
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = {}
+    for i, t in stage.items():
+        if i not in bad:
+            ids = theirs.encode_ordinary(t or "")
+            want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in p.run(spark, d).collect()}
+    assert got == want and 20 not in got

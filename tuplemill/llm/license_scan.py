@@ -1,14 +1,13 @@
-"""Licence scan: a trained paragraph classifier, with an unknown class and confirmation by templates.
-
-Lines, and overlapping windows of the words of each text, are scored by sparse multinomial regression on
-hashed one- and two-word grams. It is trained on perturbed forms of the statements in ``licences``, one
-class for each family, against an unknown class of passages drawn from the corpus and of sentences that
-only sound alike. A temperature is fitted on templates that training hasn't seen; a passage is a hit if its likeliest class is a
-family and the calibrated probability of the unknown class is small. Beside these, every run of words is
-found that holds most of a template's grams, wherever it stands in a line or is wrapped over lines.
-A passage is confirmed if it is such a run and names the family, if it is a line that is a licence's title,
-or if it is a hit that names the family and is close to a template as a whole, closer by a margin than to
-one of any other family that it names.
+"""Licence scan: a trained paragraph classifier proposes families, templates confirm them.
+
+Lines, paragraphs, overlapping windows of the words of each text, and the runs of words that hold most of a template's
+grams wherever they stand, are scored by sparse multinomial regression on hashed one- and two-word grams. It is
+trained on titles and perturbed forms of the statements in ``licences``, one class for each family, against an unknown
+class of passages drawn from the corpus and of sentences that only sound alike. A temperature is fitted on templates that
+training hasn't seen; a passage is a hit if its likeliest class is a family and the calibrated probability of the unknown
+class is small. The families that the classifier holds likeliest are proposed in turn. A proposal is confirmed if the
+passage names the family and is close to one of its templates, closer by a margin than to one of any other family that
+it names, or holds most of a template's grams, or is the family's title. Without a hit nothing is confirmed.
 """
 
 from __future__ import annotations
@@ -31,6 +30,8 @@ SAMPLE, PARAGRAPHS = 400, 3_000
 SPACE, FORMS, EPOCHS = 1 << 16, 12, 4
 UNKNOWN_AT_MOST, CONFIRMED_AT_LEAST = 0.5, 0.6
 UNIT = 1 << 20
+#: Families that are proposed of a passage at most, and the least probability of one.
+PROPOSED, LEAST = 3, 0.02
 #: By how much a passage must be closer to its family than to any other family that it names.
 MARGIN = 0.02
 #: Words of a scored window, from one to the next, and of a passage that is given with the whole of its lines.
@@ -222,6 +223,10 @@ def training_rows(corpus: list[str], seed: int = 8) -> tuple[list[str], list[int
                 texts.append(" ".join(words))
                 labels.append(k)
                 back.append(len(templates) > 1 and j == k % len(templates))
+        for title in TITLES.get(family, ()):
+            texts.append(title)
+            labels.append(k)
+            back.append(False)
     for i, text in enumerate(LOOKALIKES * 10 + lines):
         texts.append(text)
         labels.append(len(TEMPLATES))
@@ -287,27 +292,30 @@ def scan(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:
 
     def passages(m: Model, data: np.ndarray, w: Words) -> list[tuple]:
         """Rows (rank, first word, end word, family, score, unknown, likeness, confirmed)."""
-        rows = []
+        held: dict[tuple[int, int], dict[str, float]] = {}
+        for x in statements(data, w):
+            close = held.setdefault((x.first, x.end), {})
+            close[x.family] = max(x.close, close.get(x.family, 0.0))
         first, end = units(w)
+        more = sorted(set(held) - set(zip(first.tolist(), end.tolist())))
+        first, end = (np.concatenate((u, np.array([x[k] for x in more], np.int64))) for k, u in enumerate((first, end)))
         prob = m.probabilities(w, first, end)
-        best = prob.argmax(axis=1)
-        for i in np.flatnonzero((best < len(m.names) - 1) & (prob[:, -1] <= UNKNOWN_AT_MOST)).tolist():
+        rows = []
+        for i in np.flatnonzero((prob.argmax(axis=1) < len(m.names) - 1) & (prob[:, -1] <= UNKNOWN_AT_MOST)).tolist():
             a, b = int(first[i]), int(end[i])
-            text = data[w.starts[a] : w.ends[b - 1]].tobytes().decode()
-            words, likely = tokens(text), m.names[best[i]]
-            said = named(words)
-            close = {k: max(similarity(words, t) for t in _TEMPLATE_TOKENS[k]) for k in said | {likely}}
-            family = max(said, key=lambda k: (close[k], k == likely, k), default=likely)
-            score = float(prob[i, m.names.index(family)])
-            rival = max((close[k] for k in said if k != family), default=0.0)
-            sure = family in said and close[family] >= CONFIRMED_AT_LEAST and close[family] > rival + MARGIN
+            words, own = tokens(data[w.starts[a] : w.ends[b - 1]].tobytes().decode()), held.get((a, b), {})
+            said = named(words) | set(own)
+            order = np.argsort(-prob[i, :-1], kind="stable")[:PROPOSED]
+            proposed = [m.names[j] for k, j in enumerate(order) if k == 0 or prob[i, j] >= LEAST]
+            close = {k: max(own.get(k, 0.0), *(similarity(words, t) for t in _TEMPLATE_TOKENS[k])) for k in said | {*proposed}}
+
+            def confirmed(k: str) -> bool:
+                rival = max((close[o] for o in said if o != k), default=0.0)
+                return k in said and close[k] >= CONFIRMED_AT_LEAST and (k in own or close[k] > rival + MARGIN)
+
+            family = next(filter(confirmed, proposed), proposed[0])
+            score, sure = float(prob[i, m.names.index(family)]), confirmed(family)
             rows.append(((sure, close[family], b - a, score), a, b, family, score, float(prob[i, -1]), close[family], sure))
-        found = statements(data, w)
-        if found:
-            prob = m.probabilities(w, np.array([x.first for x in found]), np.array([x.end for x in found]))
-            for x, of in zip(found, prob):
-                score = float(of[m.names.index(x.family)])
-                rows.append(((True, x.close, x.end - x.first, score), x.first, x.end, x.family, score, float(of[-1]), x.close, True))
         return apart(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
