@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tuplemill.functions import counts as C
 from tuplemill.functions import tuples as T
 from tuplemill.operators import extract as E
+from tuplemill.operators import inverted
 from tuplemill.operators import measures as M
 from tuplemill.operators import prepare as P
 from tuplemill.operators import reduce as R
@@ -219,6 +220,6 @@ def test_jobs_end_to_end(spark, records, tmp_path):
     jobs.frequency_filter(spark, str(tmp_path / "out/pairs"), str(tmp_path / "filtered"), least=1)
     jobs.measure(spark, str(tmp_path / "out/pairs"), str(tmp_path / "out/tuples"), str(tmp_path / "measures"), d)
     jobs.build_index(spark, str(tmp_path / "measures"), str(tmp_path / "index"), Defaults(index_min=1))
-    assert spark.read.parquet(str(tmp_path / "index")).count() == 16
+    assert inverted.InvertedIndex(spark, str(tmp_path / "index")).rows().count() == 16
     with pytest.raises(ValueError):
         nearest_rows(records, None, Defaults(equality=False, noequality=False))

@@ -28,6 +28,11 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return conversation_records(spark, d)
 
 
+def _written_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records for a query that reads them more than once."""
+    return materialised(_records(spark, d), "records")
+
+
 def _flat(records: DataFrame, *more) -> DataFrame:
     return records.select("docid", "sentid", "extrid", F.col("arg1.text").alias("arg1"), F.col("relHead.text").alias("rel"), F.col("arg2.text").alias("arg2"), *more)
 
@@ -52,11 +57,13 @@ def pruned_positions(spark: SparkSession, d: str) -> DataFrame:
     return _flat(P.pruned(_records(spark, d)), F.col("position").cast("bigint").alias("position"))
 
 
-def long_sentence_filter(spark: SparkSession, d: str) -> DataFrame:
+def long_sentence_filter_20(spark: SparkSession, d: str) -> DataFrame:
+    """With a limit of 20 words."""
     return _flat(P.with_short_sentences(_records(spark, d), 20))
 
 
-def doc_size_guard(spark: SparkSession, d: str) -> DataFrame:
+def doc_size_guard_40(spark: SparkSession, d: str) -> DataFrame:
+    """With a limit of 40 records."""
     return _flat(P.of_small_documents(_records(spark, d), 40))
 
 
@@ -102,21 +109,21 @@ def pair_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tuple_counts(spark: SparkSession, d: str) -> DataFrame:
-    records = _records(spark, d)
+    records = _written_records(spark, d)
     return R.reduced_tuples(E.document_tuples(all_tuples(records, nearest_rows(records, None, BOTH)[1])))
 
 
 def equality_args(spark: SparkSession, d: str) -> DataFrame:
-    records = _records(spark, d)
+    records = _written_records(spark, d)
     return E.shared_arguments(E.pairs(E.indexed(records)), E.mention_keys(records, None)).select("docid", "sentid", F.col("o_extrid").alias("outer_id"), F.col("i_extrid").alias("inner_id"), "shared")
 
 
 def equality_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return E.pair_counts(nearest_rows(_records(spark, d), None, BOTH)[1]).withColumn("window", F.col("window").cast("bigint"))
+    return E.pair_counts(nearest_rows(_written_records(spark, d), None, BOTH)[1]).withColumn("window", F.col("window").cast("bigint"))
 
 
 def _reduced(spark: SparkSession, d: str) -> DataFrame:
-    return R.reduced_pairs(E.document_counts(union(*nearest_rows(_records(spark, d), None, BOTH))))
+    return R.reduced_pairs(E.document_counts(union(*nearest_rows(_written_records(spark, d), None, BOTH))))
 
 
 def pairs_reduced(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +146,7 @@ def frequency_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _measures(spark: SparkSession, d: str) -> DataFrame:
-    records = _records(spark, d)
+    records = _written_records(spark, d)
     plain, equal = nearest_rows(records, None, BOTH)
     pairs = R.reduced_pairs(E.document_counts(union(plain, equal)))
     return M.measures(pairs, R.reduced_tuples(E.document_tuples(all_tuples(records, equal))), WIDTH, DIRECTED, LEAST)
@@ -191,7 +198,7 @@ def _search(query: S.Query, pruned: bool = True, limit: int | None = None):
 
 def search_full(spark: SparkSession, d: str) -> DataFrame:
     """The twenty best results of a search over plain tuple pairs, with heads, ids and sentences."""
-    records = _records(spark, d)
+    records = _written_records(spark, d)
     accepted = R.accepted_documents(E.document_pairs(nearest_rows(records, None, Defaults())[0]), ["counts", *R.HEAD_MAPS])
     accepted = materialised(accepted, "accepted")
     tuples = materialised(R.reduced_details(_details(records)), "tuples")
@@ -220,14 +227,14 @@ def _mentions(records: DataFrame) -> DataFrame:
 
 
 def merge_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """The merge over documents of at most 60 records, as the query's SQL selects them; ``merge_mentions_all`` has all."""
-    records = P.of_small_documents(_records(spark, d), 60)
+    """The merge over all documents: which have mentions, and how many records."""
+    records = _written_records(spark, d)
     return P.merge_mentions(records, _mentions(records)).groupBy("docid", "has_mentions").agg(F.count("*").alias("n"))
 
 
 def merge_mentions_all(spark: SparkSession, d: str) -> DataFrame:
     """The merge over all documents, with what each carries."""
-    records = _records(spark, d)
+    records = _written_records(spark, d)
     rows = P.merge_mentions(records, _mentions(records))
     carried = (F.size("mentions").cast("bigint").alias("mentions"), F.size("offsets").cast("bigint").alias("sentences"), F.coalesce(F.get("offsets", F.size("offsets") - 1), F.lit(0)).alias("last_offset"))
     return rows.select("docid", "has_mentions", *carried).groupBy("docid", "has_mentions", "mentions", "sentences", "last_offset").agg(F.count("*").alias("n"))
@@ -268,7 +275,7 @@ def _long_mentions(records: DataFrame) -> DataFrame:
 
 def equality_args_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Shared arguments by mention clusters."""
-    records = _records(spark, d)
+    records = _written_records(spark, d)
     keys = E.mention_keys(records, _long_mentions(records))
     return E.shared_arguments(E.pairs(E.indexed(records)), keys).select("docid", "sentid", F.col("o_extrid").alias("outer_id"), F.col("i_extrid").alias("inner_id"), "shared")
 
@@ -328,7 +335,7 @@ def affinities_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def sentence_texts(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of each document in order with their offsets."""
-    rows = P.sentence_lists(_records(spark, d)).select("docid", F.posexplode(F.arrays_zip("sentences", "offsets")).alias("place", "x"))
+    rows = P.sentence_lists(_written_records(spark, d)).select("docid", F.posexplode(F.arrays_zip("sentences", "offsets")).alias("place", "x"))
     return rows.select("docid", F.col("place").cast("bigint").alias("place"), F.col("x.sentences").alias("sentence"), F.col("x.offsets").alias("offset"))
 
 
@@ -455,15 +462,15 @@ _PLAIN_RED = _BASE + _PAIRS + _reduced_sql(f"SELECT docid, sentid, outer_id, {KE
 
 QUERIES = {
     "records_from_text": records_from_text, "prune_redundant": prune_redundant, "prune_verbs": prune_verbs, "pruned_positions": pruned_positions,
-    "long_sentence_filter": long_sentence_filter, "doc_size_guard": doc_size_guard, "inferred_prep_filter": inferred_prep_filter,
+    "long_sentence_filter_20": long_sentence_filter_20, "doc_size_guard_40": doc_size_guard_40, "inferred_prep_filter": inferred_prep_filter,
     "extraction_index": extraction_index, "arg_representations": arg_representations, "relation_tuples": relation_tuples, "window_pairs": window_pairs,
     "pair_counts": pair_counts, "tuple_counts": tuple_counts, "equality_args": equality_args, "equality_pairs": equality_pairs,
     "pairs_reduced": pairs_reduced, "reduced_heads": reduced_heads, "cumulative_counts": cumulative_counts, "frequency_filter": frequency_filter,
     "undirected_counts": undirected_counts, "measures": measures, "affinity": affinity, "successors": successors,
     "search_noequality": _search(S.Query(arg1="type:short", equality="noequality")),
     "search_equality": _search(S.Query(arg2="xvar", sort_by="fs+sf", equality="equality")),
-    "search_typed": _search(S.Query(arg1="type:long", sort_by="f")),
-    "search_fs": _search(S.Query(arg1="type:mid", sort_by="fs")),
+    "search_typed": _search(S.Query(arg1="long", sort_by="f")),
+    "search_fs": _search(S.Query(arg1="mid", sort_by="fs")),
     "search_sf": _search(S.Query(arg1="type:mid", arg2="xvar", sort_by="sf")),
     "search_second": _search(S.Query(arg1="xvar", sort_by="s")),
     "search_phrase": _search(S.Query(arg1='"type:mid"')),
@@ -561,8 +568,8 @@ SELECT docid, sentid, extrid, sentence, hash, arg1, rel, arg2, a1s, (a2s + 1)::I
     "prune_redundant": _last(_BASE + _ANTI, _FLAT + "red0"),
     "prune_verbs": _last(_BASE + f"v AS (SELECT docid, sentid, extrid, arg1, {_VERB} AS rel, arg2 FROM z),", f"SELECT * FROM v WHERE {_LIGHT}"),
     "pruned_positions": _last(_BASE + _ANTI + f"v AS (SELECT docid, sentid, extrid, arg1, {_VERB} AS rel, arg2 FROM red0),", f"SELECT *, row_number() OVER (PARTITION BY docid ORDER BY sentid * 1000 + extrid, sentid) - 1 AS position FROM v WHERE {_LIGHT}"),
-    "long_sentence_filter": _last(_BASE, _FLAT + "z WHERE len(string_split(rtrim(sentence), ' ')) <= 20"),
-    "doc_size_guard": _last(_BASE, _FLAT + "(SELECT *, count(*) OVER (PARTITION BY docid) AS c FROM z) WHERE c <= 40"),
+    "long_sentence_filter_20": _last(_BASE, _FLAT + "z WHERE len(string_split(rtrim(sentence), ' ')) <= 20"),
+    "doc_size_guard_40": _last(_BASE, _FLAT + "(SELECT *, count(*) OVER (PARTITION BY docid) AS c FROM z) WHERE c <= 40"),
     "long_sentence_filter_default": _last(_BASE, _FLAT + f"z WHERE len(string_split(rtrim(sentence), ' ')) <= {P.MAX_SENTENCE_WORDS}"),
     "doc_size_guard_default": _last(_BASE, _FLAT + f"(SELECT *, count(*) OVER (PARTITION BY docid) AS c FROM z) WHERE c <= {P.MAX_DOCUMENT_RECORDS}"),
     "inferred_prep_filter": _last(_BASE, _FLAT + "ix"),
@@ -588,8 +595,8 @@ UNION ALL SELECT {KEY}, "window", n FROM red WHERE "window" >= {WIDTH} AND {" AN
     "successors": _last(_PLAIN_RED, f"""SELECT *, row_number() OVER (PARTITION BY farg1, frel, farg2 ORDER BY n DESC, sarg1, srel, sarg2) AS rank FROM (SELECT {KEY}, sum(n)::BIGINT AS n FROM red GROUP BY {KEY}) QUALIFY rank <= 3"""),
     "search_noequality": _search_sql(f"{_HAS('farg1', 'type')} OR {_HAS('farg1', 'short')}".join("()") + " AND NOT ({var})", "conditional"),
     "search_equality": _search_sql(_HAS("farg2", "xvar") + " AND ({var})", "biterm_max"),
-    "search_typed": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'long')})", "f"),
-    "search_fs": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'mid')})", "fs_max"),
+    "search_typed": _search_sql(_HAS('farg1', 'long'), "f"),
+    "search_fs": _search_sql(_HAS('farg1', 'mid'), "fs_max"),
     "search_sf": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'mid')}) AND " + _HAS("farg2", "xvar"), "biterm_max - fs_max"),
     "search_second": _search_sql(_HAS("farg1", "xvar"), "s"),
     "search_phrase": _search_sql("(' ' || lower(farg1) || ' ') LIKE '% type:mid %'", "conditional"),
@@ -600,7 +607,7 @@ UNION ALL SELECT {KEY}, "window", n FROM red WHERE "window" >= {WIDTH} AND {" AN
     "search_top": _search_sql(f"({_HAS('farg1', 'type')} OR {_HAS('farg1', 'mid')})", "fs_max") + f" ORDER BY rank_value DESC, {KEY} LIMIT 20",
     "doc_size_histogram": _last(_BASE, "SELECT least(100, greatest(10, ceil(n / 10.0) * 10))::INT AS bin, count(*) AS documents FROM (SELECT docid, count(*) AS n FROM z GROUP BY docid) GROUP BY bin"),
     "parse_success_counts": _last(_BASE, "SELECT count(*) FILTER (extrid % 3 <> 0) AS parsed, count(*) FILTER (extrid % 3 = 0) AS failed FROM z"),
-    "merge_mentions": _last(_BASE, "SELECT docid, right(docid, 1) IN ('0', '2', '4', '6', '8') AS has_mentions, count(*) AS n FROM z GROUP BY docid HAVING count(*) <= 60"),
+    "merge_mentions": _last(_BASE, f"SELECT docid, right(docid, 1) IN ('0', '2', '4', '6', '8') AND count(*) <= {P.MAX_DOCUMENT_RECORDS} AS has_mentions, count(*) AS n FROM z GROUP BY docid"),
     "merge_mentions_all": _last(_BASE + """d AS (SELECT docid, count(*) AS n, right(docid, 1) IN ('0', '2', '4', '6', '8') AND count(*) <= 100 AS has_mentions FROM z GROUP BY docid),
 s AS (SELECT docid, sentid, arg_max(sentence, extrid) AS sentence FROM z GROUP BY docid, sentid),
 o AS (SELECT docid, count(*) AS sentences, (sum(length(sentence) + 1) - arg_max(length(sentence) + 1, sentid))::BIGINT AS last_offset FROM s GROUP BY docid),""", """SELECT docid, has_mentions, CASE WHEN has_mentions THEN n ELSE 0 END AS mentions, CASE WHEN has_mentions THEN sentences ELSE 0 END AS sentences, CASE WHEN has_mentions THEN last_offset ELSE 0 END AS last_offset, n FROM d JOIN o USING (docid)"""),

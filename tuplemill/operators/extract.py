@@ -150,9 +150,13 @@ def equality_pairs(shared_pairs: DataFrame) -> DataFrame:
 
 
 def nearest(pair_rows: DataFrame) -> DataFrame:
-    """A key counts once for each outer record, at its nearest inner record."""
+    """A key counts once for each outer record, at its nearest inner record.
+
+    Rows are dealt by document and key, as all that counts them by document needs them: one shuffle serves both.
+    """
     first = F.min(F.struct("window", "inner_extrid", "fhashes", "shashes", "heads")).alias("n")
-    return pair_rows.groupBy("docid", "sentid", "extrid", *PAIR).agg(first).select("docid", "sentid", "extrid", *PAIR, "n.*")
+    dealt = pair_rows.repartition("docid", *PAIR)
+    return dealt.groupBy("docid", "sentid", "extrid", *PAIR).agg(first).select("docid", "sentid", "extrid", *PAIR, "n.*")
 
 
 def tuple_hashes(records: DataFrame, equality_rows: DataFrame | None = None) -> DataFrame:

@@ -45,6 +45,12 @@ def _greedy(rows: DataFrame, *sides: str) -> DataFrame:
     """The rows that a gate over the hash columns ``sides`` lets through in order of ``docid``. ``rows`` must be materialised."""
     slot = [*PAIR, "side", "hash"]
     hashes = _exploded(rows, *sides)
+    # slots that several rows may have, by a hash of theirs; few are left for the slots themselves to be told apart
+    token = F.xxhash64(*slot).alias("token")
+    some = materialised(hashes.select(token).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "tokens")
+    if some.isEmpty():
+        return rows
+    hashes = materialised(hashes.withColumn("token", token).join(some, "token", "left_semi").drop("token"), "slots")
     shared = hashes.groupBy(*slot).agg(F.count("*").alias("n")).filter("n > 1").select(*slot, F.monotonically_increasing_id().alias("slot"))
     shared = materialised(shared, "shared-hashes")
     if shared.isEmpty():
